@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from loamline.functions.constants import ALIASES, SNIPPET_CHARS, STOPWORDS
 
 #: Fixed value: white space as ECMAScript has it, for use inside a character class. Java's \s is ASCII only.
-JS_SPACE = r"\t\n\x0B\f\r    -     　﻿"
+JS_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS = f"[{JS_SPACE}]"
-LINE_START = r"(?:\A|(?<=[\n\r  ]))"
+LINE_START = r"(?:\A|(?<=[\n\r\u2028\u2029]))"
 
 #: The marks that are taken off, in this order, and what stays of each.
 MARKS = [
