@@ -21,7 +21,7 @@ BLOCK = 30
 HARD, LINE, SENTENCE, ITEM, PARAGRAPH, SECTION, END = range(7)
 
 _S = JS_SPACE
-_LINE_START = r"(?:\A|(?<=[\n\r  ]))"
+_LINE_START = r"(?:\A|(?<=[\n\r\u2028\u2029]))"
 _GAP_WORDS = re.compile(f"[^{_S}]+")
 _LINK = re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|([^\]]+))?\]\]")
 #: The marks of Markdown in the order in which they go: the pattern, and which group stays (0: a space instead).
@@ -34,9 +34,9 @@ _MARKS: list[tuple[re.Pattern, int | None]] = [
     (re.compile(f"{_LINE_START}#{{1,6}}[{_S}]+"), -1),
     (re.compile(r"[*_~>|-]+"), 0),
 ]
-_BLANK = re.compile(r"(?:\r\n|\n|\r)[ \t ​]*(?:\r\n|\n|\r)|[  ]")
-_BREAK = re.compile(r"[\n\r  ]")
-_HEADING = re.compile(r"[\n\r  ][ \t]*#{1,6}[ \t]")
+_BLANK = re.compile(r"(?:\r\n|\n|\r)[ \t\u00A0\u200B]*(?:\r\n|\n|\r)|[\u2028\u2029]")
+_BREAK = re.compile(r"[\n\r\u2028\u2029]")
+_HEADING = re.compile(r"[\n\r\u2028\u2029][ \t]*#{1,6}[ \t]")
 _MARKER = re.compile(r"[ \t>]*(?:[-*+|]|\d{1,9}[.)][ \t])")
 _STOP = re.compile(r"[.!?…。！？।؟۔]+[\"'”’»)\]*_~]*\Z")
 #: Short forms that end in a full stop without ending a sentence, in the languages of the notes.
@@ -91,7 +91,7 @@ def ends(text: str, words: list[str], first: list[int], last: list[int]) -> list
         gap = text[last[i] + 1 : first[i + 1] + 1]
         level = HARD
         if _BREAK.search(gap):
-            below = max(gap.rfind(c) for c in "\n\r  ") + last[i] + 2
+            below = max(gap.rfind(c) for c in "\n\r\u2028\u2029") + last[i] + 2
             was, item = item, bool(_MARKER.match(text, below))
             if _HEADING.search(gap):
                 level = SECTION
