@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import knn, mix, split, tokens, topn
+from loamline.llm import knn, mix, names, split, tokens, topn
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,16 @@ def p2_knn(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("number").alias("vector_no"), F.col("other").alias("other_no"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of link and tag records of the same person or organisation."""
+    return names.spelling_pairs(_t(spark, folder, "entity_summaries"))
+
+
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entity of each such record: the set of spellings it belongs to."""
+    return names.spellings(_t(spark, folder, "entity_summaries"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The 8 best links of each entity."""
     return topn.top_links(_t(spark, folder, "catalyst_links"), 8).select("entity_id", "link_no")
@@ -71,4 +81,4 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(mix.mixed(sizes, plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p5_found, p5_ranked, p6_ids, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p4_found, p4_entities, p5_found, p5_ranked, p6_ids, p7_found, p7_mix, p7_shares)}
