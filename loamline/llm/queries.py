@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import knn, mix, names, split, tokens, topn
+from loamline.llm import knn, mix, names, split, subjects, tokens, topn
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,4 +81,23 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(mix.mixed(sizes, plan), plan)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p4_found, p4_entities, p5_found, p5_ranked, p6_ids, p7_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that at least three sentences of a note are about."""
+    found = subjects.subjects_of(_t(spark, folder, "documents"), _t(spark, folder, "subject_labels"), _t(spark, folder, "subjects"))
+    return found.select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes and sentences of each subject, and their part of all notes with a subject and all sentences."""
+    model, notes = subjects.fit(_t(spark, folder, "documents"), _t(spark, folder, "subject_labels"), _t(spark, folder, "subjects"))
+    return subjects.composition(subjects.counted_sentences(model, notes), notes)
+
+
+def p8_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms that speak most for each subject in each language, to be looked through."""
+    model, _ = subjects.fit(_t(spark, folder, "documents"), _t(spark, folder, "subject_labels"), _t(spark, folder, "subjects"))
+    rows = [(s, language, i + 1, t) for s, language, terms in model.top_terms(20) for i, t in enumerate(terms)]
+    return spark.createDataFrame(rows, "subject string, lang string, rank int, term string")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p4_found, p4_entities, p5_found, p5_ranked, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_composition, p8_topics)}
