@@ -26,7 +26,7 @@ def instant(as_of: str | datetime | Column) -> Column:
 
 def age_days(d: Column, as_of) -> Column:
     """Days since ``d``, with fraction; 0 for the future and for null."""
-    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(instant(as_of)) - F.unix_micros(d)) / F.lit(DAY_MICROS)), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(instant(as_of)) - F.unix_micros(d.cast("timestamp"))) / F.lit(DAY_MICROS)), F.lit(0.0))
 
 
 def recency(d: Column, half_life_days: Column | float, as_of) -> Column:

@@ -135,6 +135,8 @@ def dense_top(chunks: DataFrame, probes: list[tuple[str, str | None, list[float]
             scale = norms[:, None] * np.sqrt((x * x).sum(1))[None]
             dot = np.zeros((len(ids), b.num_rows))
             np.divide(matrix @ x.T, scale, out=dot, where=scale > 0)
+            # What only rounding keeps from 0 is 0, in whatever order it was summed.
+            dot[np.abs(dot) < 1e-12] = 0
             own = [set(v or ()) for v in b.column("entities").to_pylist()] if restricted else None
             picked_p, picked_c = [], []
             for i in range(len(ids)):
