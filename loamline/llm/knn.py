@@ -162,7 +162,21 @@ class Index:
         part = lambda size, salt: rows.where(F.pmod(F.xxhash64(F.lit(salt), "vec"), F.lit(1_000_000)) < min(1.0, 1.2 * size / self.n) * 1_000_000).limit(size)
         took = part(sample, "tree").select("vec").toArrow()
         self.tree = fit_tree(_matrix(took.column(0), dim), leaf, branch) if took.num_rows else fit_tree(np.ones((1, dim), np.float32) / dim**0.5)
-        self._calibrate(part(calibration, "calibration").select("rep", "vec").toArrow(), recall)
+        asked = part(calibration, "calibration").select("rep", "vec").toArrow()
+        self.rows = cut(self._homes(rows), "homes")
+        self._calibrate(asked, recall)
+
+    def _homes(self, rows: DataFrame) -> DataFrame:
+        """The classes with the leaf that each belongs to; written once, for everything that needs it."""
+        tree, dim = self.tree, self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _matrix(b.column("vec"), dim)
+                home = np.concatenate([tree.visits(x[i : i + BLOCK], 1)[:, 0] for i in range(0, len(x), BLOCK)]) if len(x) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("vec", "rep", "ids", "copies")], pa.array(home.astype(np.int32))], names=["vec", "rep", "ids", "copies", "leaf"])
+
+        return rows.select("vec", "rep", "ids", "copies").mapInArrow(run, "vec binary, rep bigint, ids array<bigint>, copies bigint, leaf int")
 
     def _calibrate(self, queries: pa.Table, recall: float) -> None:
         """The fewest visits with which the queries find that part of their neighbours; the neighbours are sought in all rows."""
@@ -171,8 +185,7 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own, every = batch.column("rep").to_numpy(), _matrix(batch.column("vec"), dim)
-                home = np.concatenate([tree.visits(every[i : i + BLOCK], 1)[:, 0] for i in range(0, len(every), BLOCK)]) if len(every) else np.zeros(0, int)
+                own, every, home = batch.column("rep").to_numpy(), _matrix(batch.column("vec"), dim), batch.column("leaf").to_numpy()
                 for i in range(0, len(x), 256):
                     s = x[i : i + 256] @ every.T
                     s[reps[i : i + 256, None] == own[None, :]] = -2
@@ -181,7 +194,7 @@ class Index:
                     q, c = np.nonzero(score >= max(least, -1.5))
                     yield pa.RecordBatch.from_arrays([pa.array(q + i, pa.int32()), pa.array(score[q, c], pa.float32()), pa.array(home[top[q, c]], pa.int32())], names=["q", "score", "leaf"])
 
-        found = self.rows.select("rep", "vec").mapInArrow(run, "q int, score float, leaf int")
+        found = self.rows.select("rep", "vec", "leaf").mapInArrow(run, "q int, score float, leaf int")
         top = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.struct("score", "leaf"), F.lit(k), F.lit(False))
         near = found.groupBy("q").agg(top.alias("h")).select("q", F.explode("h.leaf").alias("leaf")).toArrow()
         total = len(tree.leaves)
@@ -202,18 +215,8 @@ class Index:
 
     def _cells(self) -> tuple[np.ndarray, np.ndarray]:
         """For each leaf its first cell and the number of its cells: small leaves share one, a leaf too large for one is dealt out over several."""
-        tree, dim = self.tree, self.dim
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(tree.leaves), np.int64)
-            for b in batches:
-                x = _matrix(b.column(0), dim)
-                for i in range(0, len(x), BLOCK):
-                    total += np.bincount(tree.visits(x[i : i + BLOCK], 1)[:, 0], minlength=len(total))
-            at = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["leaf", "n"])
-
-        got = self.rows.select("vec").mapInArrow(run, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+        tree = self.tree
+        got = self.rows.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()
         sizes = np.zeros(len(tree.leaves), np.int64)
         sizes[got.column("leaf").to_numpy()] = got.column("n").to_numpy()
         first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
@@ -238,34 +241,24 @@ class Index:
         tree, dim, k, visits, least = self.tree, self.dim, self.k, self.visits, self.min_cosine
         first, parts = self._cells()
 
-        def deal(role: int):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    rep, vec, ids = b.column("rep").to_numpy(), b.column("vec"), b.column("ids")
-                    x = _matrix(vec, dim)
-                    for i in range(0, len(x), BLOCK):
-                        seen = tree.visits(x[i : i + BLOCK], visits if role else 1)
-                        row, cell, leaves = [], [], []
-                        for r, own in enumerate(seen):
-                            if role == 0:
-                                leaf = own[0]
-                                row.append(i + r)
-                                cell.append(first[leaf] + rep[i + r] % parts[leaf])
-                                leaves.append([leaf])
-                                continue
-                            by: dict[int, list[int]] = {}
-                            for leaf in own.tolist():
-                                for c in range(first[leaf], first[leaf] + parts[leaf]):
-                                    by.setdefault(c, []).append(leaf)
-                            for c, those in by.items():
-                                row.append(i + r)
-                                cell.append(c)
-                                leaves.append(those)
-                        at = pa.array(row, pa.int64())
-                        none = pa.nulls(len(row), pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.full(len(row), role), pa.int32()), pa.array(rep[row], pa.int64()), vec.take(at), none if role else ids.take(at), pa.array(leaves, pa.list_(pa.int32()))], names=["cell", "role", "rep", "vec", "ids", "leaves"])
-
-            return run
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rep, vec = b.column("rep").to_numpy(), b.column("vec")
+                x = _matrix(vec, dim)
+                for i in range(0, len(x), BLOCK):
+                    row, cell, leaves = [], [], []
+                    for r, own in enumerate(tree.visits(x[i : i + BLOCK], visits)):
+                        by: dict[int, list[int]] = {}
+                        for leaf in own.tolist():
+                            for c in range(first[leaf], first[leaf] + parts[leaf]):
+                                by.setdefault(c, []).append(leaf)
+                        for c, those in by.items():
+                            row.append(i + r)
+                            cell.append(c)
+                            leaves.append(those)
+                    n = len(row)
+                    none = pa.nulls(n, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.ones(n), pa.int32()), pa.array(rep[row], pa.int64()), vec.take(pa.array(row, pa.int64())), none, pa.array(leaves, pa.list_(pa.int32()))], names=["cell", "role", "rep", "vec", "ids", "leaves"])
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Data rows come first; then the queries, batch by batch."""
@@ -329,7 +322,10 @@ class Index:
 
         kind = "cell bigint, role int, rep bigint, vec binary, ids array<bigint>, leaves array<int>"
         asked = self.rows if queries is None else queries
-        sent = self.rows.select("rep", "vec", "ids").mapInArrow(deal(0), kind).unionByName(asked.select("rep", "vec", "ids").mapInArrow(deal(1), kind))
+        # As many rows as the tree has leaves, which the sample bounds.
+        place = F.broadcast(self.spark.createDataFrame(list(zip(range(len(first)), first.tolist(), parts.tolist(), strict=True)), "leaf int, first bigint, parts bigint"))
+        held = self.rows.join(place, "leaf").select((F.col("first") + F.pmod(F.col("rep"), F.col("parts"))).alias("cell"), F.lit(0).alias("role"), "rep", "vec", "ids", F.array("leaf").alias("leaves"))
+        sent = held.unionByName(asked.select("rep", "vec").mapInArrow(ask, kind))
         groups = int(first.max() + parts[first.argmax()])
         placed = sent.repartition(max(1, groups), "cell").sortWithinPartitions("cell", "role")
 
