@@ -30,6 +30,8 @@ PASSES, ROUNDS = 6, 4
 DISCOUNT, EVIDENCE = 1.0, 1.0
 #: How many times as often as in all notes a term stands in those judged to be of a subject, to be a word of it; and by how many standard deviations.
 LIFT, SURE = 1.8, 1.3
+#: Notes that are scored at once, for the memory of a worker.
+BLOCK = 512
 #: Sentences about a subject that make it one of a note's.
 SENTENCES = 3
 #: Words without a full stop from which a run of text is cut by learnt beginnings of sentences.
@@ -135,7 +137,7 @@ def _count_terms(docs: DataFrame) -> DataFrame:
                 notes.update(own)
                 for t in own:
                     times.setdefault(t, 0)
-            if len(times) > 400_000:
+            if len(times) > 200_000:
                 yield out()
                 for c in (notes, begins, times):
                     c.clear()
@@ -207,6 +209,13 @@ def infer(gain: np.ndarray, language: np.ndarray, ids: np.ndarray, per_sentence:
     return np.where(score[:, :k] >= EVIDENCE, part[:, :k], 0.0)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in blocks of a size that bounds what a worker holds: a note takes some kilobytes while it is scored."""
+    for b in batches:
+        for i in range(0, b.num_rows, BLOCK):
+            yield b.slice(i, BLOCK)
+
+
 def _unpack(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     a = b.column(column)
     return a.flatten().to_numpy(zero_copy_only=False), np.diff(a.offsets.to_numpy()).astype(np.int64)
@@ -301,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
 
     def with_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = tongue.value
-        for b in batches:
+        for b in _blocks(batches):
             ids, per = _unpack(b, "ids")
             best = _sums(log[:, ids].T, per).argmax(1) if len(per) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(best, pa.int32()), b.column("ids"), b.column("lengths")], names=["key", "l", "ids", "lengths"])
@@ -319,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In how many notes a term stands: of all (at 0), and of those given a subject, by votes."""
         sums = np.zeros((len(languages), v + 1, k + 1))
-        for b in batches:
+        for b in _blocks(batches):
             ids, per = _unpack(b, "ids")
             y = np.ones((b.num_rows, k + 1))
             y[:, 1:] = 0
@@ -359,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             gain, own_, bg = held.value
             sums = np.zeros((len(languages), v, k + 1))
-            for b in batches:
+            for b in _blocks(batches):
                 ids, per = _unpack(b, "ids")
                 lengths, per_note = _unpack(b, "lengths")
                 if not len(ids):
@@ -395,7 +404,7 @@ def counted_sentences(model: Model, notes: DataFrame, key: str = "doc_id") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = held.value
-        for b in batches:
+        for b in _blocks(batches):
             ids, _ = _unpack(b, "ids")
             lengths, per_note = _unpack(b, "lengths")
             if not len(ids) or not gain.shape[2]:
