@@ -11,7 +11,7 @@ DAY_MICROS = 86_400_000_000.0
 EPOCH = "1970-01-01 00:00:00"
 CREATED_KEYS, MODIFIED_KEYS = ("created", "created_at", "date"), ("modified", "updated", "updated_at")
 #: Forms of dates in front matter, after those of ISO 8601.
-FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d", "M/d/yyyy", "EEE, dd MMM yyyy HH:mm:ss Z", "MMM d, yyyy HH:mm:ss")
+FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d", "M/d/yyyy", "MMM d, yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss Z")
 
 
 def instant(as_of: str | datetime | Column) -> Column:
@@ -50,7 +50,7 @@ def trend(recent: Column, previous: Column, freshest: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """A date as typed in front matter, in UTC; null where it isn't one."""
-    t = F.trim(c)
+    t = F.regexp_replace(F.trim(c), r"\A[A-Z][a-z]{2}, ", "")
     iso = F.coalesce(F.try_to_timestamp(t), F.when(t.rlike(r"\A[0-9]{4}-[0-9]{2}\z"), F.try_to_timestamp(F.concat(t, F.lit("-01")))), F.when(t.rlike(r"\A[0-9]{4}\z"), F.try_to_timestamp(F.concat(t, F.lit("-01-01")))))
     return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS])
 

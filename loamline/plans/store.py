@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import shutil
+import uuid
 from dataclasses import asdict
 from pathlib import Path
 
@@ -51,24 +52,34 @@ def save_config(vault: str | Path, config: IndexConfig) -> None:
 
 
 def write_index(folder: str | Path, index: Index) -> Path:
-    """Tables first, the manifest last, beside the old index, which is then replaced at once."""
+    """Tables into a folder of their own, then the manifest that names it, at once.
+
+    A reader sees the old index or the new one. The one before stays for those that still read it; older ones go.
+    """
     folder = Path(folder)
-    folder.parent.mkdir(parents=True, exist_ok=True)
-    new, old = folder.with_name(folder.name + ".new"), folder.with_name(folder.name + ".old")
-    shutil.rmtree(new, ignore_errors=True)
+    folder.mkdir(parents=True, exist_ok=True)
+    try:
+        before = read_manifest(folder)["generation"]
+    except FileNotFoundError:
+        before = None
+    generation = uuid.uuid4().hex
     held = [t for t in Index.TABLES if getattr(index, t) is not None]
     for name in held:
-        getattr(index, name).write.parquet(f"{new}/{name}")
-    manifest = {"version": VERSION, "kind": index.kind, "root": index.root, "generated_at": index.generated_at, "config": asdict(index.config), "embedding": index.config.metadata(), "tables": held, "targets": index.targets}
-    (new / MANIFEST).write_text(json.dumps(manifest, indent=2) + "\n")
-    shutil.rmtree(old, ignore_errors=True)
-    if folder.exists():
-        os.rename(folder, old)
-    os.rename(new, folder)
-    shutil.rmtree(old, ignore_errors=True)
+        getattr(index, name).write.parquet(f"{folder}/{generation}/{name}")
+    manifest = {"version": VERSION, "generation": generation, "kind": index.kind, "root": index.root, "generated_at": index.generated_at, "config": asdict(index.config), "embedding": index.config.metadata(), "tables": held, "targets": index.targets}
+    _put_manifest(folder, manifest)
+    for old in folder.iterdir():
+        if old.is_dir() and old.name not in (generation, before):
+            shutil.rmtree(old, ignore_errors=True)
     return folder
 
 
+def _put_manifest(folder: Path, manifest: dict) -> None:
+    new = folder / (MANIFEST + ".new")
+    new.write_text(json.dumps(manifest, indent=2) + "\n")
+    os.replace(new, folder / MANIFEST)
+
+
 def read_manifest(folder: str | Path) -> dict:
     found = json.loads((Path(folder) / MANIFEST).read_text())
     if found["version"] != VERSION:
@@ -78,7 +89,7 @@ def read_manifest(folder: str | Path) -> dict:
 
 def read_index(spark: SparkSession, folder: str | Path) -> Index:
     m = read_manifest(folder)
-    tables = {t: spark.read.parquet(f"{folder}/{t}") for t in m["tables"]}
+    tables = {t: spark.read.parquet(f"{folder}/{m['generation']}/{t}") for t in m["tables"]}
     return Index(IndexConfig().merged(m["config"]), **tables, kind=m["kind"], root=m["root"], generated_at=m["generated_at"], targets=m["targets"])
 
 
@@ -102,7 +113,5 @@ def read_target(spark: SparkSession, vault: str | Path, wanted: str) -> Index:
 
 def set_targets(vault: str | Path, targets: list[dict]) -> None:
     """Puts the registry into the manifest; the tables stay as they are."""
-    at = index_path(vault) / MANIFEST
-    new = at.with_suffix(".new")
-    new.write_text(json.dumps(json.loads(at.read_text()) | {"targets": targets}, indent=2) + "\n")
-    os.replace(new, at)
+    folder = index_path(vault)
+    _put_manifest(folder, read_manifest(folder) | {"targets": targets})
