@@ -52,19 +52,26 @@ class Tree:
     def priorities(self, queries: np.ndarray) -> np.ndarray:
         """For each query and leaf, what the search orders by; the lower the sooner.
 
-        A node leaves the queue after all that precede it and after those above it, so the order of the leaves is that of
-        the worst priority on the way to each. That is the same search for a whole block, without a queue for each query.
+        A node leaves the queue after all that precede it and after those above it, so leaves come by the worst priority
+        on the way to each; of equals, which stand below one node, by the worst that follows it. For trees of three levels, as
+        those of the sizes above are, that is the same search for a whole block, without a queue for each query.
         """
         away = -(queries @ self.centroids.T)
         worst = away[:, self.paths[:, 0]]
+        after = np.full_like(worst, -2.0)
         for level in range(1, self.paths.shape[1]):
-            np.maximum(worst, away[:, self.paths[:, level]], out=worst)
-        return worst
+            own = away[:, self.paths[:, level]]
+            after = np.where(own > worst, np.float32(-2.0), np.maximum(after, own))
+            np.maximum(worst, own, out=worst)
+        # Priorities are 32-bit floats: the second key is too small to change an order that the first one knows.
+        return worst.astype(np.float64) + 1e-9 * after
 
     def visits(self, queries: np.ndarray, n: int) -> np.ndarray:
         """The first ``n`` leaves of each query; the first is the one it belongs to."""
         p = self.priorities(queries)
         n = min(n, p.shape[1])
+        if n == 1:
+            return p.argmin(1)[:, None]
         first = np.argpartition(p, n - 1, axis=1)[:, :n] if n < p.shape[1] else np.tile(np.arange(n), (len(p), 1))
         by = np.take_along_axis(p, first, 1)
         return np.take_along_axis(first, np.argsort(by, axis=1, kind="stable"), 1)
@@ -213,8 +220,8 @@ class Index:
         self.visits = min(total, max(2, self.visits))
         self.recall = float((ranks <= self.visits).mean())
 
-    def _cells(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each leaf its first cell and the number of its cells: small leaves share one, a leaf too large for one is dealt out over several."""
+    def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each leaf its first cell, the number of its cells and of its vectors: small leaves share one, a leaf too large for one is dealt out over several."""
         tree = self.tree
         got = self.rows.groupBy("leaf").agg(F.count("*").alias("n")).toArrow()
         sizes = np.zeros(len(tree.leaves), np.int64)
@@ -227,7 +234,7 @@ class Index:
                 now, filled = now + (filled > 0), 0
             first[leaf] = now
             now, filled = (now + parts[leaf], 0) if parts[leaf] > 1 else (now, filled + n)
-        return first, parts
+        return first, parts, sizes
 
     def neighbours(self, queries: DataFrame | None = None) -> DataFrame:
         """rep, near: the ``k`` most similar other classes of each query class (all by default) as (cosine, ids), best first.
@@ -239,7 +246,19 @@ class Index:
         if not self.n:
             return self.rows.select("rep", F.array().cast("array<struct<cosine:double,ids:array<bigint>>>").alias("near")).limit(0)
         tree, dim, k, visits, least = self.tree, self.dim, self.k, self.visits, self.min_cosine
-        first, parts = self._cells()
+        first, parts, sizes = self._cells()
+
+        def wanted_leaves(x: np.ndarray) -> list[list[int]]:
+            """The leaves of each query: as many as calibrated, more where they hold fewer than ``k`` others."""
+            n, out = visits, [None] * len(x)
+            todo = np.arange(len(x))
+            while len(todo):
+                seen = tree.visits(x[todo], n)
+                enough = (sizes[seen].sum(1) > k) | (n >= len(sizes))
+                for i, own in zip(todo[enough], seen[enough], strict=True):
+                    out[i] = own.tolist()
+                todo, n = todo[~enough], n * 2
+            return out
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -247,9 +266,9 @@ class Index:
                 x = _matrix(vec, dim)
                 for i in range(0, len(x), BLOCK):
                     row, cell, leaves = [], [], []
-                    for r, own in enumerate(tree.visits(x[i : i + BLOCK], visits)):
+                    for r, own in enumerate(wanted_leaves(x[i : i + BLOCK])):
                         by: dict[int, list[int]] = {}
-                        for leaf in own.tolist():
+                        for leaf in own:
                             for c in range(first[leaf], first[leaf] + parts[leaf]):
                                 by.setdefault(c, []).append(leaf)
                         for c, those in by.items():
