@@ -30,8 +30,10 @@ PASSES, ROUNDS = 6, 4
 DISCOUNT, EVIDENCE = 1.0, 1.0
 #: How many times as often as in all notes a term stands in those judged to be of a subject, to be a word of it; and by how many standard deviations.
 LIFT, SURE = 1.8, 1.3
-#: Notes that are scored at once, for the memory of a worker.
-BLOCK = 512
+#: Notes, and terms, that are scored at once, for the memory of a worker.
+BLOCK, SCORED = 512, 200_000
+#: Terms of a note from which it weighs no more in the counts, so that one very long note isn't the background of all.
+HEAVY = 2_000
 #: Sentences about a subject that make it one of a note's.
 SENTENCES = 3
 #: Words without a full stop from which a run of text is cut by learnt beginnings of sentences.
@@ -192,9 +194,17 @@ def infer(gain: np.ndarray, language: np.ndarray, ids: np.ndarray, per_sentence:
     what its sentences are about.
     """
     note_of = np.repeat(np.arange(len(per_note)), per_note)
-    lang = np.repeat(language[note_of], per_sentence)
-    score = _sums(gain[lang, ids], per_sentence)
     k = gain.shape[2]
+    score = np.zeros((len(per_sentence), k))
+    ends = np.cumsum(per_sentence)
+    a = 0
+    while a < len(per_sentence):
+        # So many terms at once, whole sentences: a very long note takes no more memory than many short ones.
+        begin = ends[a] - per_sentence[a]
+        z = max(a + 1, int(np.searchsorted(ends, begin + SCORED, side="right")))
+        lang = np.repeat(language[note_of[a:z]], per_sentence[a:z])
+        score[a:z] = _sums(gain[lang, ids[begin : ends[z - 1]]], per_sentence[a:z])
+        a = z
     score = np.concatenate([score, np.zeros((len(score), 1))], 1)
     alpha = np.concatenate([np.full(k, ALPHA), [BACKGROUND]])[None] + (0 if prior is None else prior)
     share = alpha / alpha.sum(1, keepdims=True) * np.ones((len(per_note), 1))
@@ -241,6 +251,11 @@ def encode_notes(docs: DataFrame, key: str, terms: list[str], starts: frozenset[
     return cut(rows.mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, lang string, ids array<int>, lengths array<int>"), "notes")
 
 
+def _weight(per: np.ndarray) -> np.ndarray:
+    """What each term of notes with so many terms counts."""
+    return np.repeat(np.minimum(1.0, HEAVY / np.maximum(per, 1)), per)
+
+
 def _term_sums(rows: DataFrame, width: int, run) -> np.ndarray:
     """Sums over all rows by (language, term); ``run`` gives them for a partition as rows of language, term and an array."""
     got = rows.mapInArrow(run, "l int, t int, v array<double>").groupBy("l", "t").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).toArrow()
@@ -298,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
         for b in batches:
             ids, per = _unpack(b, "ids")
             lang = np.repeat([place.get(x, 0) for x in b.column("lang").to_pylist()], per)
-            np.add.at(sums, (lang.astype(int), ids, 0), 1.0)
+            np.add.at(sums, (lang.astype(int), ids, 0), _weight(per))
         yield _emit(sums)
 
     l, t, x = _term_sums(notes, 1, by_language) if v else empty
@@ -380,13 +395,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
                         prior[i, one["s"]] = VOTE * one["vote"]
                 part = infer(gain, lang, ids, lengths.astype(np.int64), per_note, prior)
                 of = np.repeat(np.arange(len(lengths)), lengths)
-                spoken_ = np.repeat(lang, per)
-                np.add.at(sums[:, :, k], (spoken_, ids), 1.0)
+                spoken_, heavy = np.repeat(lang, per), _weight(per)
+                np.add.at(sums[:, :, k], (spoken_, ids), heavy)
                 for s in range(k):
                     some = np.flatnonzero(part[of, s] > 1e-3)
                     w = ids[some]
                     mine = OWN * own_[spoken_[some], s, w]
-                    np.add.at(sums[:, :, s], (spoken_[some], w), part[of[some], s] * mine / (mine + (1 - OWN) * bg[spoken_[some], w]))
+                    np.add.at(sums[:, :, s], (spoken_[some], w), heavy[some] * part[of[some], s] * mine / (mine + (1 - OWN) * bg[spoken_[some], w]))
             yield _emit(sums)
 
         l, t, x = _term_sums(notes, k + 1, count)

@@ -33,14 +33,14 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[str], n: int, rank:
     if n < 1:
         raise ValueError("n must be at least 1")
     s = F.col(score).cast("double")
-    # -0.0 and 0.0 are equal scores; -(x) - 1 turns the order of integers round without overflow.
-    turned: list[Column] = [F.coalesce(F.bitwise_not(F.col(c).cast("bigint")), F.lit(-(2**63))) for c in ties]
+    # -0.0 and 0.0 are equal scores; -(x) - 1 turns the order of integers round without overflow, and a null stays below all.
+    turned: list[Column] = [F.bitwise_not(F.col(c).cast("bigint")) for c in ties]
     entry = F.struct((s + F.lit(0.0)).alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(turned)])
     usable = F.col(group).isNotNull() & s.isNotNull() & ~F.isnan(s) & F.col(ties[0]).isNotNull()
     heap = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.col("e"), F.lit(n), F.lit(False))
     best = df.where(usable).select(F.col(group).alias("g"), entry.alias("e")).groupBy("g").agg(heap.alias("h"))
     row = best.select("g", F.posexplode("h").alias("p", "e"))
-    back = [F.when(F.col(f"e.t{i}") != -(2**63), F.bitwise_not(F.col(f"e.t{i}"))).alias(c) for i, c in enumerate(ties)]
+    back = [F.bitwise_not(F.col(f"e.t{i}")).alias(c) for i, c in enumerate(ties)]
     return row.select(F.col("g").alias(group), (F.col("p") + 1).alias(rank), F.col("e.s").alias(score), *back)
 
 
