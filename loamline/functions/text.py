@@ -83,9 +83,12 @@ def tokenize(c: Column, aliases: bool = True) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.lower(strip_markdown(c)), "['’]", ""), "[^a-z0-9]+", " ")
     stop = F.array_contains
     base = F.filter(F.transform(F.split(bare, " "), stem), lambda t: (F.length(t) > 1) & ~stop(_stopwords(), t))
-    if not aliases:
-        return base
-    return F.flatten(F.transform(base, lambda t: F.concat(F.array(t), F.coalesce(F.element_at(_alias_map(), t), F.array().cast("array<string>")))))
+    return with_aliases(base) if aliases else base
+
+
+def with_aliases(tokens: Column) -> Column:
+    """Each token followed by the words that stand for it."""
+    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.coalesce(F.element_at(_alias_map(), t), F.array().cast("array<string>")))))
 
 
 def phrases(c: Column) -> Column:

@@ -52,9 +52,13 @@ def documents(raw: DataFrame, config: IndexConfig | None = None) -> DataFrame:
 
 
 def chunks(docs: DataFrame, config: IndexConfig | None = None) -> DataFrame:
-    """The passages of each note as windows of words, with what they take over from the note, and their tokens."""
+    """The passages of each note as windows of words, with what they take over from the note, and their tokens.
+
+    ``tokens`` are those of title and content with aliases; ``plain`` those of the content alone without, from which the
+    terms of entities are counted. Text is taken apart here and nowhere later.
+    """
     config = config or IndexConfig()
     own = ["doc_id", "title", "path", "relative_path", "created_at", "modified_at", "entities"]
     rows = docs.select(*own, F.posexplode(X.chunk_windows(F.col("content"), config.chunk_size_words, config.chunk_overlap_words)).alias("ordinal", "content"))
     rows = rows.withColumn("chunk_id", F.concat_ws(":", "doc_id", F.col("ordinal").cast("string")))
-    return rows.withColumn("tokens", X.tokenize(F.concat_ws(" ", "title", "content")))
+    return rows.withColumn("tokens", X.tokenize(F.concat_ws(" ", "title", "content"))).withColumn("plain", X.tokenize(F.col("content"), aliases=False))

@@ -34,32 +34,38 @@ def _filled(question: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
+PICKED = 10
+
+
 def picked_terms(entities: DataFrame, chunks: DataFrame, idf: DataFrame) -> DataFrame:
     """entity_id, terms (10 at most: the weightiest, then frequent phrases and words), top_terms (12).
 
-    Terms are counted passage by passage and summed, so the text of an entity is never put together.
+    Terms are counted passage by passage and summed, so the text of an entity is never put together. Phrases and words
+    only come in where an entity has fewer than 10 terms at all, so only those entities are looked through for them.
     """
-    of = cut(chunks.select(F.explode("entities").alias("entity_id"), "content").join(entities.select("entity_id"), "entity_id").select("entity_id", X.tokenize(F.col("content")).alias("tokens"), X.tokenize(F.col("content"), aliases=False).alias("plain")), "entitytokens")
-    counts = G.term_counts(of, "entity_id")
-    heavy = G.listed(G.weighted_terms(counts, idf, ["entity_id"], 12), ["entity_id"], name="top_terms")
-    words = G.listed(G.top_terms(counts, ["entity_id"], 12), ["entity_id"], name="words")
-    runs = of.select("entity_id", F.explode(X.phrases_of(F.col("plain"))).alias("term")).groupBy("entity_id", "term").agg(F.count("*").alias("tf"))
+    chosen = F.broadcast(entities.select("entity_id"))
+    of = chunks.select(F.explode("entities").alias("entity_id"), "plain").join(chosen, "entity_id")
+    counts = G.term_counts(of.select("entity_id", X.with_aliases(F.col("plain")).alias("tokens")), "entity_id")
+    heavy = cut(G.listed(G.weighted_terms(counts, idf, ["entity_id"], 12), ["entity_id"], name="top_terms"), "topterms")
+    few = of.join(F.broadcast(heavy.where(F.size("top_terms") < PICKED).select("entity_id")), "entity_id")
+    words = G.listed(G.top_terms(G.term_counts(few.select("entity_id", X.with_aliases(F.col("plain")).alias("tokens")), "entity_id"), ["entity_id"], 12), ["entity_id"], name="words")
+    runs = few.select("entity_id", F.explode(X.phrases_of(F.col("plain"))).alias("term")).groupBy("entity_id", "term").agg(F.count("*").alias("tf"))
     phrases = G.listed(G.top_terms(runs, ["entity_id"], 6), ["entity_id"], name="phrases")
     none = F.array().cast("array<string>")
     rows = entities.select("entity_id").join(heavy, "entity_id", "left").join(phrases, "entity_id", "left").join(words, "entity_id", "left")
     terms = F.concat(F.coalesce("top_terms", none), F.transform(F.coalesce("phrases", none), lambda p: F.translate(p, " ", "_")), F.coalesce("words", none))
-    return rows.select("entity_id", F.slice(F.array_distinct(terms), 1, 10).alias("terms"), F.coalesce("top_terms", none).alias("top_terms"))
+    return cut(rows.select("entity_id", F.slice(F.array_distinct(terms), 1, PICKED).alias("terms"), F.coalesce("top_terms", none).alias("top_terms")), "picked")
 
 
-def questions(entities: DataFrame, chunks: DataFrame, docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """probe_id, entity_id, entity_pos, entity_name, entity_type, era, context, text, terms, ordinal: up to four questions for each entity that has passages."""
-    terms = picked_terms(entities, chunks, idf)
+def questions(entities: DataFrame, chunks: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """probe_id, entity_id, entity_pos, entity_name, entity_type, era, context, text, terms, ordinal: up to four questions for each entity that has passages. ``terms``: those of ``picked_terms``."""
     place = F.struct("created_at", F.collate("relative_path", "UNICODE"), "ordinal")
-    ends = chunks.select(F.explode("entities").alias("entity_id"), "content", "created_at", "relative_path", "ordinal").join(entities.select("entity_id"), "entity_id")
-    ends = ends.groupBy("entity_id").agg(F.min_by("content", place).alias("early"), F.max_by("content", place).alias("recent"), F.count("*").alias("n_chunks"))
-    sides = ends.select("entity_id", F.explode(F.create_map(F.lit("early"), X.tokenize(F.col("early")), F.lit("recent"), X.tokenize(F.col("recent")))).alias("side", "tokens"))
+    chosen = F.broadcast(entities.select("entity_id"))
+    ends = chunks.select(F.explode("entities").alias("entity_id"), "plain", "created_at", "relative_path", "ordinal").join(chosen, "entity_id")
+    ends = ends.groupBy("entity_id").agg(F.min_by("plain", place).alias("early"), F.max_by("plain", place).alias("recent"), F.count("*").alias("n_chunks"))
+    sides = ends.select("entity_id", F.explode(F.create_map(F.lit("early"), X.with_aliases(F.col("early")), F.lit("recent"), X.with_aliases(F.col("recent")))).alias("side", "tokens"))
     side = G.top_terms(G.term_counts(sides, ["entity_id", "side"]), ["entity_id", "side"], 1).groupBy("entity_id").agg(F.max(F.when(F.col("side") == "early", F.col("term"))).alias("early_term"), F.max(F.when(F.col("side") == "recent", F.col("term"))).alias("recent_term"))
-    dates = docs.select(F.explode("entities").alias("entity_id"), "created_at").join(entities.select("entity_id"), "entity_id").groupBy("entity_id").agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    dates = docs.select(F.explode("entities").alias("entity_id"), "created_at").join(chosen, "entity_id").groupBy("entity_id").agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
     rows = entities.select("entity_id", "entity_pos", "entity_type", F.col("name").alias("entity_name")).join(ends.select("entity_id", "n_chunks"), "entity_id").join(terms, "entity_id").join(side, "entity_id", "left").join(dates, "entity_id")
 
     shown = M.display_name(F.col("entity_type"), F.col("entity_name"))

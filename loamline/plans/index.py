@@ -55,12 +55,12 @@ def build(raw: DataFrame, as_of, config: IndexConfig | None = None, load: Callab
     idf = cut(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(max(1, n)) + 1) / (F.col("df") + 1)) + 1), "idf")
     vectors = cut(weights.tfidf(counts, idf, "chunk_id"), "vectors")
     top = entities.selected(entities.summaries(docs, rows, as_of), config)
-    asked = cut(probes.embedded(probes.questions(top, rows, docs, idf), maker), "probes")
+    terms = probes.picked_terms(top, rows, idf)
+    asked = cut(probes.embedded(probes.questions(top, rows, docs, terms), maker), "probes")
     asked_terms = cut(probes.probe_vectors(asked, idf), "probeterms")
     links = cut(probes.links(asked, asked_terms, rows, vectors, C.LINKS_PER_PROBE), "links")
-    terms = probes.picked_terms(top, rows, idf).select("entity_id", "top_terms")
     ids = asked.groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "probe_id"))), lambda x: x["probe_id"]).alias("probe_ids"))
-    full = top.join(terms, "entity_id", "left").join(ids, "entity_id", "left").withColumn("probe_ids", F.coalesce("probe_ids", F.array().cast("array<string>")))
+    full = top.join(terms.select("entity_id", "top_terms"), "entity_id", "left").join(ids, "entity_id", "left").withColumn("probe_ids", F.coalesce("probe_ids", F.array().cast("array<string>")))
     from loamline.functions.timefn import instant, iso
 
     made = raw.sparkSession.range(1).select(iso(instant(as_of))).first()[0]
