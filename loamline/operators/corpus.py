@@ -9,7 +9,7 @@ from loamline.config import IndexConfig
 from loamline.functions import markdown as M
 from loamline.functions import text as X
 from loamline.functions import timefn as T
-from loamline.session import spread
+from loamline.session import cores, spread
 
 
 def path_order(column: str = "relative_path") -> list[Column]:
@@ -31,7 +31,7 @@ def documents(raw: DataFrame, config: IndexConfig | None = None) -> DataFrame:
     config = config or IndexConfig()
     rows = raw.where(F.col("relative_path").isNotNull())
     if config.max_files is not None:
-        rows = rows.orderBy(*path_order()).limit(config.max_files)
+        rows = rows.orderBy(*path_order()).limit(config.max_files).repartition(cores(raw.sparkSession))
     text = F.coalesce(F.make_valid_utf8(F.col("raw").cast("string")), F.lit(""))
     rows = spread(rows).select("path", "relative_path", "birth_ts", "mtime", M.body(text).alias("content"), F.coalesce(M.parse_yaml(M.frontmatter_block(text)), F.create_map().cast(M.MAP)).alias("frontmatter"))
     rows = rows.select(

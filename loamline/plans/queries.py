@@ -14,11 +14,13 @@ from loamline.functions import vectors as V
 from loamline.operators import corpus, embed, entities, timestamps, weights
 from loamline.plans import index as I
 from loamline.plans import store
-from loamline.session import spread
+from loamline.session import cores, spread
 
 AS_OF = "2025-12-31 00:00:00"
 #: The corpus of the queries isn't a folder of files, so its size isn't limited.
 CONFIG = IndexConfig(max_files=None)
+#: Vectors that are asked for at once.
+QUERY_BLOCK = 4_000
 QUESTION = "how did the cache layer change after the release of the message queue?"
 
 
@@ -220,10 +222,15 @@ def dense_cosine_topk(spark, folder):
 
 
 def dense_knn_per_vector(spark, folder):
-    """The five nearest of each vector whose number is divisible by 20, exactly: the stated queries go to every task as a matrix."""
+    """The five nearest of each vector whose number is divisible by 20, exactly: the stated queries go to every task as matrices, block by block."""
     e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = [(str(r.vec_id), None, r.embedding) for r in e.where("vec_id % 20 = 0").collect()]
-    rows = embed.dense_top(spread(e), asked, ["vec_id"], 6) if asked else e.select(F.lit("").alias("probe_id"), "vec_id", F.lit(0.0).alias("dense")).limit(0)
+    queries = e.where("vec_id % 20 = 0")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows = e.select(F.lit("").alias("probe_id"), "vec_id", F.lit(0.0).alias("dense")).limit(0)
+    for i in range(blocks):
+        asked = [(str(r.vec_id), None, r.embedding) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()]
+        if asked:
+            rows = rows.unionByName(embed.dense_top(spread(e), asked, ["vec_id"], 6))
     rows = rows.select(F.col("probe_id").cast("bigint").alias("query_id"), "vec_id", F.round("dense", 9).alias("score")).where("query_id <> vec_id and score > 0")
     return weights.ranked(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
@@ -305,9 +312,10 @@ def _target(spark, folder) -> I.Index:
     """The questions of the documents linked to the notes of the vaults."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _applied:
-        g = table(spark, folder, "garden_documents").where("doc_no is not null and content is not null").groupBy("doc_no").agg(F.max("content").alias("content"))
+        g = table(spark, folder, "garden_documents").where("doc_no is not null and content is not null").select("doc_no", "content")
+        g = g.repartition(max(cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_no").groupBy("doc_no").agg(F.max("content").alias("content"))
         born = F.timestamp_seconds(F.unix_timestamp(F.lit("2025-01-01 00:00:00")) + F.col("doc_no") % 300 * 86400)
-        raw = corpus.from_dataframe(spread(g), F.concat(F.lit("garden/note-"), F.col("doc_no").cast("string"), F.lit(".md")), F.col("content"), born, born)
+        raw = corpus.from_dataframe(g, F.concat(F.lit("garden/note-"), F.col("doc_no").cast("string"), F.lit(".md")), F.col("content"), born, born)
         _applied[key] = I.project(built(spark, folder), raw)
     return _applied[key]
 

@@ -16,19 +16,18 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def splits(df: DataFrame) -> int:
-    """The number of partitions the plan starts with; planning only, no job."""
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows out when the scan has fewer splits than there are cores.
+    """Deals the rows of a scan out when it has fewer splits than there are cores.
 
-    A Parquet file of one row group is one task however large the cluster. Where the scan has
-    splits enough, which is always so at scale, nothing is shuffled.
+    A Parquet file of one row group is one task however large the cluster. Where the scan has splits enough, which is
+    always so at scale, nothing is shuffled. Counting splits is planning only; a plan that shuffles is left as it is, for
+    to count its partitions would be to run it.
     """
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     n = cores(df.sparkSession)
-    return df if splits(df) >= n else df.repartition(n)
+    return df if plan.toRdd().getNumPartitions() >= n else df.repartition(n)
 
 
 def shared_dir(spark: SparkSession) -> str:
