@@ -39,19 +39,21 @@ def ranked_probes(probes: DataFrame, probe_terms: DataFrame, query: Query, limit
     return G.ranked(rows.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.col("entity_pos"), F.col("ordinal")], limit).drop("_all", "dense", "sparse")
 
 
-def search(chunks: DataFrame, chunk_terms: DataFrame, matched: DataFrame, links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
+def search(chunks: DataFrame, matched: DataFrame, links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
     """rank, chunk_id, probe_ids, content (a snippet), path, relative_path, score, title.
 
-    All passages are scored in one scan of their vectors; the matched questions (ten at most) and their links are
-    broadcast. The text of passages is only read for those that come out.
+    All passages are scored in one scan of their vectors, without a shuffle: each row has its own sparse and dense
+    vector. The matched questions (ten at most) and their links (as many as the settings allow) are broadcast. The text
+    of passages is only read for those that come out.
     """
     contributions = links.select("probe_id", "chunk_id", F.col("score").alias("link")).join(F.broadcast(matched.select("probe_id", F.col("rank").alias("place"), F.col("score").alias("match"))), "probe_id")
     by_probe = contributions.groupBy("chunk_id").agg(
         F.max(F.greatest(F.lit(0.0), F.col("link") * F.col("match"))).alias("by_probe"), F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "probe_id"))), lambda x: x["probe_id"])), 1, C.PROBES_SHOWN).alias("probe_ids")
     )
-    dense = dense_top(chunks, [("q", None, query.embedding)], ["chunk_id", "relative_path", "ordinal", "modified_at"], None).drop("probe_id")
-    rows = dense.join(G.sparse_scores(chunk_terms, query.terms, "chunk_id"), "chunk_id", "left").join(by_probe, "chunk_id", "left")
-    direct = V.combined(F.col("dense"), F.coalesce("sparse", F.lit(0.0)))
+    own = chunks.select("chunk_id", "relative_path", "ordinal", "modified_at", "embedding", G.sparse_score(F.col("vector"), query.terms).alias("sparse"))
+    dense = dense_top(own, [("q", None, query.embedding)], ["chunk_id", "relative_path", "ordinal", "modified_at", "sparse"], None).drop("probe_id")
+    rows = dense.join(F.broadcast(by_probe), "chunk_id", "left")
+    direct = V.combined(F.col("dense"), F.col("sparse"))
     score = V.fused(direct, F.coalesce("by_probe", F.lit(0.0)), T.recency(F.col("modified_at"), half_life, as_of))
     scored = rows.withColumn("score", F.round(score, 6)).where(score > 0)
     order = [F.desc("score"), F.collate("relative_path", "UNICODE"), F.col("relative_path"), F.col("ordinal")]

@@ -42,6 +42,19 @@ def sparse_scores(vectors: DataFrame, query: dict[str, float], key: str) -> Data
     return vectors.where(F.col("term").isin(list(query))).groupBy(key).agg(F.sum(F.col("weight") * weight).alias("sparse"))
 
 
+def as_maps(vectors: DataFrame, key: str) -> DataFrame:
+    """key, vector: the terms of each key as a map to their weights."""
+    return vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vector"))
+
+
+def sparse_score(vector: Column, query: dict[str, float]) -> Column:
+    """The product of a row's own vector with one query vector: no join, whatever the number of rows."""
+    score = F.lit(0.0)
+    for term, weight in query.items():
+        score = score + F.coalesce(F.element_at(vector, term), F.lit(0.0)) * F.lit(weight)
+    return score
+
+
 def ranked(counts: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each key, with ``rank`` from 1. Only so many a task leave it."""
     return counts.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= limit)

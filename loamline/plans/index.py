@@ -45,6 +45,12 @@ def passages(raw: DataFrame, config: IndexConfig, maker: Embedder) -> tuple[Data
     return docs, cut(rows, "chunks")
 
 
+def with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The passages with their own sparse vector, so that a query needs no join."""
+    none = F.create_map().cast("map<string,double>")
+    return rows.join(weights.as_maps(vectors, "chunk_id"), "chunk_id", "left").withColumn("vector", F.coalesce("vector", none))
+
+
 def build(raw: DataFrame, as_of, config: IndexConfig | None = None, load: Callable | None = None, root: str = "") -> Index:
     """The whole index. ``as_of`` is the one "now" of it; nothing reads the clock."""
     config = config or IndexConfig()
@@ -54,6 +60,7 @@ def build(raw: DataFrame, as_of, config: IndexConfig | None = None, load: Callab
     n = rows.count()
     idf = cut(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(max(1, n)) + 1) / (F.col("df") + 1)) + 1), "idf")
     vectors = cut(weights.tfidf(counts, idf, "chunk_id"), "vectors")
+    rows = cut(with_vectors(rows, vectors), "chunks")
     top = entities.selected(entities.summaries(docs, rows, as_of), config)
     terms = probes.picked_terms(top, rows, idf)
     asked = cut(probes.embedded(probes.questions(top, rows, docs, terms), maker), "probes")
@@ -76,7 +83,7 @@ def ask(index: Index, text: str, as_of, limit: int | None = None, load: Callable
     """The passages and the matched questions (five of them are shown) of a query."""
     query = search.query_vectors(index.chunks.sparkSession, text, index.idf, embedder(index.config, load))
     matched = cut(search.ranked_probes(index.probes, index.probe_terms, query), "matched")
-    hits = search.search(index.chunks, index.chunk_terms, matched, index.links, query, as_of, index.config.recency_half_life_days, limit or index.config.max_results)
+    hits = search.search(index.chunks, matched, index.links, query, as_of, index.config.recency_half_life_days, limit or index.config.max_results)
     return hits, matched.where(F.col("rank") <= C.PROBES_SHOWN)
 
 
@@ -103,5 +110,6 @@ def project(index: Index, raw: DataFrame, load: Callable | None = None, root: st
     maker = embedder(index.config, load)
     docs, rows = passages(raw, index.config, maker)
     vectors = cut(weights.tfidf(weights.term_counts(rows, "chunk_id"), index.idf, "chunk_id"), "vectors")
+    rows = cut(with_vectors(rows, vectors), "chunks")
     links = cut(probes.links(index.probes, index.probe_terms, rows, vectors, C.LINKS_PER_PROBE_APPLIED, restricted=False), "links")
     return replace(index, documents=docs, chunks=rows, chunk_terms=vectors, links=links, entities=index.entities.limit(0), kind="target", root=root, targets=[])

@@ -43,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` has written in this process. Results that still read them can't be used any more."""
+    jvm = spark._jvm
+    while _written:
+        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes the rows to the shared folder and reads them back: a lineage of one scan, which a lost executor can't break.
 
@@ -50,6 +61,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/loamline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

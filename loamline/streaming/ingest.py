@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loamline.config import IndexConfig
 from loamline.operators import corpus, weights
 from loamline.operators.embed import embedder
+from loamline.plans.index import with_vectors
 
 
 def arriving(raw: DataFrame, delay: str = "1 hour", when: str = "mtime") -> DataFrame:
@@ -30,7 +31,7 @@ def append(raw: DataFrame, idf: DataFrame, folder: str, checkpoint: str, config:
         docs = corpus.documents(batch, config).persist()
         rows = embedder(config).embed_tokens(corpus.chunks(docs, config), "tokens").persist()
         vectors = weights.tfidf(weights.term_counts(rows, "chunk_id"), idf, "chunk_id", default)
-        for name, table in (("documents", docs), ("chunks", rows), ("chunk_terms", vectors)):
+        for name, table in (("documents", docs), ("chunks", with_vectors(rows, vectors)), ("chunk_terms", vectors)):
             table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
         rows.unpersist()
         docs.unpersist()
