@@ -23,8 +23,8 @@ LEAF, BRANCH = 32, 100
 CELL = 80_000
 #: Queries that the number of leaf visits is calibrated on, against all vectors.
 CALIBRATION = 1_000
-#: Rows that are scored at once, for the memory of a worker.
-BLOCK = 2_048
+#: Rows, and leaves of opened branches, that are scored at once, for the memory of a worker.
+BLOCK, OPENED = 2_048, 2_000_000
 
 
 @dataclass
@@ -49,32 +49,78 @@ class Tree:
                 for c, s in zip(below, self.centroids[below] @ query, strict=True):
                     heapq.heappush(queue, (-float(s), c))
 
-    def priorities(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and leaf, what the search orders by; the lower the sooner.
+    def __post_init__(self):
+        """The branches below the root: the leaves of each, which stand together, its nodes, and the paths by those."""
+        top = self.paths[:, 0]
+        self.starts = np.flatnonzero(np.diff(top, prepend=-1))
+        self.sizes = np.diff([*self.starts, len(top)])
+        self.tops = top[self.starts]
+        self.branches = []
+        for a, n in zip(self.starts, self.sizes, strict=True):
+            nodes, local = np.unique(self.paths[a : a + n], return_inverse=True)
+            self.branches.append((self.centroids[nodes], local.reshape(n, -1)))
+
+    @staticmethod
+    def _worst(away: np.ndarray, paths: np.ndarray) -> np.ndarray:
+        """For each query and leaf, what the search orders by; the lower the sooner. ``away``: by node.
 
         A node leaves the queue after all that precede it and after those above it, so leaves come by the worst priority
-        on the way to each; of equals, which stand below one node, by the worst that follows it. For trees of three levels, as
-        those of the sizes above are, that is the same search for a whole block, without a queue for each query.
+        on the way to each; of equals, which stand below one node, by the worst that follows it. For trees of three levels,
+        as those of the sizes above are, that is the same search for a whole block, without a queue for each query.
         """
-        away = -(queries @ self.centroids.T)
-        worst = away[:, self.paths[:, 0]]
+        worst = away[:, paths[:, 0]]
         after = np.full_like(worst, -2.0)
-        for level in range(1, self.paths.shape[1]):
-            own = away[:, self.paths[:, level]]
+        for level in range(1, paths.shape[1]):
+            own = away[:, paths[:, level]]
             after = np.where(own > worst, np.float32(-2.0), np.maximum(after, own))
             np.maximum(worst, own, out=worst)
         # Priorities are 32-bit floats: the second key is too small to change an order that the first one knows.
         return worst.astype(np.float64) + 1e-9 * after
 
+    def priorities(self, queries: np.ndarray) -> np.ndarray:
+        """What the search orders all leaves by."""
+        return self._worst(-(queries @ self.centroids.T), self.paths)
+
     def visits(self, queries: np.ndarray, n: int) -> np.ndarray:
-        """The first ``n`` leaves of each query; the first is the one it belongs to."""
-        p = self.priorities(queries)
-        n = min(n, p.shape[1])
-        if n == 1:
-            return p.argmin(1)[:, None]
-        first = np.argpartition(p, n - 1, axis=1)[:, :n] if n < p.shape[1] else np.tile(np.arange(n), (len(p), 1))
-        by = np.take_along_axis(p, first, 1)
-        return np.take_along_axis(first, np.argsort(by, axis=1, kind="stable"), 1)
+        """The first ``n`` leaves of each query; the first is the one it belongs to.
+
+        Only branches whose own priority is within the last of these leaves are opened, as by the queue: the nearest
+        few at first, twice as many for the queries for which that doesn't do.
+        """
+        n = min(n, len(self.leaves))
+        out = np.empty((len(queries), n), np.int64)
+        top = -(queries @ self.centroids[self.tops].T)
+        todo, opened = np.arange(len(queries)), 2
+        while len(todo):
+            opened = min(opened, len(self.tops))
+            near = np.argsort(top[todo], axis=1, kind="stable")
+            width = int(self.sizes.max())
+            block = max(1, OPENED // (opened * width))
+            again = []
+            for i in range(0, len(todo), block):
+                rows, chosen = todo[i : i + block], near[i : i + block, :opened]
+                found = np.full((len(rows), opened, width), np.inf)
+                for j in np.unique(chosen):
+                    who, place = np.nonzero(chosen == j)
+                    nodes, paths = self.branches[j]
+                    found[who, place, : self.sizes[j]] = self._worst(-(queries[rows[who]] @ nodes.T), paths)
+                flat = found.reshape(len(rows), -1)
+                first = np.argpartition(flat, n - 1, axis=1)[:, :n] if n < flat.shape[1] else np.argsort(flat, axis=1)[:, :n]
+                if first.shape[1] < n:
+                    again.append(rows)
+                    continue
+                by = np.take_along_axis(flat, first, 1)
+                order = np.argsort(by, axis=1, kind="stable")
+                first, by = np.take_along_axis(first, order, 1), np.take_along_axis(by, order, 1)
+                leaf = self.starts[np.take_along_axis(chosen, first // width, 1)] + first % width
+                done = np.isfinite(by[:, -1])
+                if opened < len(self.tops):
+                    # The next branch comes later than the last leaf taken.
+                    done &= by[:, -1] < top[rows, near[i : i + block][:, opened]] - 1e-6
+                out[rows[done]] = leaf[done]
+                again.append(rows[~done])
+            todo, opened = np.concatenate(again) if again else todo[:0], opened * 2
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:

@@ -110,3 +110,15 @@ def test_block_order_is_that_of_the_queue():
         queue = list(tree.order(q))
         assert sorted(queue) == list(range(len(tree.leaves)))
         assert [int(i) for i in tree.visits(q[None], len(queue))[0]][:10] == queue[:10]
+
+
+@pytest.mark.parametrize(("n", "leaf", "branch"), [(1, 4, 3), (500, 8, 12), (500, 3, 50), (40, 100, 10), (300, 2, 5)])
+def test_opened_branches_hold_what_all_do(n, leaf, branch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = knn.fit_tree(x, leaf, branch)
+    for k in (1, 3, 17, 1000):
+        p = tree.priorities(x)
+        got = np.take_along_axis(p, tree.visits(x, k), 1)
+        assert np.allclose(got, np.sort(p, axis=1)[:, :k], atol=1e-6)
