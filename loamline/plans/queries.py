@@ -294,12 +294,12 @@ def search_fused(spark, folder):
     return hits.select(F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.array_join("probe_ids", " ").alias("probe_ids"), "content", "relative_path", "score", "title")
 
 
-def petri_all(spark, folder):
+def graph_all(spark, folder):
     found, _ = I.inspect(built(spark, folder))
     return found.select("probe_id", "entity_id", "text")
 
 
-def petri_query(spark, folder):
+def graph_query(spark, folder):
     found, known = I.inspect(built(spark, folder), QUESTION)
     a = found.select(F.lit("probe").alias("what"), F.col("probe_id").alias("id"))
     return a.unionByName(known.select(F.lit("entity").alias("what"), F.col("entity_id").alias("id")))
@@ -351,6 +351,6 @@ QUERIES = {
         strip_markdown, word_count, snippets, chunk_windows, tokenize_terms, tokenize_no_alias, stem_terms, frontmatter, frontmatter_values, titles, inline_tags, wiki_links, folder_ancestors,
         stable_ids, entity_names, corpus_documents, entity_ids, corpus_stats, doc_frequency_idf, tfidf_weights, sparse_cosine_topk, top_terms_by_lang, top_phrases_by_lang, weighted_terms_by_lang,
         hash_buckets, hash_embedding_nonzero, dense_cosine_topk, dense_knn_per_vector, recency_score, quarter_label, activity_trend, freq_last_year, entity_summary, entity_topk, probe_questions,
-        probe_links, probe_ranking, search_fused, petri_all, petri_query, apply_target, apply_search, target_upsert, p3_found,
+        probe_links, probe_ranking, search_fused, graph_all, graph_query, apply_target, apply_search, target_upsert, p3_found,
     )
 }

@@ -352,8 +352,8 @@ SQL: dict[str, str] = {
     "probe_links": f"{_LINKED} select probe_id, chunk_id, rank, round(score, 6) as score from links",
     "probe_ranking": f"{_SEARCHED} select place as rank, probe_id, round(score, 6) as score from matched where place <= 5",
     "search_fused": f"{_SEARCHED}, {_found('chunks', 'chunk_terms', 'chunk_dense')} select rank, chunk_id, array_to_string(probe_ids, ' ') as probe_ids, {_SNIPPET} as content, relative_path, round(score, 6) as score, title from hits",
-    "petri_all": f"{_GRAPH}, {_PROBES} select probe_id, entity_id, text from probes order by entity_pos, ordinal limit 24",
-    "petri_query": f"{_ASKED}, {_QUERY}, {_MATCHED}, near as (select * from matched where place <= 20) select 'probe' as what, probe_id as id from (select * from probes semi join near using (probe_id) order by entity_pos, ordinal limit 20) union all select 'entity', entity_id from (select * from top_entities semi join near using (entity_id) order by entity_pos limit 12)",
+    "graph_all": f"{_GRAPH}, {_PROBES} select probe_id, entity_id, text from probes order by entity_pos, ordinal limit 24",
+    "graph_query": f"{_ASKED}, {_QUERY}, {_MATCHED}, near as (select * from matched where place <= 20) select 'probe' as what, probe_id as id from (select * from probes semi join near using (probe_id) order by entity_pos, ordinal limit 20) union all select 'entity', entity_id from (select * from top_entities semi join near using (entity_id) order by entity_pos limit 12)",
     "apply_target": f"{_APPLIED} select probe_id, chunk_id, rank, round(score, 6) as score from links",
     "apply_search": f"{_APPLIED}, {_QUERY}, {_MATCHED}, {_found('target_chunks', 'target_terms', 'target_dense')} select rank, chunk_id, relative_path, round(score, 6) as score, title from hits",
     "target_upsert": "select row_number() over (order by lower(path), path) - 1 as pos, substr(sha1(path), 1, 12) as id, path, doc_count from (values ('/a/Notes', 2::bigint), ('/b/notes', 3::bigint)) t(path, doc_count)",

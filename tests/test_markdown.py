@@ -67,9 +67,9 @@ def test_folders(one, path, folders):
 
 
 def test_entities(one):
-    raw = "---\ntags: [Research, agent-memory]\n---\n# Note\n\nThis connects #LocalFirst with [[Catalyst Question|probes]] and [[Agent Memory]].\n"
-    assert one(lambda c: M.tags_of(M.parse_yaml(M.frontmatter_block(c)), M.body(c)), raw) == ["agent-memory", "localfirst", "research"]
-    assert one(lambda c: M.links_of(M.body(c)), raw) == ["Agent Memory", "Catalyst Question"]
+    raw = "---\ntags: [Baking, slow-food]\n---\n# Bread\n\nMy #SourDough needs [[Old Oven|the oven]] and [[Rye  Flour]] #baking.\n"
+    assert one(lambda c: M.tags_of(M.parse_yaml(M.frontmatter_block(c)), M.body(c)), raw) == ["baking", "slow-food", "sourdough"]
+    assert one(lambda c: M.links_of(M.body(c)), raw) == ["Old Oven", "Rye Flour"]
     # One mark goes from the tag, one more from the id made of it.
     assert one(M.normalize_tag, " ##X ") == "#x"
     assert one(lambda c: M.entity_id("tag", M.normalize_tag(c)), "##X") == "tag:x"
