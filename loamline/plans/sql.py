@@ -307,7 +307,60 @@ _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 _LANG_TOKENS = f"tokenized as materialized (select row_number() over () as id, coalesce(lang, '') as lang, {_tokens('raw')} as tokens from texts)"
 _LANG_PLAIN = f"tokenized as (select coalesce(lang, '') as lang, {_tokens('raw', False)} as plain from texts)"
 
+_MONTHS = "map(['jan', 'feb', 'mar', 'mär', 'apr', 'may', 'mai', 'jun', 'jul', 'aug', 'sep', 'oct', 'okt', 'nov', 'dec', 'dez'], [1, 2, 3, 3, 4, 5, 5, 6, 7, 8, 9, 10, 10, 11, 12, 12])"
+_MINUTES = "map(['z', 'utc', 'gmt', 'wet', 'west', 'bst', 'cet', 'cest', 'eet', 'eest', 'est', 'edt', 'cst', 'cdt', 'mst', 'mdt', 'pst', 'pdt', 'jst'], [0, 0, 0, 0, 60, 60, 60, 120, 120, 180, -300, -240, -360, -300, -420, -360, -480, -420, 540])"
+#: The forms of a date: pattern, and what its groups are; o and q are day and month in the order of the vault, n is the name of a month, x what stands for a zone.
+_FORMS = [
+    (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?(Z|z|[+-]\d{2}:?\d{2}|[A-Z]{3,4}|\[?[A-Za-z]+/[A-Za-z_]+\]?)?)?$", "y m d h i s f x"),
+    (r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?$", "y m d h i s"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?(?: (AM|PM))?)?$", "o q y h i s p"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})(?: (\d{1,2}):(\d{2}))?$", "d m y h i"),
+    (r"^(?:[A-Za-z]{3}, )?(\d{1,2}) ([A-Za-z]+) (\d{4}) (\d{2}):(\d{2}):(\d{2}) ([+-]\d{4}|[A-Z]{3,4})$", "d n y h i s x"),
+    (r"^([A-Za-z]+) (\d{1,2}), (\d{4})(?: (\d{2}):(\d{2}):(\d{2}))?$", "n d y h i s"),
+    (r"^(\d{1,2})\. (\p{L}+) (\d{4}), (\d{2}):(\d{2}) Uhr$", "d n y h i"),
+    (r"^(\d{1,2}) ([A-Za-z]+) (\d{4}) at (\d{1,2}):(\d{2})(am|pm)$", "d n y h i p"),
+    (r"^(\d{4})-(\d{2})$", "y m"),
+]
+
+
+def _form(pattern: str, groups: str) -> str:
+    names = groups.split()
+    got = f"regexp_extract(t, {_quoted(pattern)}, [{', '.join(_quoted(n) for n in names)}])"
+    number = lambda n, other: f"coalesce(try_cast(g.{n} as int), {other})" if n in names else other
+    text = lambda n: f"coalesce(g.{n}, '')" if n in names else "''"
+    day, month = number("d", "1"), f"{_MONTHS}[lower(left(g.n, 3))]" if "n" in names else number("m", "1")
+    if "o" in names:
+        day, month = "try_cast(case when day_order = 'mdy' then g.q else g.o end as int)", "try_cast(case when day_order = 'mdy' then g.o else g.q end as int)"
+    return f"select doc_no, field, home, try_cast(g.y as int) as y, {month} as m, {day} as d, {number('h', 'null')} as h, {number('i', '0')} as i, {number('s', '0')} as s, {text('f')} as f, lower({text('p')}) as p, {text('x')} as x from (select *, {got} as g from typed where regexp_matches(t, {_quoted(pattern)}))"
+
+
+_DATES = f"""
+with zero as (select coalesce(max(home_zone), 'UTC') as z, coalesce(max(date_order), 'dmy') as o from vault_configs where vault_id = 0),
+own as (select vault_id, max(home_zone) as z, max(date_order) as o from vault_configs group by 1),
+fields as (
+  select doc_no, vault_id, 'created_at' as field, created_at as v from garden_documents union all select doc_no, vault_id, 'modified_at', modified_at from garden_documents union all
+  select doc_no, vault_id, 'frontmatter.' || e.key, e.value.values[1] from (select doc_no, vault_id, unnest(map_entries(frontmatter)) as e from garden_documents) where not e.value.is_list and e.key in ('created', 'created_at', 'date', 'modified', 'updated', 'updated_at')),
+typed as (
+  select distinct doc_no, field, {_trim("v")} as t, coalesce(own.z, (select z from zero)) as home, coalesce(own.o, (select o from zero)) as day_order from fields left join own using (vault_id)
+  where doc_no is not null and v is not null and not regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z$')),
+read as ({" union all ".join(_form(*f) for f in _FORMS)}),
+timed as (
+  select *, try_cast(printf('%04d-%02d-%02d', y, m, d) as date) as day, case when p = '' then coalesce(h, 0) when h between 1 and 12 then h % 12 + case p when 'pm' then 12 else 0 end else 99 end as hour from read),
+local as (select *, day + to_hours(hour) + to_minutes(i) + to_seconds(s) + to_milliseconds(cast(left(f || '000', 3) as int)) as moment from timed where day is not null and hour < 24 and i < 60 and s < 60),
+zoned as (select *, case when x like '%/%' then trim(x, '[]') when x = '' then case when h is null then 'UTC' else home end end as tz from local),
+late as (select *, case when tz is not null then timezone('UTC', timezone(tz, moment)) end as u from zoned),
+solved as (
+  -- Of two instants with this local time the earlier one.
+  select doc_no, field, case when tz is not null then
+      case when timezone(tz, timezone('UTC', u - to_hours(1))) = moment then u - to_hours(1) when timezone(tz, timezone('UTC', u - to_minutes(30))) = moment then u - to_minutes(30) else u end
+    when regexp_matches(x, '^[+-]') then moment - to_minutes((case left(x, 1) when '-' then -1 else 1 end) * (cast(substr(x, 2, 2) as int) * 60 + cast(right(x, 2) as int)))
+    else moment - to_minutes({_MINUTES}[lower(x)]) end as utc from late
+  union all select doc_no, field, make_timestamp(case length(t) when 10 then try_cast(t as bigint) * 1000000 when 13 then try_cast(t as bigint) * 1000 else try_cast(t as bigint) end) from typed where regexp_matches(t, '^(\\d{{10}}|\\d{{13}}|\\d{{16}})$'))
+select doc_no, field, min(strftime(utc, '%Y-%m-%dT%H:%M:%S.%gZ')) as utc from solved where utc is not null group by 1, 2
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _DATES,
     "strip_markdown": f"with {_TEXTS} select doc_id, {_strip('raw')} as stripped from texts",
     "word_count": f"with {_TEXTS} select doc_id, len({_words('raw')}) as words, len({_words(_strip('raw'))}) as word_count from texts",
     "snippets": f"with {_TEXTS} select doc_id, {_SNIPPET.replace('content', 'raw')} as snippet from texts",
