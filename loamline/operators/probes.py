@@ -87,6 +87,12 @@ def questions(entities: DataFrame, chunks: DataFrame, docs: DataFrame, terms: Da
     return rows.withColumn("probe_id", F.concat(F.lit("cat_"), M.short_sha(F.concat_ws("\n", "entity_id", "text"))))
 
 
+def hydrated(rows: DataFrame) -> DataFrame:
+    """Questions whose entity has no name or type, as in old indexes, get them from its id."""
+    name, kind = (F.nullif(F.col(c), F.lit("")) for c in ("entity_name", "entity_type"))
+    return rows.withColumn("entity_name", F.coalesce(name, M.entity_name(F.col("entity_id")))).withColumn("entity_type", F.coalesce(kind, M.entity_type(F.col("entity_id"))))
+
+
 def embedded(rows: DataFrame, embedder: Embedder) -> DataFrame:
     """The questions with their vectors; the words of the query prefix are in them."""
     text = F.concat_ws(" ", "entity_name", "text", F.array_join("terms", " "))

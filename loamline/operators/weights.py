@@ -71,6 +71,11 @@ def weighted_terms(counts: DataFrame, table: DataFrame, keys: list[str], limit:
     return ranked(rows, keys, [F.desc("score"), F.col("term")], limit)
 
 
+def top_vector_terms(vectors: DataFrame, key: str, limit: int = 8) -> DataFrame:
+    """The terms of each vector that weigh most, of equals the first by name."""
+    return ranked(vectors.withColumn("weight", F.round("weight", 9)), [key], [F.desc("weight"), F.col("term")], limit)
+
+
 def listed(rows: DataFrame, keys: list[str], term: str = "term", name: str = "terms") -> DataFrame:
     """keys and the terms of each in order of rank."""
     got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", F.col(term).alias("t")))).alias("x"))

@@ -11,7 +11,7 @@ from loamline.functions import markdown as M
 from loamline.functions import text as X
 from loamline.functions import timefn as T
 from loamline.functions import vectors as V
-from loamline.operators import corpus, embed, entities, timestamps, weights
+from loamline.operators import corpus, embed, entities, probes, timestamps, weights
 from loamline.plans import index as I
 from loamline.plans import store
 from loamline.session import cores, spread
@@ -274,6 +274,25 @@ def entity_topk(spark, folder):
     return rows.select(F.col("entity_pos").cast("bigint").alias("entity_pos"), "entity_id", F.round("score", 6).alias("score"), F.array_join("top_terms", " ").alias("top_terms"))
 
 
+def entity_probes(spark, folder):
+    """The questions of each entity, in order."""
+    return built(spark, folder).entities.select("entity_id", F.posexplode("probe_ids").alias("pos", "probe_id")).select("entity_id", F.col("pos").cast("bigint").alias("pos"), "probe_id")
+
+
+def top_vector_terms(spark, folder):
+    rows = weights.top_vector_terms(built(spark, folder).chunk_terms, "chunk_id", 5)
+    return rows.select("chunk_id", "term", "weight", F.col("rank").cast("bigint").alias("rank"))
+
+
+def hydrate_entities(spark, folder):
+    """Name and type of the entity of each stored question, from its id where they are missing."""
+    rows = table(spark, folder, "catalysts").where("entity_id is not null").select("catalyst_no", "entity_id", "entity_name", "entity_type").distinct()
+    # Every other one as if it had been stored without them.
+    blank = F.when(F.col("catalyst_no") % 2 == 0, F.lit(""))
+    rows = rows.withColumn("entity_name", F.coalesce(blank, "entity_name")).withColumn("entity_type", F.coalesce(blank, "entity_type"))
+    return probes.hydrated(rows).select("catalyst_no", "entity_name", "entity_type")
+
+
 def probe_questions(spark, folder):
     rows = built(spark, folder).probes
     return rows.select("probe_id", "entity_id", "era", "context", "text", F.array_join("terms", " ").alias("terms"))
@@ -350,7 +369,7 @@ QUERIES = {
     for f in (
         strip_markdown, word_count, snippets, chunk_windows, tokenize_terms, tokenize_no_alias, stem_terms, frontmatter, frontmatter_values, titles, inline_tags, wiki_links, folder_ancestors,
         stable_ids, entity_names, corpus_documents, entity_ids, corpus_stats, doc_frequency_idf, tfidf_weights, sparse_cosine_topk, top_terms_by_lang, top_phrases_by_lang, weighted_terms_by_lang,
-        hash_buckets, hash_embedding_nonzero, dense_cosine_topk, dense_knn_per_vector, recency_score, quarter_label, activity_trend, freq_last_year, entity_summary, entity_topk, probe_questions,
+        hash_buckets, hash_embedding_nonzero, dense_cosine_topk, dense_knn_per_vector, recency_score, quarter_label, activity_trend, freq_last_year, entity_summary, entity_topk, entity_probes, top_vector_terms, hydrate_entities, probe_questions,
         probe_links, probe_ranking, search_fused, graph_all, graph_query, apply_target, apply_search, target_upsert, p3_found,
     )
 }

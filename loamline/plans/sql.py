@@ -401,6 +401,9 @@ SQL: dict[str, str] = {
     "freq_last_year": f"select o_custkey, frequency12m, trend, n as orders from (select o_custkey, {_activity('o_orderdate', '1998-08-01')} from orders group by 1)",
     "entity_summary": f"{_BASE}, {_SUMMARY} select entity_id, entity_type, name, n as document_count, chunk_count, frequency12m, {_ISO.format('first_seen')} as first_seen, {_ISO.format('last_seen')} as last_seen, trend as activity_trend, round(score, 6) as score from summary",
     "entity_topk": f"{_GRAPH} select entity_pos, entity_id, round(score, 6) as score, array_to_string(top_terms, ' ') as top_terms from top_entities join picked using (entity_id)",
+    "entity_probes": f"{_GRAPH}, {_PROBES} select entity_id, row_number() over (partition by entity_id order by ordinal) - 1 as pos, probe_id from probes",
+    "top_vector_terms": f"{_INDEX}, {_tfidf('chunk_terms', 'chunks', 'chunk_id')} select chunk_id, term, round(weight, 9) as weight, row_number() over (partition by chunk_id order by round(weight, 9) desc, term) as rank from chunk_terms qualify rank <= 5",
+    "hydrate_entities": "select distinct catalyst_no, case when catalyst_no % 2 = 0 or coalesce(entity_name, '') = '' then substr(entity_id, instr(entity_id, ':') + 1) else entity_name end as entity_name, case when catalyst_no % 2 = 0 or coalesce(entity_type, '') = '' then split_part(entity_id, ':', 1) else entity_type end as entity_type from catalysts where entity_id is not null",
     "probe_questions": f"{_GRAPH}, {_PROBES} select probe_id, entity_id, era, context, text, terms from probes",
     "probe_links": f"{_LINKED} select probe_id, chunk_id, rank, round(score, 6) as score from links",
     "probe_ranking": f"{_SEARCHED} select place as rank, probe_id, round(score, 6) as score from matched where place <= 5",
