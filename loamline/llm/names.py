@@ -211,13 +211,43 @@ def _person(surname: str, first: str, given: Lexicon, sure: bool) -> Name:
     return Name("person", surname, full, full[0], sure=sure, raw=first)
 
 
+def unread(name: str | None, given: Lexicon) -> Name | None:
+    """A name of several words that ``read`` doesn't know, as its words; whether it is a topic shows when it has met others.
+
+    key: the last word, rest: all words in the order of the alphabet, raw: the first word, initial: its letter. ``sure``:
+    typed as a person or organisation, or of three and more words with a given name in front.
+    """
+    if not name:
+        return None
+    text = fold(name).strip()
+    sure = text.startswith((*PERSON_PREFIX, *ORG_PREFIX, "@"))
+    for p in (*PERSON_PREFIX, *ORG_PREFIX, "@"):
+        text = text.removeprefix(p)
+    if "/" in text or re.search(r"\d", text):
+        return None
+    if text.count(",") == 1:
+        before, after = text.split(",")
+        if (words := re.findall(r"[^\W_]+", after)) and words[-1] not in LEGAL:
+            text = f"{after} {before}"
+    tokens = re.findall(r"[^\W_]+", text)
+    sure = sure or any(t in ("dr", "prof", "mr", "mrs", "ms") for t in tokens[:1])
+    tokens = [t for t in tokens if t not in TITLES]
+    while len(tokens) > 1 and tokens[-1] in LEGAL:
+        tokens.pop()
+        sure = True
+    if len(tokens) < 2:
+        return None
+    sure = sure or len(tokens) > 2 and given.get(tokens[0]) is not None
+    return Name("open", tokens[-1], " ".join(sorted(tokens)), tokens[0][0], sure=sure, raw=given.get(tokens[0]) or tokens[0])
+
+
 def parsed(names: DataFrame, given: dict[str, str]) -> DataFrame:
     """number, what, key, rest, initial, kind, sure, raw of each name that may be of a person or organisation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(given)
         for b in batches:
-            got = [(i, n) for i, x in enumerate(b.column(1).to_pylist()) if (n := read(x, lexicon))]
+            got = [(i, n) for i, x in enumerate(b.column(1).to_pylist()) if (n := read(x, lexicon) or unread(x, lexicon))]
             cols = [pa.array([getattr(n, f) for _, n in got], pa.bool_() if f == "sure" else pa.string()) for f in ("what", "key", "rest", "initial", "kind", "sure", "raw")]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in got], pa.int64())), *cols], names=["number", "what", "key", "rest", "initial", "kind", "sure", "raw"])
 
@@ -255,6 +285,67 @@ def similar_words(words: DataFrame, word: str, q: int = 3) -> DataFrame:
     return pairs.where((apart <= 1) | swapped)
 
 
+def slipped_bags(bags: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """x, y, plural: names (as words in the order of the alphabet) with slips of typing in one or two words, similar enough as a whole.
+
+    Each name is sent to the forms it takes when one of its words is replaced by one a slip apart, and to its own; names
+    that meet in a form differ in two words at most. So no name is compared with all that share a word. ``plural``: all
+    that differs is an s at the end of words.
+    """
+    partner = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    words = bags.select("bag", F.posexplode(F.split("bag", " ")).alias("i", "a")).join(weights.withColumnRenamed("w", "aw"), "a")
+    heavy = words.groupBy("bag").agg(F.sum("aw").alias("all"))
+    other = partner.join(weights.select(F.col("a").alias("b"), F.col("w").alias("bw")), "b")
+    longest = F.greatest(F.length("a"), F.length("b"))
+    changed = words.join(other, "a").select(
+        "bag",
+        F.array_join(F.array_sort(F.transform(F.split("bag", " "), lambda t, i: F.when(i == F.col("i"), F.col("b")).otherwise(t))), " ").alias("form"),
+        F.col("b").alias("to"), ((F.col("aw") + F.col("bw")) / 2 / longest).alias("loss"),
+        ((F.col("a") == F.concat("b", F.lit("s"))) | (F.col("b") == F.concat("a", F.lit("s")))).alias("plural"),
+    )
+    own = bags.select("bag", F.col("bag").alias("form"), F.lit("").alias("to"), F.lit(0.0).alias("loss"), F.lit(True).alias("plural"))
+    forms = cut(changed.unionByName(own).join(heavy, "bag"), "forms")
+    f, g = (forms.select("form", *[F.col(c).alias(f"{x}_{c}") for c in ("bag", "to", "loss", "plural", "all")]) for x in "fg")
+    met = f.join(g, "form").where((F.col("f_bag") < F.col("g_bag")) & (F.col("f_to") != F.col("g_to")))
+    like = 1 - (F.col("f_loss") + F.col("g_loss")) / ((F.col("f_all") + F.col("g_all")) / 2)
+    return met.where(like >= SIMILAR).groupBy(F.col("f_bag").alias("x"), F.col("g_bag").alias("y")).agg(F.bool_and(F.col("f_plural") & F.col("g_plural")).alias("plural"))
+
+
+def opened(rows: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of the names that the lists can't read with one another and with known entities; and the ids among them that a slip shows to be names.
+
+    They meet by all of their words: the same words in any order, slips in them, a known initial with the last word, or a
+    person of whom only the middle names are missing. Where several entities fit, there is no edge.
+    """
+    text = lambda *c: F.array_join(F.array_sort(F.split(F.concat_ws(" ", *c), " ")), " ")
+    unknown = rows.where("what = 'open'").groupBy("entity", "key", "rest", "initial", "raw").agg(F.count("*").alias("n"))
+    unknown = cut(unknown, "open")
+    said = rows.where("what in ('person', 'org') and rest <> ''")
+    full = said.select("entity", text("key", "rest", F.nullif("kind", F.lit(""))).alias("bag")).unionByName(said.where("raw <> ''").select("entity", text("key", "raw").alias("bag"))).distinct()
+    mine = unknown.select("entity", F.col("rest").alias("bag")).distinct()
+    holders = full.groupBy("bag").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other").select("bag", F.col("one").alias("entity"))
+    exact = mine.join(holders.withColumnRenamed("entity", "b"), "bag").select(F.col("entity").alias("a"), "b")
+
+    bags = cut(mine.withColumn("open", F.lit(True)).unionByName(holders.withColumn("open", F.lit(False))), "bags")
+    words = cut(bags.select(F.explode(F.split("bag", " ")).alias("a")).groupBy("a").agg(F.count("*").alias("n")), "words")
+    weights = words.select("a", F.log(1 + F.lit(total) / F.col("n")).alias("w"))
+    met = slipped_bags(bags.select("bag").distinct(), similar_words(words, "a"), weights)
+    x, y = (bags.select(F.col("bag").alias(k), F.col("entity").alias(f"{k}_entity"), F.col("open").alias(f"{k}_open")) for k in "xy")
+    slips = cut(met.join(x, "x").join(y, "y").where("(x_open or y_open) and x_entity <> y_entity"), "slips")
+    shown = slips.where("not plural").select(F.explode(F.array("x_entity", "y_entity")).alias("id")).distinct()
+
+    # By initial, and without middle names: one entity fits.
+    ends = unknown.select("entity", "key", "initial", "raw", F.size(F.split("rest", " ")).alias("size"))
+    fitting = ends.select("key", "initial", "entity").unionByName(known.where("what = 'person' and rest <> ''").select("key", "initial", "entity"))
+    alone = fitting.groupBy("key", "initial").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other and one like 'open|%'")
+    short = known.where("what = 'person' and rest = '' and initial <> ''")
+    by_initial = short.join(alone, ["key", "initial"]).select(F.col("entity").alias("a"), F.col("one").alias("b"))
+    middle = ends.where("size > 2").groupBy("key", "raw").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other")
+    whole = known.where("what = 'person' and rest <> ''").select("entity", "key", F.col("rest").alias("raw"))
+    by_middle = whole.join(middle, ["key", "raw"]).select(F.col("entity").alias("a"), F.col("one").alias("b"))
+    return exact.unionByName(slips.select(F.col("x_entity").alias("a"), F.col("y_entity").alias("b"))).unionByName(by_initial).unionByName(by_middle), shown
+
+
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """id, label: the smallest id of the connected component of each id of the edges (a, b), by labels that spread and jump."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
@@ -285,7 +376,9 @@ def entities(names: DataFrame) -> DataFrame:
     - the rare word (surname, brand) is the same and the other known only by its initial, if one entity fits;
     - the rare words are a slip of typing apart, by a set-similarity join on their q-grams, and the names as a whole are
       similar: the mean of the similarities of their words, weighted by how rare each word is;
-    - a single word is the rare word of exactly one entity.
+    - a single word is the rare word of exactly one entity;
+    - a name of several words that the lists can't read meets others by all its words (``opened``). It is a topic unless
+      its set holds a known entity, a spelling typed as a person or organisation, or a slip of typing (a plural is none).
     Linked keys then form sets. Nothing is compared within a key or with all others, so a surname that a third of
     the names have costs no more than others. Null and empty names are no cases; of repeated rows of a number the
     smallest name counts.
@@ -294,7 +387,7 @@ def entities(names: DataFrame) -> DataFrame:
     base = cut(base, "names")
     rows = cut(parsed(base, learnt(base)).withColumn("entity", _identity()), "parsed")
 
-    known = rows.where("what <> 'single'").groupBy("entity", "what", "key", "rest", "initial", "kind").agg(F.count("*").alias("n"))
+    known = rows.where("what in ('person', 'org')").groupBy("entity", "what", "key", "rest", "initial", "kind").agg(F.count("*").alias("n"))
     known = cut(known, "known")
     total = rows.count()
     if not total:
@@ -307,7 +400,7 @@ def entities(names: DataFrame) -> DataFrame:
 
     # By a slip in the rare word.
     keys = known.groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = cut(similar_words(rows, "key"), "similar")
+    pairs = cut(similar_words(rows.where("what <> 'open'"), "key"), "similar")
     weights = cut(keys.select("key", F.log(1 + F.lit(total) / F.col("n")).alias("w")), "weights")
     rest_n = known.groupBy("what", F.coalesce(F.nullif(F.concat("rest", F.lit(" "), "kind"), F.lit(" ")), F.lit("")).alias("words")).agg(F.sum("n").alias("rest_n"))
     weighed = known.withColumn("words", F.coalesce(F.nullif(F.concat("rest", F.lit(" "), "kind"), F.lit(" ")), F.lit(""))).join(rest_n, ["what", "words"]).join(weights, "key")
@@ -326,10 +419,14 @@ def entities(names: DataFrame) -> DataFrame:
     f1, f2 = (forms.select("key", "kind", "initial", F.col("rest").alias(f"r{i}"), F.col("n").alias(f"n{i}"), F.col("entity").alias(x)) for i, x in ((1, "a"), (2, "b")))
     twisted = f1.join(f2, ["key", "kind", "initial"]).where((F.col("r1") != F.col("r2")) & (F.struct("n1", "r1") < F.struct("n2", "r2")) & (F.levenshtein("r1", "r2") <= 2) & (F.length("r1") > 4)).select("a", "b")
 
-    edges = cut(by_initial.unionByName(slips).unionByName(twisted), "edges")
+    met_open, shown = opened(rows, known, total)
+    edges = cut(by_initial.unionByName(slips).unionByName(twisted).unionByName(met_open), "edges")
     sets = components(edges)
-    labelled = rows.join(sets, rows.entity == sets.id, "left").select("number", "what", "key", F.coalesce("label", "entity").alias("entity"))
-    labelled = cut(labelled, "labelled")
+    labelled = rows.join(sets, rows.entity == sets.id, "left").join(shown.select("id", F.lit(True).alias("shown")), rows.entity == shown.id, "left")
+    labelled = cut(labelled.select("number", "what", "key", F.coalesce("label", "entity").alias("entity"), ((F.col("what") != "open") | F.col("sure") | F.coalesce("shown", F.lit(False))).alias("shown")), "labelled")
+    # A name that the lists can't read is a topic unless something in its set speaks for a person or organisation.
+    real = labelled.where("shown").select("entity").distinct()
+    labelled = cut(labelled.where("what = 'single'").unionByName(labelled.where("what <> 'single'").join(real, "entity", "left_semi").select(labelled.columns)), "labelled")
 
     # Single words: exactly one entity has them as its rare word, in this spelling or, if none has, a slip away.
     owners = labelled.where("what <> 'single'").groupBy("key").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))

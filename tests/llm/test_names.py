@@ -95,6 +95,19 @@ def test_links(spark):
     assert linked(spark, typed) == {(a, b) for s in sets for a in s for b in s if a < b}
 
 
+def test_links_of_names_that_the_lists_cannot_read(spark):
+    typed = [
+        ("link", "Xavier Tamiluk"), ("link", "Xavier Tamilluk"), ("link", "X. Tamiluk"),
+        ("link", "Richard Wood"), ("link", "Rihcard Wood"),
+        ("tag", "people/anna-smith-jones"), ("link", "Anna Smith-Jones"), ("link", "Maria del Carmen Ruiz"), ("tag", "maria-del-carmen-ruiz"), ("link", "Ruiz, Maria del Carmen"),
+        ("link", "Robert Tamiluk"), ("link", "Robert James Tamiluk"),
+        ("link", "Blue Harbor"), ("link", "Blue Harbo"), ("link", "Ulrik Vexoran"), ("link", "Vexoran, Ulrik"),
+        ("link", "Open Loops"), ("tag", "open-loops"), ("tag", "open-loop"), ("link", "Winter Garden"), ("link", "Winter Garden"),
+    ]
+    sets = [{0, 1, 2}, {3, 4}, {5, 6}, {7, 8, 9}, {10, 11}, {12, 13}, {14, 15}]
+    assert linked(spark, typed) == {(a, b) for s in sets for a in s for b in s if a < b}
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "entity_no bigint, entity_type string, name string")
     assert names.spelling_pairs(df).count() == 0
