@@ -44,8 +44,8 @@ LEGAL = set("ltd limited inc incorporated llc plc gmbh ag sa bv".split())
 PERSON_PREFIX, ORG_PREFIX = ("people/", "person/", "contacts/"), ("org/", "orgs/", "company/", "companies/")
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"})
 
-#: Given names that are learnt from the collection, at most, and the surnames with which one must stand.
-LEARNT, SURNAMES = 5_000, 2
+#: The surnames with which a given name must stand to be learnt from the collection.
+SURNAMES = 2
 #: The least weighted similarity of two names.
 SIMILAR = 0.85
 
@@ -70,26 +70,34 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
+def shortened(word: str) -> set[str]:
+    """The word, and what is left without one of its letters; words one slip apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 class Lexicon:
-    """Words with their canonical forms, found also with one slip of typing."""
+    """Words with their canonical forms, found also with one slip of typing. ``base``: another whose words go before these."""
 
-    def __init__(self, words: dict[str, str]):
-        self.words = words
+    def __init__(self, words: dict[str, str], base: Lexicon | None = None):
+        self.words, self.base = words, base
         self.near: dict[str, set[str]] = {}
         for w in words:
-            for d in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            for d in shortened(w):
                 self.near.setdefault(d, set()).add(w)
 
     def get(self, word: str) -> str | None:
-        return self.words.get(word)
+        return self.base and self.base.get(word) or self.words.get(word)
+
+    def around(self, word: str) -> set[str]:
+        own = set().union(*(self.near.get(d, set()) for d in shortened(word)))
+        return own | self.base.around(word) if self.base else own
 
     def fuzzy(self, word: str, least: int) -> str | None:
         """The canonical form of the word of at least so many letters that this one is a slip of."""
         if len(word) < max(3, least - 1):
             return None
-        found = set().union(*(self.near.get(d, set()) for d in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}))
-        got = sorted(w for w in found if len(w) >= least and near(w, word))
-        return self.words[got[0]] if got else None
+        got = sorted(w for w in self.around(word) if len(w) >= least and near(w, word))
+        return self.get(got[0]) if got else None
 
 
 @dataclass
@@ -241,25 +249,60 @@ def unread(name: str | None, given: Lexicon) -> Name | None:
     return Name("open", tokens[-1], " ".join(sorted(tokens)), tokens[0][0], sure=sure, raw=given.get(tokens[0]) or tokens[0])
 
 
-def parsed(names: DataFrame, given: dict[str, str]) -> DataFrame:
-    """number, what, key, rest, initial, kind, sure, raw of each name that may be of a person or organisation."""
+def parsed(names: DataFrame) -> DataFrame:
+    """number, what, key, rest, initial, kind, sure, raw of each name that may be of a person or organisation.
+
+    ``names``: number, name, given (the learnt given names that its words may be, or null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(given)
+        known = Lexicon(NICK)
         for b in batches:
-            got = [(i, n) for i, x in enumerate(b.column(1).to_pylist()) if (n := read(x, lexicon) or unread(x, lexicon))]
+            got = []
+            for i, (x, more) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                lexicon = Lexicon({w: w for w in more}, known) if more else known
+                if n := read(x, lexicon) or unread(x, lexicon):
+                    got.append((i, n))
             cols = [pa.array([getattr(n, f) for _, n in got], pa.bool_() if f == "sure" else pa.string()) for f in ("what", "key", "rest", "initial", "kind", "sure", "raw")]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in got], pa.int64())), *cols], names=["number", "what", "key", "rest", "initial", "kind", "sure", "raw"])
 
-    return names.mapInArrow(run, "number bigint, what string, key string, rest string, initial string, kind string, sure boolean, raw string")
+    return names.select("number", "name", "given").mapInArrow(run, "number bigint, what string, key string, rest string, initial string, kind string, sure boolean, raw string")
 
 
-def learnt(names: DataFrame, most: int = LEARNT, least: int = SURNAMES) -> dict[str, str]:
-    """The given names known, with those that stand with several surnames where the way of typing tells which part is which."""
-    first = parsed(names, NICK).where("sure and what = 'person' and rest <> ''")
-    seen = first.groupBy(F.col("rest")).agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least)
-    rows = seen.orderBy(F.desc("n"), "rest").limit(most).collect()
-    return {r.rest: r.rest for r in rows if len(r.rest) > 2} | NICK
+def learnt(names: DataFrame, least: int = SURNAMES) -> DataFrame:
+    """word: the given names beside those known that stand with several surnames where the way of typing tells which part is which."""
+    first = parsed(names.withColumn("given", F.lit(None).cast("array<string>"))).where("sure and what = 'person' and length(rest) > 2")
+    seen = first.groupBy(F.col("rest").alias("word")).agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least)
+    return seen.select("word").where(~F.col("word").isin(sorted(set(NICK))))
+
+
+def _variants(words: DataFrame, fronts: bool) -> DataFrame:
+    """word, form: each word with the forms in which words a slip apart meet; with ``fronts`` also its beginnings, for given names glued to a surname."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(w, f) for w in b.column(0).to_pylist() for f in shortened(w) | ({w[:n] for n in range(4, min(len(w) - 4, 14) + 1)} if fronts else set())]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([f for _, f in got], pa.string())], names=["word", "form"])
+
+    return words.select("word").mapInArrow(run, "word string, form string")
+
+
+def hinted(names: DataFrame, given: DataFrame) -> DataFrame:
+    """number, name, given: with each name those of the given names (``word``) that one of its words is, has a slip of, or begins with.
+
+    Words meet in a join, however many given names there are; each name is then read with those it has met only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, w) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in set(re.findall(r"[^\W_]+", fold(x))) if len(w) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([w for _, w in got], pa.string())], names=["number", "word"])
+
+    words = names.select("number", "name").mapInArrow(run, "number bigint, word string")
+    met = _variants(words.select("word").distinct(), True).join(_variants(given, False).withColumnRenamed("word", "given"), "form")
+    hits = met.groupBy("word").agg(F.collect_set("given").alias("given"))
+    found = words.join(hits, "word").groupBy("number").agg(F.array_distinct(F.flatten(F.collect_list("given"))).alias("given"))
+    return names.join(found, "number", "left").select("number", "name", "given")
 
 
 def similar_words(words: DataFrame, word: str, q: int = 3) -> DataFrame:
@@ -385,7 +428,7 @@ def entities(names: DataFrame) -> DataFrame:
     """
     base = spread(names.where(F.col("number").isNotNull() & F.col("name").isNotNull()).groupBy("number").agg(F.min("name").alias("name")))
     base = cut(base, "names")
-    rows = cut(parsed(base, learnt(base)).withColumn("entity", _identity()), "parsed")
+    rows = cut(parsed(hinted(base, cut(learnt(base), "given"))).withColumn("entity", _identity()), "parsed")
 
     known = rows.where("what in ('person', 'org')").groupBy("entity", "what", "key", "rest", "initial", "kind").agg(F.count("*").alias("n"))
     known = cut(known, "known")
@@ -423,13 +466,14 @@ def entities(names: DataFrame) -> DataFrame:
     edges = cut(by_initial.unionByName(slips).unionByName(twisted).unionByName(met_open), "edges")
     sets = components(edges)
     labelled = rows.join(sets, rows.entity == sets.id, "left").join(shown.select("id", F.lit(True).alias("shown")), rows.entity == shown.id, "left")
-    labelled = cut(labelled.select("number", "what", "key", F.coalesce("label", "entity").alias("entity"), ((F.col("what") != "open") | F.col("sure") | F.coalesce("shown", F.lit(False))).alias("shown")), "labelled")
+    labelled = cut(labelled.select("number", "what", "key", "raw", F.coalesce("label", "entity").alias("entity"), ((F.col("what") != "open") | F.col("sure") | F.coalesce("shown", F.lit(False))).alias("shown")), "labelled")
     # A name that the lists can't read is a topic unless something in its set speaks for a person or organisation.
     real = labelled.where("shown").select("entity").distinct()
     labelled = cut(labelled.where("what = 'single'").unionByName(labelled.where("what <> 'single'").join(real, "entity", "left_semi").select(labelled.columns)), "labelled")
 
-    # Single words: exactly one entity has them as its rare word, in this spelling or, if none has, a slip away.
-    owners = labelled.where("what <> 'single'").groupBy("key").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
+    # Single words: exactly one entity has them as its rare word, in this spelling or, if none has, a slip away; or as given name and surname in one.
+    glued = labelled.where("what in ('person', 'open') and raw <> ''").select(F.concat("raw", "key").alias("key"), "entity")
+    owners = labelled.where("what <> 'single'").select("key", "entity").unionByName(glued).groupBy("key").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
     single = labelled.where("what = 'single'").select("number", "key")
     exact = single.join(owners, "key", "left")
     astray = exact.where("one is null and length(key) >= 8").select("number", "key")

@@ -108,6 +108,20 @@ def test_links_of_names_that_the_lists_cannot_read(spark):
     assert linked(spark, typed) == {(a, b) for s in sets for a in s for b in s if a < b}
 
 
+def test_all_given_names_are_learnt(spark):
+    """However many there are, those with few surnames too."""
+    letters = lambda n: "".join("bcdfghklmnprstvz"[n // 16**i % 16] + "aeiou"[n // 16**i % 5] for i in range(4)) + "q"
+    rows = [(4 * n + i, "link", f"{s}, {letters(n).title()}") for n in range(5_200) for i, s in enumerate(("Tamiluk", "Vexoran", "Orvadek"))]
+    rows += [(4 * n + 3, "link", f"{letters(n)} Gufilunan") for n in range(5_200)]
+    got = names.parsed(names.hinted((df := spark.createDataFrame(rows, "number bigint, kind string, name string").select("number", "name")), names.learnt(df)))
+    assert got.where("what = 'person' and key = 'gufilunan'").count() == 5_200
+
+
+def test_a_given_name_with_one_surname(spark):
+    typed = [("link", "Tamiluk, Xavier"), ("link", "Xavier Tamiluk"), ("tag", "xaviertamiluk"), ("link", "Xavier Tamilluk")]
+    assert linked(spark, typed) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "entity_no bigint, entity_type string, name string")
     assert names.spelling_pairs(df).count() == 0
