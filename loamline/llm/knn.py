@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -23,6 +23,8 @@ LEAF, BRANCH = 32, 100
 CELL = 80_000
 #: Queries that the number of leaf visits is calibrated on, against all vectors.
 CALIBRATION = 1_000
+#: How many times as many are drawn where too few of them have neighbours.
+MORE = 8
 #: Rows, and leaves of opened branches, that are scored at once, for the memory of a worker.
 BLOCK, OPENED = 2_048, 2_000_000
 
@@ -215,9 +217,8 @@ class Index:
         part = lambda size, salt: rows.where(F.pmod(F.xxhash64(F.lit(salt), "vec"), F.lit(1_000_000)) < min(1.0, 1.2 * size / self.n) * 1_000_000).limit(size)
         took = part(sample, "tree").select("vec").toArrow()
         self.tree = fit_tree(_matrix(took.column(0), dim), leaf, branch) if took.num_rows else fit_tree(np.ones((1, dim), np.float32) / dim**0.5)
-        asked = part(calibration, "calibration").select("rep", "vec").toArrow()
         self.rows = cut(self._homes(rows), "homes")
-        self._calibrate(asked, recall)
+        self._calibrate(lambda size: part(size, "calibration").select("rep", "vec").toArrow(), calibration, recall)
 
     def _homes(self, rows: DataFrame) -> DataFrame:
         """The classes with the leaf that each belongs to; written once, for everything that needs it."""
@@ -231,10 +232,42 @@ class Index:
 
         return rows.select("vec", "rep", "ids", "copies").mapInArrow(run, "vec binary, rep bigint, ids array<bigint>, copies bigint, leaf int")
 
-    def _calibrate(self, queries: pa.Table, recall: float) -> None:
-        """The fewest visits with which the queries find that part of their neighbours; the neighbours are sought in all rows."""
+    def _calibrate(self, draw: Callable[[int], pa.Table], size: int, recall: float) -> None:
+        """The fewest visits with which the queries find that part of their neighbours.
+
+        With too few neighbours to tell that part by, more queries are drawn. Where that isn't enough either, less similar
+        neighbours count too: these are further off, so that the visits do for the similar ones. Only where all vectors have
+        been asked are few neighbours, or none, all there are.
+        """
+        enough = min(size, int(np.ceil(1 / (1 - recall)))) if recall < 1 else size
+        for n in (size, size * MORE):
+            queries = draw(n)
+            q, leaf = self._true(queries, self.min_cosine)
+            if len(q) >= enough or queries.num_rows >= self.n:
+                break
+        else:
+            queries = draw(size)
+            q, leaf = self._true(queries, -1.5)
+        tree, x = self.tree, _matrix(queries.column("vec"), self.dim)
+        total = len(tree.leaves)
+        if not len(q):
+            self.visits, self.recall = min(2, total), None
+            return
+        ranks = np.empty(len(q), int)
+        for i in range(0, len(x), BLOCK):
+            p = tree.priorities(x[i : i + BLOCK])
+            here = (q >= i) & (q < i + BLOCK)
+            own = p[q[here] - i]
+            ranks[here] = (own < own[np.arange(len(own)), leaf[here]][:, None]).sum(1) + 1
+        ranks.sort()
+        self.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
+        self.visits = min(total, max(2, self.visits))
+        self.recall = float((ranks <= self.visits).mean())
+
+    def _true(self, queries: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The query and the leaf of each of the ``k`` nearest of the queries that are similar enough, sought in all rows."""
         reps, x = queries.column("rep").to_numpy(), _matrix(queries.column("vec"), self.dim)
-        tree, dim, k, least = self.tree, self.dim, self.k, self.min_cosine
+        dim, k = self.dim, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -250,21 +283,7 @@ class Index:
         found = self.rows.select("rep", "vec", "leaf").mapInArrow(run, "q int, score float, leaf int")
         top = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.struct("score", "leaf"), F.lit(k), F.lit(False))
         near = found.groupBy("q").agg(top.alias("h")).select("q", F.explode("h.leaf").alias("leaf")).toArrow()
-        total = len(tree.leaves)
-        if not near.num_rows:
-            self.visits, self.recall = min(2, total), None
-            return
-        q, leaf = near.column("q").to_numpy(), near.column("leaf").to_numpy()
-        ranks = np.empty(len(q), int)
-        for i in range(0, len(x), BLOCK):
-            p = tree.priorities(x[i : i + BLOCK])
-            here = (q >= i) & (q < i + BLOCK)
-            own = p[q[here] - i]
-            ranks[here] = (own < own[np.arange(len(own)), leaf[here]][:, None]).sum(1) + 1
-        ranks.sort()
-        self.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
-        self.visits = min(total, max(2, self.visits))
-        self.recall = float((ranks <= self.visits).mean())
+        return near.column("q").to_numpy(), near.column("leaf").to_numpy()
 
     def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each leaf its first cell, the number of its cells and of its vectors: small leaves share one, a leaf too large for one is dealt out over several."""

@@ -55,6 +55,21 @@ def test_every_twentieth(spark, clustered):
     assert {r.number for r in rows} == set(range(0, 900, 20))
 
 
+def test_close_pairs_that_no_sampled_query_has(spark):
+    """Where close pairs are so rare that the calibration meets none, it widens all the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, DIM)).astype(np.float32)
+    x[2960:] = x[:40] + 0.2 * rng.normal(size=(40, DIM))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T, 1) >= 0.95)}
+    sizes = SIZES | {"calibration": 20}
+    vectors = knn.usable(table(spark, x), "number", "embedding", DIM)
+    index = knn.Index(knn.classes(vectors, 5), DIM, 5, 0.998, 0.95, **sizes)
+    assert index.recall >= 0.998 and index.visits > 2
+    got = {tuple(r) for r in knn.similar_pairs(vectors, DIM, 5, 0.95, **sizes).collect()}
+    assert len(want) > 20 and got == want
+
+
 def test_copies_ties_and_a_hot_group(spark):
     """A third of the rows are the same vector; copies of another length are the same direction; of equals the smaller number."""
     rng = np.random.default_rng(5)
