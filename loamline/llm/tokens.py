@@ -91,6 +91,29 @@ def merge_tree(piece: bytes, merge: Callable[[bytes], list[int]], token: Callabl
     return parts[0] if parts else []
 
 
+def holds_long(text: str, leaf: int) -> bool:
+    """Whether a pre-token of the text has more than ``leaf`` bytes. A character has four at most, so most texts need only a look at the lengths of words."""
+    n = max(1, leaf // 4)
+    if len(text) < n:
+        return False
+    words = text.split()
+    blank = len(text) - sum(map(len, words))
+    # The four separators are white space to split() only.
+    if max(map(len, words), default=0) < n and blank - len(words) < n - 2 and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    return any(len(x.encode("utf-8")) > leaf for x in pretokens().findall(text) if len(x) >= n)
+
+
+def encode_part(part: str, enc, whole: int = WHOLE, leaf: int = LEAF) -> np.ndarray:
+    """The ids of a text in one call of the library; where it or a pre-token of it is long, pre-token by pre-token, the long ones as trees."""
+    if len(part) <= whole and not holds_long(part, leaf):
+        return np.asarray(enc.encode_to_numpy(part, disallowed_special=()), dtype=np.int32)
+    ids: list[int] = []
+    for m in pretokens().finditer(part):
+        ids += merge_tree(m.group().encode("utf-8"), enc._encode_single_piece, enc.decode_single_token_bytes, leaf)
+    return np.asarray(ids, dtype=np.int32)
+
+
 def encode_long(text: str, enc, whole: int = WHOLE, leaf: int = LEAF) -> np.ndarray:
     """The ids of a text longer than ``whole`` characters, the same as those of one encoding of all of it."""
     out: list[np.ndarray] = []
@@ -104,14 +127,7 @@ def encode_long(text: str, enc, whole: int = WHOLE, leaf: int = LEAF) -> np.ndar
                 near = m
             near = near or breaks().search(text, start + whole)
             end = near.start() if near else length
-        part = text[start:end]
-        if len(part) <= whole:
-            out.append(np.asarray(enc.encode_to_numpy(part, disallowed_special=()), dtype=np.int32))
-        else:
-            ids: list[int] = []
-            for m in pretokens().finditer(part):
-                ids += merge_tree(m.group().encode("utf-8"), enc._encode_single_piece, enc.decode_single_token_bytes, leaf)
-            out.append(np.asarray(ids, dtype=np.int32))
+        out.append(encode_part(text[start:end], enc, whole, leaf))
         start = end
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
@@ -120,7 +136,7 @@ def encode(text: str | None, enc, whole: int = WHOLE, leaf: int = LEAF) -> np.nd
     if not text:
         return np.zeros(0, np.int32)
     if len(text) <= whole:
-        return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), dtype=np.int32)
+        return encode_part(text, enc, whole, leaf)
     return encode_long(text, enc, whole, leaf)
 
 

@@ -27,6 +27,14 @@ def test_long_runs(letters):
     assert tokens.encode(text, enc).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize(("text", "tree"), [("x " + "ab" * 600 + " y", True), ("a " * 9_000 + "ab" * 600, True), ("é" * 600, True), ("ab" * 500, False), ("a b" * 900, False), ("a-b/" * 900, False)])
+def test_a_long_run_in_a_short_text_takes_the_tree(text, tree, monkeypatch):
+    enc, seen, merge = tokens.encoding(), [], tokens.merge_tree
+    monkeypatch.setattr(tokens, "merge_tree", lambda piece, *a: seen.append(len(piece)) or merge(piece, *a))
+    assert tokens.encode(text, enc).tolist() == enc.encode_ordinary(text)
+    assert (max(seen, default=0) > tokens.LEAF) == tree
+
+
 def test_text_that_the_library_alone_cannot_encode():
     enc = tokens.encoding()
     ids = tokens.encode(" " * 1_000_000 + "x", enc)
