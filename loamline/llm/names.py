@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -389,11 +390,14 @@ def opened(rows: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, Da
     return exact.unionByName(slips.select(F.col("x_entity").alias("a"), F.col("y_entity").alias("b"))).unionByName(by_initial).unionByName(by_middle), shown
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """id, label: the smallest id of the connected component of each id of the edges (a, b), by labels that spread and jump."""
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """id, label: the smallest id of the connected component of each id of the edges (a, b), by labels that spread and jump.
+
+    Goes on until no label changes; where that takes more than ``most`` rounds, it is an error.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most):
+    for done in count(1):
         near_ = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
         spread_ = labels.join(near_, "id").select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
         # Each label is replaced by the label of that id: paths halve with every round.
@@ -401,8 +405,9 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         now = cut(spread_.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("label"), "old"), "labels")
         labels = now.select("id", "label")
         if now.where(F.col("label") != F.col("old")).isEmpty():
-            break
-    return labels
+            return labels
+        if done == most:
+            raise RuntimeError(f"components not settled after {most} rounds")
 
 
 def _identity() -> Column:

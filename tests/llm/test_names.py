@@ -78,6 +78,13 @@ def test_components(spark):
     assert names.components(spark.createDataFrame(edges, "a string, b string").limit(0)).count() == 0
 
 
+def test_components_that_have_not_settled(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(30)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        names.components(edges, 1)
+    assert {r.label for r in names.components(edges).collect()} == {"n000"}
+
+
 def linked(spark, typed):
     rows = [(i, k, n) for i, (k, n) in enumerate(typed)]
     df = spark.createDataFrame(rows + rows[:2], "entity_no bigint, entity_type string, name string").withColumn("entity", F.lit("clash")).withColumn("key", F.lit(1))
