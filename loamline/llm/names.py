@@ -355,18 +355,16 @@ def slipped_bags(bags: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataF
     return met.where(like >= SIMILAR).groupBy(F.col("f_bag").alias("x"), F.col("g_bag").alias("y")).agg(F.bool_and(F.col("f_plural") & F.col("g_plural")).alias("plural"))
 
 
-def opened(rows: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def opened(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) of the names that the lists can't read with one another and with known entities; and the ids among them that a slip shows to be names.
 
-    They meet by all of their words: the same words in any order, slips in them, a known initial with the last word, or a
-    person of whom only the middle names are missing. Where several entities fit, there is no edge.
+    They meet by all of their words: the same words in any order, and slips in them. Where several known entities have the
+    same words, there is no edge.
     """
     text = lambda *c: F.array_join(F.array_sort(F.split(F.concat_ws(" ", *c), " ")), " ")
-    unknown = rows.where("what = 'open'").groupBy("entity", "key", "rest", "initial", "raw").agg(F.count("*").alias("n"))
-    unknown = cut(unknown, "open")
     said = rows.where("what in ('person', 'org') and rest <> ''")
     full = said.select("entity", text("key", "rest", F.nullif("kind", F.lit(""))).alias("bag")).unionByName(said.where("raw <> ''").select("entity", text("key", "raw").alias("bag"))).distinct()
-    mine = unknown.select("entity", F.col("rest").alias("bag")).distinct()
+    mine = rows.where("what = 'open'").select("entity", F.col("rest").alias("bag")).distinct()
     holders = full.groupBy("bag").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other").select("bag", F.col("one").alias("entity"))
     exact = mine.join(holders.withColumnRenamed("entity", "b"), "bag").select(F.col("entity").alias("a"), "b")
 
@@ -378,16 +376,26 @@ def opened(rows: DataFrame, known: DataFrame, total: int) -> tuple[DataFrame, Da
     slips = cut(met.join(x, "x").join(y, "y").where("(x_open or y_open) and x_entity <> y_entity"), "slips")
     shown = slips.where("not plural").select(F.explode(F.array("x_entity", "y_entity")).alias("id")).distinct()
 
-    # By initial, and without middle names: one entity fits.
-    ends = unknown.select("entity", "key", "initial", "raw", F.size(F.split("rest", " ")).alias("size"))
-    fitting = ends.select("key", "initial", "entity").unionByName(known.where("what = 'person' and rest <> ''").select("key", "initial", "entity"))
-    alone = fitting.groupBy("key", "initial").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other and one like 'open|%'")
-    short = known.where("what = 'person' and rest = '' and initial <> ''")
-    by_initial = short.join(alone, ["key", "initial"]).select(F.col("entity").alias("a"), F.col("one").alias("b"))
-    middle = ends.where("size > 2").groupBy("key", "raw").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other")
-    whole = known.where("what = 'person' and rest <> ''").select("entity", "key", F.col("rest").alias("raw"))
-    by_middle = whole.join(middle, ["key", "raw"]).select(F.col("entity").alias("a"), F.col("one").alias("b"))
-    return exact.unionByName(slips.select(F.col("x_entity").alias("a"), F.col("y_entity").alias("b"))).unionByName(by_initial).unionByName(by_middle), shown
+    return exact.unionByName(slips.select(F.col("x_entity").alias("a"), F.col("y_entity").alias("b"))), shown
+
+
+def shortened_names(known: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of names of which only an initial is known, or the middle names are missing, with the one entity that fits.
+
+    ``sets``: id and label of what slips have made one, so that several forms of an entity count as one.
+    """
+    labelled = lambda df: df.join(sets.withColumnRenamed("id", "entity"), "entity", "left").withColumn("label", F.coalesce("label", "entity"))
+    fits = lambda df, *keys: df.groupBy(*keys).agg(F.min("entity").alias("b"), F.min("label").alias("one"), F.max("label").alias("other")).where("one = other").drop("one", "other")
+    short = known.where("rest = '' and initial <> ''").select(F.col("entity").alias("a"), "what", "key", "kind", "initial")
+    whole = labelled(known.where("rest <> ''").select("entity", "what", "key", "kind", "initial", "rest"))
+    ends = labelled(rows.where("what = 'open'").select("entity", "key", "initial", "raw", F.size(F.split("rest", " ")).alias("size")).distinct())
+    by_initial = short.join(fits(whole, "what", "key", "kind", "initial"), ["what", "key", "kind", "initial"]).select("a", "b")
+    people = whole.where("what = 'person'").select("key", "initial", "entity", "label").unionByName(ends.select("key", "initial", "entity", "label"))
+    # A name that the lists can't read counts where all that fit are one.
+    open_initial = short.where("what = 'person'").join(fits(people, "key", "initial"), ["key", "initial"]).select("a", "b")
+    middle = fits(ends.where("size > 2"), "key", "raw")
+    by_middle = whole.where("what = 'person'").select(F.col("entity").alias("a"), "key", F.col("rest").alias("raw")).join(middle, ["key", "raw"]).select("a", "b")
+    return by_initial.unionByName(open_initial).unionByName(by_middle)
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -441,11 +449,6 @@ def entities(names: DataFrame) -> DataFrame:
     if not total:
         return rows.select("number", "entity")
 
-    # By initial: one full form fits.
-    full = known.where("rest <> ''").groupBy("what", "key", "kind", "initial").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
-    short = known.where("rest = '' and initial <> ''")
-    by_initial = short.join(full.where("one = other"), ["what", "key", "kind", "initial"]).select(F.col("entity").alias("a"), F.col("one").alias("b"))
-
     # By a slip in the rare word.
     keys = known.groupBy("key").agg(F.sum("n").alias("n"))
     pairs = cut(similar_words(rows.where("what <> 'open'"), "key"), "similar")
@@ -467,9 +470,11 @@ def entities(names: DataFrame) -> DataFrame:
     f1, f2 = (forms.select("key", "kind", "initial", F.col("rest").alias(f"r{i}"), F.col("n").alias(f"n{i}"), F.col("entity").alias(x)) for i, x in ((1, "a"), (2, "b")))
     twisted = f1.join(f2, ["key", "kind", "initial"]).where((F.col("r1") != F.col("r2")) & (F.struct("n1", "r1") < F.struct("n2", "r2")) & (F.levenshtein("r1", "r2") <= 2) & (F.length("r1") > 4)).select("a", "b")
 
-    met_open, shown = opened(rows, known, total)
-    edges = cut(by_initial.unionByName(slips).unionByName(twisted).unionByName(met_open), "edges")
-    sets = components(edges)
+    met_open, shown = opened(rows, total)
+    merged = components(slips.unionByName(twisted).unionByName(met_open))
+    # By initial, when slips have been merged: one entity fits.
+    stars = merged.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    sets = components(stars.unionByName(shortened_names(known, rows, merged)))
     labelled = rows.join(sets, rows.entity == sets.id, "left").join(shown.select("id", F.lit(True).alias("shown")), rows.entity == shown.id, "left")
     labelled = cut(labelled.select("number", "what", "key", "raw", F.coalesce("label", "entity").alias("entity"), ((F.col("what") != "open") | F.col("sure") | F.coalesce("shown", F.lit(False))).alias("shown")), "labelled")
     # A name that the lists can't read is a topic unless something in its set speaks for a person or organisation.

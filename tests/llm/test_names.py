@@ -129,6 +129,11 @@ def test_a_given_name_with_one_surname(spark):
     assert linked(spark, typed) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
 
 
+def test_an_initial_fits_forms_that_slips_have_parted(spark):
+    typed = [("link", "Orvadek Northern Hospital"), ("link", "Orvadek Nothern Hospital"), ("link", "Orvadek N. Hospital"), ("link", "Robert James Tamiluk"), ("link", "Robert Jmaes Tamiluk"), ("link", "Robert Tamiluk")]
+    assert linked(spark, typed) == {(a + i, b + i) for i in (0, 3) for a in range(3) for b in range(a + 1, 3)}
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "entity_no bigint, entity_type string, name string")
     assert names.spelling_pairs(df).count() == 0
