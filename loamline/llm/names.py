@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.session import cut, spread
@@ -25,7 +26,6 @@ leonard leo len lenny|linda|louis lou louie|lucia|maria|margaret maggie meg pegg
 nancy|nathaniel nate nathan|nicholas nick nicky|olivia liv|pamela pam|patricia pat patty trish tricia|paul|peter pete|philip phil|quentin|raymond ray|rebecca becky becca
 richard dick rick rich richie|robert bob rob bobby robbie|ronald ron ronnie|samantha|samuel sam sammy|sarah sally|stephen steve steven|susan sue susie suzy
 theodore ted theo teddy|thomas tom tommy|timothy tim timmy|ulrike|victoria vicky vicki tori|vincent vince|walter walt wally|william bill will billy willy liam|yasmin|zachary zach zack zac|zoe
-andre|inaki|jurgen|lucja|noemi|oguz|soren
 """
 NICK = {n: names.split()[0] for names in re.split(r"[|\n]", GIVEN.strip()) for n in names.split()}
 
@@ -37,18 +37,25 @@ institute inst institution|international intl int|laboratory lab labs laboratori
 society soc|solutions|studio|systems sys syst|technologies tech technology|trust|union|university univ uni
 """
 KIND = {n: names.split()[0] for names in re.split(r"[|\n]", KINDS.strip()) for n in names.split()}
-LONG_KINDS = sorted({k for k in KIND.values() if len(k) >= 6}, key=len, reverse=True)
+LONG_KINDS = tuple(sorted({k for k in KIND.values() if len(k) >= 6}))
 
 #: Words that belong to no name.
 TITLES = set("dr mr mrs ms prof professor sir the".split())
 LEGAL = set("ltd limited inc incorporated llc plc gmbh ag sa bv".split())
-PERSON_PREFIX, ORG_PREFIX = ("people/", "person/", "contacts/"), ("org/", "orgs/", "company/", "companies/")
+PREFIXES = ("people/", "person/", "contacts/", "org/", "orgs/", "company/", "companies/", "@")
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"})
 
-#: The surnames with which a given name must stand to be learnt from the collection.
-SURNAMES = 2
-#: The least weighted similarity of two names.
-SIMILAR = 0.85
+#: Letters of a gram.
+Q = 3
+#: The part of the weight of the grams of the lighter of two names that the other must have, for them to be compared.
+SHARED = 0.35
+#: The least weighted similarity of two names that mean the same, and of two of which one has an initial for a word.
+SIMILAR, INITIALS = 0.8, 0.7
+#: How alike two words are: short form and full name, initial and word, first letters of two words and the first of them, abbreviation.
+NICKNAME, INITIAL, INITIAL_TWO, ABBREVIATED = 0.95, 0.7, 0.6, 0.8
+#: Words of two names that are compared with one another at most; beyond it only equal ones count (names of more than a hundred words).
+COMPARED = 10_000
+STRONG, PARTIAL, MIDDLE, BARE, BARE_SLIP = range(5)
 
 
 def fold(text: str) -> str:
@@ -77,325 +84,247 @@ def shortened(word: str) -> set[str]:
 
 
 class Lexicon:
-    """Words with their canonical forms, found also with one slip of typing. ``base``: another whose words go before these."""
+    """Words with their canonical forms, found also with one slip of typing."""
 
-    def __init__(self, words: dict[str, str], base: Lexicon | None = None):
-        self.words, self.base = words, base
+    def __init__(self, words: dict[str, str]):
+        self.words = words
         self.near: dict[str, set[str]] = {}
         for w in words:
             for d in shortened(w):
                 self.near.setdefault(d, set()).add(w)
 
-    def get(self, word: str) -> str | None:
-        return self.base and self.base.get(word) or self.words.get(word)
-
-    def around(self, word: str) -> set[str]:
-        own = set().union(*(self.near.get(d, set()) for d in shortened(word)))
-        return own | self.base.around(word) if self.base else own
-
     def fuzzy(self, word: str, least: int) -> str | None:
         """The canonical form of the word of at least so many letters that this one is a slip of."""
-        if len(word) < max(3, least - 1):
+        if not least - 1 <= len(word) <= 40:
+            return None
+        got = sorted(w for w in set().union(*(self.near.get(d, set()) for d in shortened(word))) if len(w) >= least and near(w, word))
+        return self.words[got[0]] if got else None
+
+
+@dataclass
+class Words:
+    """What is known of words: short forms of given names and of kinds of organisations."""
+
+    nick: dict[str, str] = field(default_factory=lambda: NICK)
+    kinds: dict[str, str] = field(default_factory=lambda: KIND)
+
+    def __post_init__(self):
+        nick, kinds = Lexicon(self.nick), Lexicon(self.kinds)
+        self.given = lru_cache(100_000)(lambda w: (self.nick[w], 1.0) if w in self.nick else (nick.fuzzy(w, 4), 0.9) if len(w) > 3 else (None, 0.0))
+        self.kind = lru_cache(100_000)(lambda w: self.kinds.get(w) or (kinds.fuzzy(w, 6) if len(w) > 4 else None))
+
+    def __reduce__(self):
+        return Words, (self.nick, self.kinds)
+
+    def alike(self, a: str, b: str) -> float:
+        """How alike two words are: 1 for the same, 0 for different ones."""
+        if a == b:
+            return 1.0
+        if not (a.isalpha() and b.isalpha()):
+            return 0.0
+        if len(a) > len(b):
+            a, b = b, a
+        ka, kb = self.kind(a), self.kind(b)
+        if ka and ka == kb:
+            return NICKNAME
+        if len(a) == 1 or len(a) == 2 and len(b) > 2:
+            # The first letter of a given name that has a full form is that of the full form.
+            return (INITIAL if len(a) == 1 else INITIAL_TWO) if a[0] == self.nick.get(b, b)[0] else 0.0
+        (ga, sa), (gb, sb) = self.given(a), self.given(b)
+        if ga and ga == gb:
+            return NICKNAME * min(sa, sb)
+        known = a in self.nick and b in self.nick or a in self.kinds and b in self.kinds
+        if not known and (len(a) > 3 or len(a) == 3 and a[0] == b[0]) and near(a, b):
+            return 1 - 1 / len(b)
+        letters = iter(b)
+        if (ka or kb) and 2 * len(a) <= len(b) + 2 and a[0] == b[0] and all(c in letters for c in a):
+            return ABBREVIATED
+        return 0.0
+
+    def parted(self, a: list[str], b: list[str]) -> list[str]:
+        """``a`` with each word in two that begins or ends with a word of ``b``, where it is like none of them."""
+        out = []
+        whole = set(b)
+        for t in a:
+            at = 0
+            if len(t) >= 7 and t not in whole and not any(len(u) > 1 and self.alike(t, u) for u in b):
+                at = next((len(u) if t.startswith(u) else len(t) - len(u) for u in sorted(b, key=len, reverse=True) if len(u) >= 4 and len(t) - len(u) >= 3 and (t.startswith(u) or t.endswith(u))), 0)
+            out += [t[:at], t[at:]] if at else [t]
+        return out
+
+    def compare(self, a: list[str], b: list[str], weights: dict[str, float]) -> tuple[int, bool, bool] | None:
+        """How two names of these words are linked, if they are, whether a slip of typing (no plural) parts them, and whether the second is the single word.
+
+        The similarity is the weighted mean of how alike each word is to its best partner in the other name; words
+        without a partner count 0. ``weights``: how rare a word is; a part of one that isn't there is as rare as they are on average.
+        """
+        ja, jb = "".join(a), "".join(b)
+        if ja == jb:
+            return STRONG, False, False
+        if len(a) != len(b) and min(map(len, a + b)) > 1 and len(ja) > 8 and (ja + jb).isalpha() and near(ja, jb):
+            return STRONG, True, False
+        a, b = self.parted(a, b), self.parted(b, a)
+        usual = sum(weights.values()) / max(1, len(weights))
+        w = lambda x: weights.get(x, usual)
+        if len(a) * len(b) <= COMPARED:
+            pairs = sorted(((s, -abs(i - j), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := self.alike(x, y))), reverse=True)
+        else:
+            first = {y: j for j, y in enumerate(b)}
+            pairs = [(1.0, 0, i, first[x]) for i, x in enumerate(a) if x in first]
+        left_a, left_b = dict(enumerate(a)), dict(enumerate(b))
+        got = whole = 0.0
+        initial = slip = unlike = False
+        ends = 0
+        for s, _, i, j in pairs:
+            if i not in left_a or j not in left_b:
+                continue
+            x, y = left_a.pop(i), left_b.pop(j)
+            short, long_ = sorted((x, y), key=len)
+            if s in (INITIAL, INITIAL_TWO):
+                initial, weight = True, w(long_)
+            else:
+                weight = min(w(x), w(y))
+                slip |= x != y and long_ != short + "s"
+                unlike |= x != y
+                ends += (i in (0, len(a) - 1)) and (j in (0, len(b) - 1))
+            got += s * weight
+            whole += weight
+        if not whole:
+            return None
+        la, lb = list(left_a.values()), list(left_b.values())
+        if any(not x.isalpha() for x in la + lb):
             return None
-        got = sorted(w for w in self.around(word) if len(w) >= least and near(w, word))
-        return self.get(got[0]) if got else None
+        # A single letter more, such as that of a second given name, says nothing against; other ones do.
+        both = bool(la and lb)
+        if not both:
+            la, lb = [x for x in la if len(x) > 1], [x for x in lb if len(x) > 1]
+        lost = sum(max(w(x), 2.0) for x in la + lb)
+        similar = got / (whole + lost)
+        one = min(len(a), len(b)) == 1
+        if not initial and similar >= SIMILAR and not (one and len(a) != len(b)):
+            return STRONG, slip, False
+        if initial and not la and not lb and similar >= INITIALS and not one:
+            return PARTIAL, False, False
+        if one and not initial:
+            t, own = (a[0], la) if len(a) == 1 else (b[0], lb)
+            if not own and not self.given(t)[0] and not self.kind(t):
+                return (BARE_SLIP if unlike else BARE), False, len(a) > 1
+        if not one and not initial and not both and ends == 2 and not any(self.kind(x) for x in a + b):
+            return MIDDLE, False, False
+        return None
 
 
 @dataclass
 class Name:
-    """A name read as person (key: surname, rest: given name), org (key: brand, rest: the other words, kind) or single word.
+    """The words of a name. ``sure``: the way it is typed says that it is of someone; ``given``: the word that it shows to be a given name.
 
-    ``initial``: the first letter of the given name or of the second word of an organisation. ``rest`` is empty where
-    only the initial is known. ``sure``: the way it is typed says that it is a person.
+    ``known``: it has a given name of the list (also as the beginning of a long word), a kind of organisation or an initial; ``short``: it has an initial.
     """
 
-    what: str
-    key: str
-    rest: str = ""
-    initial: str = ""
-    kind: str = ""
+    words: list[str]
     sure: bool = False
-    raw: str = ""
-
-
-_KIND_LEXICON = Lexicon(KIND)
-
-
-def _org(tokens: list[str]) -> Name | None:
-    words: list[str] = []
-    kind, at = None, -1
-    for t in tokens:
-        k = KIND.get(t) or _KIND_LEXICON.fuzzy(t, 6)
-        if k is None and len(t) > 8:
-            k = next((x for x in LONG_KINDS if t.endswith(x) and len(t) - len(x) >= 3), None)
-            if k:
-                words.append(t[: -len(k)])
-        # The last of several kinds names it, unless that stands alone.
-        if k and (kind is None or words):
-            if kind is not None:
-                words.insert(max(0, at), kind) if kind not in words else None
-            kind, at = k, len(words)
-        else:
-            words.append(t)
-    if kind is None:
-        return None
-    # What follows "department of" belongs to the kind, also where the blank is misplaced.
-    if kind == "department":
-        tail = [w for w in words if w in ("of", "f", "o", "oof", "off") or w.startswith("of") and len(w) > 3 or near(w, "works") and len(w) > 3]
-        rest = "".join(tail)
-        words = [w for w in words if w not in tail]
-        kind = "department of works" if near(rest, "ofworks") or near(rest, "fworks") or "work" in rest else kind
-    words = [w for w in words if w not in ("of", "and", "for")]
-    full = [w for w in words if len(w) > 1]
-    if not full:
-        return None
-    key = full[0]
-    others = [w for w in words if w is not key]
-    return Name("org", key, " ".join(w for w in others if len(w) > 1), others[0][0] if others else "", kind)
+    known: bool = False
+    short: bool = False
+    given: str | None = None
 
 
-def read(name: str | None, given: Lexicon) -> Name | None:
-    """The name as person, organisation or single word; None for a topic."""
-    if not name:
-        return None
-    text = fold(name).strip()
-    sure = org = False
-    for p in PERSON_PREFIX:
-        if text.startswith(p):
-            text, sure = text[len(p) :], True
-    for p in ORG_PREFIX:
-        if text.startswith(p):
-            text, org = text[len(p) :], True
-    if text.startswith("@"):
-        text, sure = text[1:], True
-    if "/" in text or re.search(r"\d", text):
-        return None
-    comma = re.fullmatch(r"\s*([^\W_]+)\s*,\s*([^\W_]+)\.?(?:\s+[^\W_]\.?)?\s*", text)
-    tokens = re.findall(r"[^\W_]+", text)
-    sure = sure or any(t in ("dr", "prof", "mr", "mrs", "ms") for t in tokens[:1])
-    tokens = [t for t in tokens if t not in TITLES]
-    if comma and comma.group(2) not in LEGAL:
-        surname, first = comma.groups()
-        return _person(surname, first, given, True)
-    while len(tokens) > 1 and tokens[-1] in LEGAL:
-        tokens.pop()
-    if not tokens:
-        return None
-    if (org or not sure) and len(tokens) > 1 and (found := _org(tokens)):
-        return found
-    if len(tokens) == 1 and not sure and len(tokens[0]) > 10 and not given.get(tokens[0]) and any(tokens[0].endswith(k) for k in LONG_KINDS) and (found := _org(tokens)):
-        return found
-    if len(tokens) == 3 and len(tokens[1]) == 1 and len(tokens[0]) > 1 and len(tokens[2]) > 1:
-        tokens, sure = [tokens[0], tokens[2]], True
-    if len(tokens) == 2:
-        a, b = tokens
-        if len(a) == 1 and len(b) > 2:
-            return Name("person", b, "", a, sure=sure)
-        if len(b) == 1 and len(a) > 2:
-            return Name("person", a, "", b, sure=sure)
-        if len(a) == 2 and len(b) > 3 and not given.get(a):
-            return Name("person", b, "", a[0], sure=False)
-        if given.get(a):
-            return _person(b, a, given, sure)
-        if given.get(b):
-            return _person(a, b, given, sure)
-        if given.fuzzy(a, 3) and len(b) > 4:
-            return _person(b, a, given, sure)
-        if given.fuzzy(b, 3) and len(a) > 4:
-            return _person(a, b, given, sure)
-        return _person(b, a, given, True) if sure else None
-    if len(tokens) == 1 and len(tokens[0]) > 2:
-        t = tokens[0]
-        for n in range(min(len(t) - 4, 14), 3, -1):
-            if given.get(t[:n]) and len(t) - n >= 5:
-                return _person(t[n:], t[:n], given, False)
-        return Name("single", t)
-    return None
-
-
-def _person(surname: str, first: str, given: Lexicon, sure: bool) -> Name:
-    if len(first) == 1 or len(first) == 2 and not given.get(first):
-        return Name("person", surname, "", first[0], sure=sure)
-    full = given.get(first) or given.fuzzy(first, 3) or first
-    return Name("person", surname, full, full[0], sure=sure, raw=first)
-
-
-def unread(name: str | None, given: Lexicon) -> Name | None:
-    """A name of several words that ``read`` doesn't know, as its words; whether it is a topic shows when it has met others.
-
-    key: the last word, rest: all words in the order of the alphabet, raw: the first word, initial: its letter. ``sure``:
-    typed as a person or organisation, or of three and more words with a given name in front.
-    """
-    if not name:
-        return None
-    text = fold(name).strip()
-    sure = text.startswith((*PERSON_PREFIX, *ORG_PREFIX, "@"))
-    for p in (*PERSON_PREFIX, *ORG_PREFIX, "@"):
-        text = text.removeprefix(p)
-    if "/" in text or re.search(r"\d", text):
-        return None
+def read(name: str | None, about: Words) -> Name | None:
+    """The words of a name, in small letters without marks, prefix, title and legal form; None where there are none."""
+    text = fold(name or "").strip()
+    prefix = next((p for p in PREFIXES if text.startswith(p)), "")
+    text = text[len(prefix) :]
+    comma = False
     if text.count(",") == 1:
         before, after = text.split(",")
-        if (words := re.findall(r"[^\W_]+", after)) and words[-1] not in LEGAL:
-            text = f"{after} {before}"
-    tokens = re.findall(r"[^\W_]+", text)
-    sure = sure or any(t in ("dr", "prof", "mr", "mrs", "ms") for t in tokens[:1])
-    tokens = [t for t in tokens if t not in TITLES]
-    while len(tokens) > 1 and tokens[-1] in LEGAL:
-        tokens.pop()
-        sure = True
-    if len(tokens) < 2:
+        if (those := re.findall(r"[^\W_]+", after)) and those[-1] not in LEGAL:
+            text, comma = f"{after} {before}", True
+    words = re.findall(r"[^\W_]+", text)
+    titled = words[:1] and words[0] in ("dr", "mr", "mrs", "ms", "prof")
+    words = [w for w in words if w not in TITLES] or words
+    legal = False
+    while len(words) > 1 and words[-1] in LEGAL:
+        words.pop()
+        legal = True
+    if not words:
         return None
-    sure = sure or len(tokens) > 2 and given.get(tokens[0]) is not None
-    return Name("open", tokens[-1], " ".join(sorted(tokens)), tokens[0][0], sure=sure, raw=given.get(tokens[0]) or tokens[0])
-
-
-def parsed(names: DataFrame) -> DataFrame:
-    """number, what, key, rest, initial, kind, sure, raw of each name that may be of a person or organisation.
-
-    ``names``: number, name, given (the learnt given names that its words may be, or null).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(NICK)
-        for b in batches:
-            got = []
-            for i, (x, more) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                lexicon = Lexicon({w: w for w in more}, known) if more else known
-                if n := read(x, lexicon) or unread(x, lexicon):
-                    got.append((i, n))
-            cols = [pa.array([getattr(n, f) for _, n in got], pa.bool_() if f == "sure" else pa.string()) for f in ("what", "key", "rest", "initial", "kind", "sure", "raw")]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in got], pa.int64())), *cols], names=["number", "what", "key", "rest", "initial", "kind", "sure", "raw"])
+    many = len(words) > 1
+    kind = any(about.kind(w) or len(w) > 8 and w.endswith(LONG_KINDS) for w in words)
+    short = many and any(w.isalpha() and (len(w) == 1 or len(w) == 2 and w not in about.kinds and w not in about.nick and w not in ("of", "de", "la", "le")) for w in words)
+    person = many and not kind and (comma or titled or prefix in ("people/", "person/", "contacts/", "@") or len(words) == 3 and len(words[1]) == 1)
+    glued = any(len(w) >= 9 and any(w[:n] in about.nick for n in range(4, len(w) - 4)) for w in words)
+    known = glued or many and (kind or short or any(about.given(w)[0] for w in words))
+    return Name(words, bool(prefix or comma or titled or legal), known, short, words[0] if person and len(words[0]) > 2 else None)
 
-    return names.select("number", "name", "given").mapInArrow(run, "number bigint, what string, key string, rest string, initial string, kind string, sure boolean, raw string")
 
+def grams_of(words: list[str]) -> list[str]:
+    """The grams of each word; words shorter than a gram are grams themselves."""
+    return sorted({w[i : i + Q] for w in words for i in range(max(1, len(w) - Q + 1))})
 
-def learnt(names: DataFrame, least: int = SURNAMES) -> DataFrame:
-    """word: the given names beside those known that stand with several surnames where the way of typing tells which part is which."""
-    first = parsed(names.withColumn("given", F.lit(None).cast("array<string>"))).where("sure and what = 'person' and length(rest) > 2")
-    seen = first.groupBy(F.col("rest").alias("word")).agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least)
-    return seen.select("word").where(~F.col("word").isin(sorted(set(NICK))))
 
-
-def _variants(words: DataFrame, fronts: bool) -> DataFrame:
-    """word, form: each word with the forms in which words a slip apart meet; with ``fronts`` also its beginnings, for given names glued to a surname."""
+def typed(names: DataFrame, about: Words) -> DataFrame:
+    """number, form (the words with blanks between), sure, known, short, given: of each name that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(w, f) for w in b.column(0).to_pylist() for f in shortened(w) | ({w[:n] for n in range(4, min(len(w) - 4, 14) + 1)} if fronts else set())]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([f for _, f in got], pa.string())], names=["word", "form"])
+            got = [(i, n) for i, x in enumerate(b.column(1).to_pylist()) if (n := read(x, about))]
+            cols = [pa.array([getattr(n, f) for _, n in got], t) for f, t in (("sure", pa.bool_()), ("known", pa.bool_()), ("short", pa.bool_()), ("given", pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in got], pa.int64())), pa.array([" ".join(n.words) for _, n in got], pa.string()), *cols], names=["number", "form", "sure", "known", "short", "given"])
 
-    return words.select("word").mapInArrow(run, "word string, form string")
+    return names.select("number", "name").mapInArrow(run, "number bigint, form string, sure boolean, known boolean, short boolean, given string")
 
 
-def hinted(names: DataFrame, given: DataFrame) -> DataFrame:
-    """number, name, given: with each name those of the given names (``word``) that one of its words is, has a slip of, or begins with.
+def weighed(forms: DataFrame, total: int) -> DataFrame:
+    """id, words, weights (log(1 + forms / forms with the word)), codes and heads: the grams of the name, and the rarest of them.
 
-    Words meet in a join, however many given names there are; each name is then read with those it has met only.
+    A code is a gram with its weight in the last 20 bits. The heads are the prefix of the filter: of the grams in order of
+    rarity so many that the others weigh less than ``SHARED`` of all, so a name that has as much in common must have one.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, w) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in set(re.findall(r"[^\W_]+", fold(x))) if len(w) > 2]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([w for _, w in got], pa.string())], names=["number", "word"])
-
-    words = names.select("number", "name").mapInArrow(run, "number bigint, word string")
-    met = _variants(words.select("word").distinct(), True).join(_variants(given, False).withColumnRenamed("word", "given"), "form")
-    hits = met.groupBy("word").agg(F.collect_set("given").alias("given"))
-    found = words.join(hits, "word").groupBy("number").agg(F.array_distinct(F.flatten(F.collect_list("given"))).alias("given"))
-    return names.join(found, "number", "left").select("number", "name", "given")
-
-
-def similar_words(words: DataFrame, word: str, q: int = 3) -> DataFrame:
-    """a, b: words one slip of typing apart, by a set-similarity join on q-grams with prefix filter.
-
-    A slip changes at most q + 1 of the grams of a padded word, so two such words share a gram among the q + 2 rarest of
-    each. Only those are joined, for words whose lengths differ by one at most; then the words are compared. Grams are
-    ordered by how many words have them, over all words.
-    """
-    t = words.select(F.col(word).alias("w")).where(F.length("w") >= 4).distinct()
-    padded = F.concat(F.lit("#" * (q - 1)), F.col("w"), F.lit("$" * (q - 1)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q))))
-    each = t.select("w", F.explode(grams).alias("gram"))
-    counts = each.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = each.join(counts, "gram").groupBy("w").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram"))), 1, q + 2).alias("p"))
-    prefix = cut(rare.select("w", F.length("w").alias("len"), F.explode("p.gram").alias("gram")), "grams")
-    a = prefix.select(F.col("w").alias("a"), "gram", "len")
-    b = prefix.select(F.col("w").alias("b"), "gram", F.explode(F.array(F.col("len"), F.col("len") + 1)).alias("len"), F.col("len").alias("own"))
-    pairs = a.join(b, ["gram", "len"]).where((F.col("own") < F.col("len")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    apart = F.levenshtein("a", "b")
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    swapped = (F.length("a") == F.length("b")) & (apart == 2) & (letters("a") == letters("b"))
-    return pairs.where((apart <= 1) | swapped)
-
-
-def slipped_bags(bags: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """x, y, plural: names (as words in the order of the alphabet) with slips of typing in one or two words, similar enough as a whole.
-
-    Each name is sent to the forms it takes when one of its words is replaced by one a slip apart, and to its own; names
-    that meet in a form differ in two words at most. So no name is compared with all that share a word. ``plural``: all
-    that differs is an s at the end of words.
-    """
-    partner = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    words = bags.select("bag", F.posexplode(F.split("bag", " ")).alias("i", "a")).join(weights.withColumnRenamed("w", "aw"), "a")
-    heavy = words.groupBy("bag").agg(F.sum("aw").alias("all"))
-    other = partner.join(weights.select(F.col("a").alias("b"), F.col("w").alias("bw")), "b")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    changed = words.join(other, "a").select(
-        "bag",
-        F.array_join(F.array_sort(F.transform(F.split("bag", " "), lambda t, i: F.when(i == F.col("i"), F.col("b")).otherwise(t))), " ").alias("form"),
-        F.col("b").alias("to"), ((F.col("aw") + F.col("bw")) / 2 / longest).alias("loss"),
-        ((F.col("a") == F.concat("b", F.lit("s"))) | (F.col("b") == F.concat("a", F.lit("s")))).alias("plural"),
-    )
-    own = bags.select("bag", F.col("bag").alias("form"), F.lit("").alias("to"), F.lit(0.0).alias("loss"), F.lit(True).alias("plural"))
-    forms = cut(changed.unionByName(own).join(heavy, "bag"), "forms")
-    f, g = (forms.select("form", *[F.col(c).alias(f"{x}_{c}") for c in ("bag", "to", "loss", "plural", "all")]) for x in "fg")
-    met = f.join(g, "form").where((F.col("f_bag") < F.col("g_bag")) & (F.col("f_to") != F.col("g_to")))
-    like = 1 - (F.col("f_loss") + F.col("g_loss")) / ((F.col("f_all") + F.col("g_all")) / 2)
-    return met.where(like >= SIMILAR).groupBy(F.col("f_bag").alias("x"), F.col("g_bag").alias("y")).agg(F.bool_and(F.col("f_plural") & F.col("g_plural")).alias("plural"))
-
-
-def opened(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of the names that the lists can't read with one another and with known entities; and the ids among them that a slip shows to be names.
-
-    They meet by all of their words: the same words in any order, and slips in them. Where several known entities have the
-    same words, there is no edge.
-    """
-    text = lambda *c: F.array_join(F.array_sort(F.split(F.concat_ws(" ", *c), " ")), " ")
-    said = rows.where("what in ('person', 'org') and rest <> ''")
-    full = said.select("entity", text("key", "rest", F.nullif("kind", F.lit(""))).alias("bag")).unionByName(said.where("raw <> ''").select("entity", text("key", "raw").alias("bag"))).distinct()
-    mine = rows.where("what = 'open'").select("entity", F.col("rest").alias("bag")).distinct()
-    holders = full.groupBy("bag").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).where("one = other").select("bag", F.col("one").alias("entity"))
-    exact = mine.join(holders.withColumnRenamed("entity", "b"), "bag").select(F.col("entity").alias("a"), "b")
-
-    bags = cut(mine.withColumn("open", F.lit(True)).unionByName(holders.withColumn("open", F.lit(False))), "bags")
-    words = cut(bags.select(F.explode(F.split("bag", " ")).alias("a")).groupBy("a").agg(F.count("*").alias("n")), "words")
-    weights = words.select("a", F.log(1 + F.lit(total) / F.col("n")).alias("w"))
-    met = slipped_bags(bags.select("bag").distinct(), similar_words(words, "a"), weights)
-    x, y = (bags.select(F.col("bag").alias(k), F.col("entity").alias(f"{k}_entity"), F.col("open").alias(f"{k}_open")) for k in "xy")
-    slips = cut(met.join(x, "x").join(y, "y").where("(x_open or y_open) and x_entity <> y_entity"), "slips")
-    shown = slips.where("not plural").select(F.explode(F.array("x_entity", "y_entity")).alias("id")).distinct()
-
-    return exact.unionByName(slips.select(F.col("x_entity").alias("a"), F.col("y_entity").alias("b"))), shown
+            got = [(i, g) for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for g in grams_of(f.split(" "))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([g for _, g in got], pa.string())], names=["id", "gram"])
+
+    rare = lambda n: F.log(1 + F.lit(float(total)) / F.col(n))
+    each = forms.select("id", "form").mapInArrow(grams, "id bigint, gram string")
+    codes = each.groupBy("gram").agg(F.count("*").alias("n")).select("gram", ((F.shiftleft(F.xxhash64("gram"), 20)) + F.round(rare("n") * 1000).cast("bigint")).alias("code"), "n")
+    own = each.join(codes, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("g"))
+    words = forms.select("id", F.posexplode(F.split("form", " ")).alias("at", "word"))
+    counts = words.groupBy("word").agg(F.count_distinct("id").alias("n"))
+    heavy = words.join(counts, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "word", rare("n").cast("float").alias("w")))).alias("t"))
+    heft = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit((1 << 20) - 1)))
+    rows = own.join(heavy, "id").select("id", F.col("t.word").alias("words"), F.col("t.w").alias("weights"), F.col("g.code").alias("codes")).withColumn("all", heft(F.col("codes")))
+    # Weight of a gram and those after it.
+    return rows.withColumn("heads", F.filter("codes", lambda c, i: heft(F.slice("codes", i + 1, F.size("codes"))) >= F.lit(SHARED) * F.col("all")))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """a, b: the ids of each two names of which the lighter has ``SHARED`` of its gram weight in common with the other."""
+    heads = rows.select(F.col("id").alias("a"), F.col("all").alias("a_all"), F.explode("heads").alias("code"))
+    every = rows.select(F.col("id").alias("b"), F.col("all").alias("b_all"), F.explode("codes").alias("code"))
+    lighter = (F.col("a_all") < F.col("b_all")) | (F.col("a_all") == F.col("b_all")) & (F.col("a") < F.col("b"))
+    met = heads.join(every, "code").where(lighter).select("a", "b").distinct()
+    x, y = (rows.select(F.col("id").alias(k), F.col("codes").alias(f"{k}_codes"), F.col("all").alias(f"{k}_all")) for k in "ab")
+    common = F.aggregate(F.array_intersect("a_codes", "b_codes"), F.lit(0).cast("bigint"), lambda s, c: s + c.bitwiseAND(F.lit((1 << 20) - 1)))
+    return met.join(x, "a").join(y, "b").where(common >= F.lit(SHARED) * F.col("a_all")).select("a", "b")
+
+
+def compared(pairs: DataFrame, rows: DataFrame, about: Words) -> DataFrame:
+    """a, b, link, slip: the pairs of names that are linked, and how (``Words.compare``); of BARE ones ``a`` is the single word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for i, (x, xw, y, yw) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                if found := about.compare(x, y, dict(zip(x + y, xw + yw, strict=True))):
+                    got.append((i, *found))
+            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ends = [(right[i], left[i]) if turned else (left[i], right[i]) for i, _, _, turned in got]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64()), pa.array([k for _, k, _, _ in got], pa.int32()), pa.array([s for _, _, s, _ in got], pa.bool_())], names=["a", "b", "link", "slip"])
 
-def shortened_names(known: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) of names of which only an initial is known, or the middle names are missing, with the one entity that fits.
-
-    ``sets``: id and label of what slips have made one, so that several forms of an entity count as one.
-    """
-    labelled = lambda df: df.join(sets.withColumnRenamed("id", "entity"), "entity", "left").withColumn("label", F.coalesce("label", "entity"))
-    fits = lambda df, *keys: df.groupBy(*keys).agg(F.min("entity").alias("b"), F.min("label").alias("one"), F.max("label").alias("other")).where("one = other").drop("one", "other")
-    short = known.where("rest = '' and initial <> ''").select(F.col("entity").alias("a"), "what", "key", "kind", "initial")
-    whole = labelled(known.where("rest <> ''").select("entity", "what", "key", "kind", "initial", "rest"))
-    ends = labelled(rows.where("what = 'open'").select("entity", "key", "initial", "raw", F.size(F.split("rest", " ")).alias("size")).distinct())
-    by_initial = short.join(fits(whole, "what", "key", "kind", "initial"), ["what", "key", "kind", "initial"]).select("a", "b")
-    people = whole.where("what = 'person'").select("key", "initial", "entity", "label").unionByName(ends.select("key", "initial", "entity", "label"))
-    # A name that the lists can't read counts where all that fit are one.
-    open_initial = short.where("what = 'person'").join(fits(people, "key", "initial"), ["key", "initial"]).select("a", "b")
-    middle = fits(ends.where("size > 2"), "key", "raw")
-    by_middle = whole.where("what = 'person'").select(F.col("entity").alias("a"), "key", F.col("rest").alias("raw")).join(middle, ["key", "raw"]).select("a", "b")
-    return by_initial.unionByName(open_initial).unionByName(by_middle)
+    x, y = (rows.select(F.col("id").alias(k), F.col("words").alias(f"{k}_words"), F.col("weights").alias(f"{k}_weights")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "a_words", "a_weights", "b_words", "b_weights")
+    return both.mapInArrow(run, "a bigint, b bigint, link int, slip boolean")
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -418,91 +347,81 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
             raise RuntimeError(f"components not settled after {most} rounds")
 
 
-def _identity() -> Column:
-    """A key for what is known of an entity; spellings with the same key are the same one."""
-    return F.concat_ws("|", "what", "key", "kind", "rest", F.when(F.col("rest") == "", F.col("initial")).otherwise(F.lit("")))
+def _relabelled(forms: DataFrame, edges: DataFrame) -> DataFrame:
+    """The forms with the labels that edges (a, b) between their labels give them."""
+    sets = components(edges)
+    joined = forms.join(sets.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+    return cut(joined.withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
+
+
+def _between(links: DataFrame, forms: DataFrame, kinds: list[int], *more: str, ways: int = 2) -> DataFrame:
+    """x, y, link: the labels of the forms that links of these kinds join, one way or both; and columns ``more`` of the forms of each."""
+    both = links.where(F.col("link").isin(kinds)).select(F.col("a").alias("i"), F.col("b").alias("j"), "link")
+    if ways == 2:
+        both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "link"))
+    x, y = (forms.select(F.col("id").alias(i), F.col("label").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in more]) for i, k in (("i", "x"), ("j", "y")))
+    return both.join(x, "i").join(y, "j").where("x <> y").drop("i", "j")
 
 
-def entities(names: DataFrame) -> DataFrame:
+def entities(names: DataFrame, about: Words | None = None) -> DataFrame:
     """number, entity: which spellings mean the same person or organisation; those of topics are left out.
 
-    ``names``: number, name. The parts of a name are found by the way it is typed, given names and kinds of
-    organisations being made full. Spellings with equal parts fall together by their key, without being compared. Keys
-    that differ are linked where
-    - the rare word (surname, brand) is the same and the other known only by its initial, if one entity fits;
-    - the rare words are a slip of typing apart, by a set-similarity join on their q-grams, and the names as a whole are
-      similar: the mean of the similarities of their words, weighted by how rare each word is;
-    - a single word is the rare word of exactly one entity;
-    - a name of several words that the lists can't read meets others by all its words (``opened``). It is a topic unless
-      its set holds a known entity, a spelling typed as a person or organisation, or a slip of typing (a plural is none).
-    Linked keys then form sets. Nothing is compared within a key or with all others, so a surname that a third of
-    the names have costs no more than others. Null and empty names are no cases; of repeated rows of a number the
-    smallest name counts.
+    ``names``: number, name. Every name takes part as the set of the q-grams of its words, weighted by rarity: a
+    prefix-filtered join gives the pairs of which the lighter name has ``SHARED`` of its weight in common with the other,
+    and the mean similarity of their words, weighted by rarity, decides (``Words.compare``). Equal words in equal order
+    are one form. A list of short forms only adds to the similarity of two words. Then
+    - names linked as a whole form sets;
+    - a name with an initial for a word joins the one set of full names that it is linked with, and where there is none,
+      the others with initials; a name without a middle name joins the one set that has it;
+    - a single word joins the one set of names that have it, or, if none has, a slip of it.
+    A set is of a person or organisation if something in it speaks for that: a given name (of the list, or standing as
+    such in a name whose way of typing shows which it is), a kind of organisation, an initial, a title, a prefix, or a
+    slip of typing (a plural is none). Others are topics. Null and empty names are no cases; of repeated rows of a number
+    the smallest name counts. Grams that many names have weigh little and are seldom heads, so a surname that a third of
+    the names have isn't compared with all of them.
     """
+    about = about or Words()
     base = spread(names.where(F.col("number").isNotNull() & F.col("name").isNotNull()).groupBy("number").agg(F.min("name").alias("name")))
-    base = cut(base, "names")
-    rows = cut(parsed(hinted(base, cut(learnt(base), "given"))).withColumn("entity", _identity()), "parsed")
-
-    known = rows.where("what in ('person', 'org')").groupBy("entity", "what", "key", "rest", "initial", "kind").agg(F.count("*").alias("n"))
-    known = cut(known, "known")
-    total = rows.count()
-    if not total:
-        return rows.select("number", "entity")
-
-    # By a slip in the rare word.
-    keys = known.groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = cut(similar_words(rows.where("what <> 'open'"), "key"), "similar")
-    weights = cut(keys.select("key", F.log(1 + F.lit(total) / F.col("n")).alias("w")), "weights")
-    rest_n = known.groupBy("what", F.coalesce(F.nullif(F.concat("rest", F.lit(" "), "kind"), F.lit(" ")), F.lit("")).alias("words")).agg(F.sum("n").alias("rest_n"))
-    weighed = known.withColumn("words", F.coalesce(F.nullif(F.concat("rest", F.lit(" "), "kind"), F.lit(" ")), F.lit(""))).join(rest_n, ["what", "words"]).join(weights, "key")
-    weighed = weighed.withColumn("rest_w", F.log(1 + F.lit(total) / F.col("rest_n"))).select("entity", "what", "key", "rest", "initial", "kind", "w", "rest_w")
-    left = weighed.select([F.col(c).alias(f"a_{c}") for c in weighed.columns])
-    right = weighed.select([F.col(c).alias(f"b_{c}") for c in weighed.columns])
-    # Only names of one kind and initial can be similar enough, so the join is on these too.
-    met = pairs.join(left, F.col("a") == F.col("a_key")).join(right, (F.col("b") == F.col("b_key")) & (F.col("a_what") == F.col("b_what")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_initial") == F.col("b_initial")))
-    same_rest = F.when(F.col("a_rest") == F.col("b_rest"), 1.0).when((F.col("a_rest") == "") | (F.col("b_rest") == ""), 0.8).when(F.levenshtein("a_rest", "b_rest") <= 1, 0.9).otherwise(0.0)
-    key_like = 1.0 - 1.0 / F.greatest(F.length("a"), F.length("b"))
-    w, rest_w = (F.col("a_w") + F.col("b_w")) / 2, F.least((F.col("a_rest_w") + F.col("b_rest_w")) / 2, (F.col("a_w") + F.col("b_w")) / 2)
-    slips = met.where((w * key_like + rest_w * same_rest) / (w + rest_w) >= SIMILAR).select(F.col("a_entity").alias("a"), F.col("b_entity").alias("b"))
-
-    # By a slip in another word, within one rare word: the less frequent form goes to the more frequent.
-    forms = known.where("what = 'org' and rest <> ''")
-    f1, f2 = (forms.select("key", "kind", "initial", F.col("rest").alias(f"r{i}"), F.col("n").alias(f"n{i}"), F.col("entity").alias(x)) for i, x in ((1, "a"), (2, "b")))
-    twisted = f1.join(f2, ["key", "kind", "initial"]).where((F.col("r1") != F.col("r2")) & (F.struct("n1", "r1") < F.struct("n2", "r2")) & (F.levenshtein("r1", "r2") <= 2) & (F.length("r1") > 4)).select("a", "b")
-
-    met_open, shown = opened(rows, total)
-    merged = components(slips.unionByName(twisted).unionByName(met_open))
-    # By initial, when slips have been merged: one entity fits.
-    stars = merged.select(F.col("id").alias("a"), F.col("label").alias("b"))
-    sets = components(stars.unionByName(shortened_names(known, rows, merged)))
-    labelled = rows.join(sets, rows.entity == sets.id, "left").join(shown.select("id", F.lit(True).alias("shown")), rows.entity == shown.id, "left")
-    labelled = cut(labelled.select("number", "what", "key", "raw", F.coalesce("label", "entity").alias("entity"), ((F.col("what") != "open") | F.col("sure") | F.coalesce("shown", F.lit(False))).alias("shown")), "labelled")
-    # A name that the lists can't read is a topic unless something in its set speaks for a person or organisation.
-    real = labelled.where("shown").select("entity").distinct()
-    labelled = cut(labelled.where("what = 'single'").unionByName(labelled.where("what <> 'single'").join(real, "entity", "left_semi").select(labelled.columns)), "labelled")
-
-    # Single words: exactly one entity has them as its rare word, in this spelling or, if none has, a slip away; or as given name and surname in one.
-    glued = labelled.where("what in ('person', 'open') and raw <> ''").select(F.concat("raw", "key").alias("key"), "entity")
-    owners = labelled.where("what <> 'single'").select("key", "entity").unionByName(glued).groupBy("key").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
-    single = labelled.where("what = 'single'").select("number", "key")
-    exact = single.join(owners, "key", "left")
-    astray = exact.where("one is null and length(key) >= 8").select("number", "key")
-    around = pairs.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("to")))
-    guess = around.join(owners.withColumnRenamed("key", "to"), "to").groupBy("key").agg(F.min("one").alias("one"), F.max("other").alias("other"))
-    found = exact.where("one = other").select("number", F.col("one").alias("entity")).unionByName(astray.join(guess, "key").where("one = other").select("number", F.col("one").alias("entity")))
-    return labelled.where("what <> 'single'").select("number", "entity").unionByName(found)
-
-
-def spellings(summaries: DataFrame) -> DataFrame:
+    rows = cut(typed(base, about), "typed")
+    forms = cut(rows.groupBy("form").agg(F.bool_or("sure").alias("sure"), F.bool_or("known").alias("known"), F.bool_or("short").alias("short")).withColumn("id", F.monotonically_increasing_id()), "forms")
+    total = forms.count()
+    heavy = cut(weighed(forms, total), "grams")
+    links = cut(compared(cut(candidates(heavy), "candidates"), heavy, about), "links")
+
+    forms = forms.withColumn("label", F.col("id")).withColumn("single", ~F.col("form").contains(" "))
+    forms = _relabelled(forms, links.where(F.col("link") == STRONG).select("a", "b"))
+    # By initials and middle names: the one set of full names that fits.
+    kind = cut(forms.groupBy("label").agg(F.bool_or(~F.col("short")).alias("full"), F.bool_and("single").alias("single")), "kinds")
+    x, y = (kind.select(F.col("label").alias(k), F.col("full").alias(f"{k}_full")) for k in "xy")
+    part = _between(links, forms, [PARTIAL]).join(x, "x").join(y, "y").where("not x_full")
+    fits = part.groupBy("x").agg(F.min(F.when(F.col("y_full"), F.col("y"))).alias("one"), F.max(F.when(F.col("y_full"), F.col("y"))).alias("other"))
+    part = part.join(fits, "x").where("(one = other and y = one) or one is null").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    size = F.size(F.split("form", " "))
+    middle = _between(links, forms.withColumn("size", size), [MIDDLE], "size").where("x_size < y_size").groupBy("x").agg(F.min("y").alias("one"), F.max("y").alias("other")).where("one = other")
+    forms = _relabelled(forms, part.unionByName(middle.select(F.col("x").alias("a"), F.col("one").alias("b"))))
+    # Single words: the one set that has them.
+    alone = forms.groupBy("label").agg(F.bool_and("single").alias("single")).where("single").select(F.col("label").alias("x"))
+    bare = _between(links, forms, [BARE, BARE_SLIP], ways=1).join(alone, "x").groupBy("x").agg(*[f(F.when(F.col("link") == k, F.col("y"))).alias(n) for k, p in ((BARE, "same"), (BARE_SLIP, "slip")) for f, n in ((F.min, f"{p}_one"), (F.max, f"{p}_other"))])
+    goes = bare.select(F.col("x").alias("a"), F.when(F.col("same_one").isNotNull(), F.when(F.col("same_one") == F.col("same_other"), F.col("same_one"))).when(F.col("slip_one") == F.col("slip_other"), F.col("slip_one")).alias("b"))
+    forms = _relabelled(forms, goes.where("b is not null"))
+
+    learnt = rows.where(F.col("given").isNotNull()).select(F.col("given").alias("word")).distinct()
+    words = forms.where("not single").select("label", F.explode(F.split("form", " ")).alias("word"))
+    shown = forms.where("sure or known").select("label").unionByName(words.join(learnt, "word", "left_semi").select("label"))
+    slips = links.where("slip").select(F.col("a").alias("id")).join(forms, "id").select("label")
+    real = forms.join(shown.unionByName(slips).distinct(), "label", "left_semi")
+    named = real.join(real.groupBy("label").agg(F.min("form").alias("entity")), "label").select("form", "entity")
+    return rows.select("number", "form").join(named, "form").select("number", "entity")
+
+
+def spellings(summaries: DataFrame, about: Words | None = None) -> DataFrame:
     """entity_no, entity of the link and tag records of persons and organisations."""
     rows = summaries.where(F.col("entity_type").isin("link", "tag")).select(F.col("entity_no").cast("bigint").alias("number"), F.col("name").cast("string").alias("name"))
-    return entities(rows).select(F.col("number").alias("entity_no"), "entity")
+    return entities(rows, about).select(F.col("number").alias("entity_no"), "entity")
 
 
-def spelling_pairs(summaries: DataFrame) -> DataFrame:
+def spelling_pairs(summaries: DataFrame, about: Words | None = None) -> DataFrame:
     """entity_no_a, entity_no_b: each pair of records of the same one, the smaller number first."""
-    one = cut(spellings(summaries), "spellings")
+    one = cut(spellings(summaries, about), "spellings")
     a, b = one.select("entity", F.col("entity_no").alias("entity_no_a")), one.select("entity", F.col("entity_no").alias("entity_no_b"))
     return a.join(b, "entity").where(F.col("entity_no_a") < F.col("entity_no_b")).select("entity_no_a", "entity_no_b")
-
-
