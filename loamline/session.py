@@ -54,13 +54,13 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: a lineage of one scan, which a lost executor can't break.
 
-    Parquet keeps it columnar, so later readers still prune columns.
+    Parquet keeps it columnar, so later readers still prune columns. ``by``: a column by which the rows are laid in folders.
     """
     path = f"{shared_dir(df.sparkSession)}/loamline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
