@@ -94,10 +94,9 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """The terms that speak most for each subject in each language, to be looked through."""
+    """The map from topics to subjects that p8_found uses, to be looked through: each topic with its top terms, and the part of the judged notes with them that are of the subject."""
     model, _ = subjects.fit(_t(spark, folder, "documents"), _t(spark, folder, "subject_labels"), _t(spark, folder, "subjects"))
-    rows = [(s, language, i + 1, t) for s, language, terms in model.top_terms(20) for i, t in enumerate(terms)]
-    return spark.createDataFrame(rows, "subject string, lang string, rank int, term string")
+    return spark.createDataFrame(model.table(), "topic int, subject string, share double, terms array<string>")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_knn, p4_found, p4_entities, p5_found, p5_ranked, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_composition, p8_topics)}

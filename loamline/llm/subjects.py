@@ -1,43 +1,44 @@
-"""Subject areas of notes, by a topic model whose topics are sought from a sample of judgements."""
+"""Subject areas of notes: latent Dirichlet topics, mapped to subjects by their top terms, and counted by sentence."""
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.session import cut, spread
 
-#: Terms (words and pairs of words) of the model at most, and the notes in which one must stand.
-TERMS, NOTES = 60_000, 5
-#: Judged notes that the topics are sought from, at most; chosen by hash where there are more.
+#: Topics.
+TOPICS = 128
+#: A term stands in so many notes, and in such a part of all notes; so there are at most (distinct terms of a note / ``RATE``) terms.
+NOTES, RATE = 5, 5e-5
+#: A term that stands in more than this part of the notes of a language says nothing about their subject.
+COMMON = 0.12
+#: Judged notes by which topics are mapped to subjects, at most; chosen by hash where there are more.
 JUDGED = 20_000
-#: Languages that have a background of their own, at most, and the part of the notes one must have.
-LANGUAGES, LANGUAGE_PART = 8, 0.01
-#: The part of the words of a sentence about a subject that are its own, and the prior of a note's proportions.
-OWN, ALPHA, BACKGROUND = 0.15, 0.1, 2.0
-#: Sentences that a judgement counts as, while fitting.
-VOTE = 4.0
-#: Passes over all notes when fitting, and rounds within a note.
-PASSES, ROUNDS = 6, 4
-#: Taken off the count of a term in a topic, so that words met by chance don't stay in it; and the logarithm by which a sentence must speak for a subject.
-DISCOUNT, EVIDENCE = 1.0, 1.0
-#: How many times as often as in all notes a term stands in those judged to be of a subject, to be a word of it; and by how many standard deviations.
-LIFT, SURE = 1.8, 1.3
-#: Notes, and terms, that are scored at once, for the memory of a worker.
-BLOCK, SCORED = 512, 200_000
-#: Terms of a note from which it weighs no more in the counts, so that one very long note isn't the background of all.
-HEAVY = 2_000
+#: Parts of the notes that the topics are learnt from one after the other, and how often; the weight of a part is (LATE + parts before) to the power of -FORGET.
+BATCHES, EPOCHS, LATE, FORGET = 16, 2, 2.0, 0.6
+#: Priors of the topics of a note (in the mean) and of the terms of a topic, and rounds within a note.
+ALPHA, ETA, ROUNDS = 0.05, 0.01, 6
+#: Terms of a topic by which it is mapped, and the part of the judged notes with them that must be of one subject.
+TOP_TERMS, PURE = 12, 0.4
+#: Passes over all notes in which the terms of the subjects are counted anew, sentence by sentence.
+PASSES = 1
+#: The part of the terms of a sentence about a subject that are its own; priors of a subject and of none in a note; the logarithm by which a sentence must speak for a subject.
+OWN, SUBJECT, BACKGROUND, EVIDENCE = 0.3, 0.1, 2.0, 1.0
+#: Taken off the count of a term in a subject, so that words met by chance don't stay in it.
+DISCOUNT = 1.0
+#: Terms of notes that are held at once, for the memory of a worker.
+HELD = 100_000
 #: Sentences about a subject that make it one of a note's.
 SENTENCES = 3
-#: Words without a full stop from which a run of text is cut by learnt beginnings of sentences.
-RUN = 25
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -45,6 +46,7 @@ _LINKS = re.compile(r"!\[[^\]]*\]\([^)]*\)|\[\[[^\]]*\]\]|https?://\S+|`[^`\n]*`
 _LABEL = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _TAG = re.compile(r"(?:(?<=\s)|\A)[#@][^\s#@]+")
 _MARKER = re.compile(r"\s*(?:>+\s*)*(?:[-*+•]\s+|\d{1,3}[.)]\s+|\[[ x]\]\s*|\d{1,2}:\d{2}(?::\d{2})?\s+|#{2,6}\s+)*")
+_LAST = re.compile(r"[^\W\d_]+\Z")
 _STOP = re.compile(r"([.!?…]+[\"'”’»)*_]*|[。！？])(?=\s|[。！？]|\Z)")
 #: Short forms whose full stop doesn't end a sentence.
 _SHORT = set("dr mr mrs ms prof st vs etc cf no vol fig ca bzw usw nr str sr sra mme approx dept co inc ltd sys univ inst hosp lab intl mfg assoc fdn ej mus org".split())
@@ -77,107 +79,153 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def sentences(text: str | None, starts: frozenset[str] | set[str] = frozenset()) -> list[list[str]]:
-    """The words of each sentence of a note, in small letters. ``starts``: pairs of words that begin sentences."""
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence of a note, in small letters."""
     if not text:
         return []
-    small = not any(c.isupper() for c in text)
+    small = text == text.lower()
     out = []
     for s in segments(text):
         last = 0
         parts = []
         for m in _STOP.finditer(s):
-            before = _WORD.findall(s[max(0, m.start() - 20) : m.start()])
-            follows = s[m.end() :].lstrip()[:1]
-            word = before[-1] if before and s[: m.start()].endswith(before[-1]) else ""
-            dot = m.group(1)[0] == "."
-            if dot and (len(word) == 1 or word.lower() in _SHORT) or follows.islower() and not small and dot:
-                continue
+            at = m.start()
+            if m.group(1)[0] == ".":
+                before = _LAST.search(s, max(0, at - 20), at)
+                if before and (len(before.group()) == 1 or before.group().lower() in _SHORT) or not small and s[m.end() :].lstrip()[:1].islower():
+                    continue
             parts.append(s[last : m.end()])
             last = m.end()
         parts.append(s[last:])
-        for p in parts:
-            words = [w.lower() for w in _WORD.findall(p)]
-            if len(words) <= RUN or not starts:
-                if words:
-                    out.append(words)
-                continue
-            begin = 0
-            for i in range(1, len(words) - 1):
-                if i - begin >= 3 and f"{words[i]} {words[i + 1]}" in starts:
-                    out.append(words[begin:i])
-                    begin = i
-            out.append(words[begin:])
+        out += [w for p in parts if (w := _WORD.findall(p.lower()))]
     return out
 
 
-def terms_of(words: list[str]) -> list[str]:
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+def _flat(b: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and the lengths of the lists."""
+    a = b.column(column)
+    return a.flatten(), np.diff(a.offsets.to_numpy()).astype(np.int64)
 
 
-def _count_terms(docs: DataFrame) -> DataFrame:
-    """term, notes, starts, times: in how many notes a term stands, how often a pair of words begins a sentence, and how often it stands at all."""
+def _numbers(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    values, lengths = _flat(b, column)
+    return values.to_numpy(zero_copy_only=False), lengths
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notes: Counter = Counter()
-        begins: Counter = Counter()
-        times: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            keys = list(times)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (notes, begins, times)]], names=["term", "notes", "starts", "times"])
+def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, kind))
+
 
+def split_notes(docs: DataFrame, key: str) -> DataFrame:
+    """key, lang, words, lengths (of the sentences); the texts are taken apart once, and written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column(0).to_pylist():
-                own: set[str] = set()
-                for words in sentences(text):
-                    terms = terms_of(words)
-                    own.update(terms)
-                    if 3 <= len(words) <= RUN:
-                        times.update(terms)
-                        begins[" ".join(words[:2])] += 1
-                notes.update(own)
-                for t in own:
-                    times.setdefault(t, 0)
-            if len(times) > 200_000:
-                yield out()
-                for c in (notes, begins, times):
-                    c.clear()
-        if times:
-            yield out()
-
-    rows = docs.select("text").mapInArrow(run, "term string, notes bigint, starts bigint, times bigint")
-    return rows.groupBy("term").agg(F.sum("notes").alias("notes"), F.sum("starts").alias("starts"), F.sum("times").alias("times"))
+            words, lengths = [], []
+            for text in b.column(2).to_pylist():
+                own = sentences(text)
+                words.append([w for s in own for w in s])
+                lengths.append([len(s) for s in own])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array(lengths, pa.list_(pa.int32()))], names=["key", "lang", "words", "lengths"])
 
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "text")
+    return cut(rows.mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, lang string, words array<string>, lengths array<int>"), "words")
 
-@dataclass
-class Model:
-    """own[l, s]: the words of a subject in a language; background[l]: those of the language. Both over ``terms``."""
 
-    terms: list[str]
-    starts: frozenset[str]
-    subjects: list[str]
-    languages: list[str]
-    background: np.ndarray
-    own: np.ndarray
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """The place of the first word of each sentence."""
+    return np.cumsum(lengths) - lengths
 
-    def gain(self) -> np.ndarray:
-        """[language, term, subject]: the logarithm by which a term is likelier in a sentence about a subject than in one about none."""
-        return np.log1p(OWN * (self.own.transpose(0, 2, 1) / self.background[:, :, None] - 1)).astype(np.float32)
 
-    def top_terms(self, n: int = 20) -> list[tuple[str, str, list[str]]]:
-        """Subject, language and the terms that speak most for the subject in it, for inspection."""
-        out = []
-        for i, language in enumerate(self.languages):
-            lift = self.own[i] * np.log(np.maximum(self.own[i], 1e-30) / self.background[i])
-            out += [(s, language, [self.terms[j] for j in np.argsort(-lift[k])[:n] if lift[k, j] > 1e-4]) for k, s in enumerate(self.subjects)]
-        return out
+def beginnings(notes: DataFrame, least: int) -> DataFrame:
+    """a, b: pairs of words that begin at least ``least`` sentences, and of which at least every second one begins a sentence."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _flat(b, "words")[0].dictionary_encode()
+            if len(words) < 2:
+                continue
+            lengths, _ = _numbers(b, "lengths")
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pair = code[:-1] * len(words.dictionary) + code[1:]
+            inside = np.ones(len(code), bool)
+            ends = np.cumsum(lengths) - 1
+            inside[ends] = False
+            first = np.zeros(len(code), bool)
+            first[_begins(lengths)[lengths > 2]] = True
+            some = np.flatnonzero(inside[:-1])
+            u, at, n = np.unique(pair[some], return_inverse=True, return_counts=True)
+            begin = np.bincount(at, weights=first[some], minlength=len(u)).astype(np.int64)
+            a, c = u // len(words.dictionary), u % len(words.dictionary)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(a)), words.dictionary.take(pa.array(c)), pa.array(begin), pa.array(n)], names=["a", "b", "starts", "times"])
+
+    rows = notes.select("words", "lengths").mapInArrow(run, "a string, b string, starts bigint, times bigint")
+    sums = rows.groupBy("a", "b").agg(F.sum("starts").alias("starts"), F.sum("times").alias("times"))
+    return sums.where((F.col("starts") >= least) & (2 * F.col("starts") >= F.col("times"))).select("a", "b")
+
+
+def vocabulary(notes: DataFrame, least: int, common: float = COMMON) -> DataFrame:
+    """term: words of at least two letters in at least ``least`` notes, but those that are common in a language: by more than chance in more than ``common`` of its notes."""
+    spoken = notes.groupBy("lang").agg(F.count("*").alias("all"))
+    each = notes.select("lang", F.explode(F.array_distinct("words")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    usual = F.col("n") > common * F.col("all") + 3 * F.sqrt(common * F.col("all"))
+    rows = each.join(spoken, "lang").groupBy("term").agg(F.sum("n").alias("n"), F.bool_or(usual & (F.col("lang") != "")).alias("usual"))
+    return rows.where((F.col("n") >= least) & ~F.col("usual") & (F.length("term") > 1)).select("term")
+
+
+def encode_notes(notes: DataFrame, terms: list[str], starts: list[tuple[str, str]], batches: int) -> DataFrame:
+    """key, weight, sentences, ids and lengths (the terms of each sentence that has any), bag and times (the terms of the note), batch.
+
+    A sentence is cut where a pair of words stands that begins sentences, three words after the last cut at the soonest, so
+    that runs without stops come apart. Notes of rarer languages weigh more while the topics are learnt (the square root
+    of how much rarer), so that these get topics of their own.
+    """
+    spoken = notes.where("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"))
+    spoken = spoken.crossJoin(F.broadcast(spoken.agg(F.max("n").alias("most")))).select("lang", F.sqrt(1.01 * F.col("most") / (F.col("n") + 0.01 * F.col("most"))).cast("float").alias("weight"))
+    rows = notes.join(spoken, "lang", "left").select("key", F.coalesce("weight", F.lit(1.0).cast("float")).alias("weight"), "words", "lengths")
+    shared = notes.sparkSession.sparkContext.broadcast((terms, starts))
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, begin = shared.value
+        value_set = pa.array(known, pa.string())
+        left, right = (sorted({p[i] for p in begin}) for i in (0, 1))
+        place = [{w: i for i, w in enumerate(x)} for x in (left, right)]
+        pairs = np.array(sorted(place[0][a] * len(right) + place[1][b] for a, b in begin), np.int64)
+        for b in batches_:
+            words, per_note = _flat(b, "words")
+            lengths, per_sentence = _numbers(b, "lengths")
+            index = lambda those: pa.compute.fill_null(pa.compute.index_in(words, value_set=those), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = index(value_set)
+            begins = _begins(lengths.astype(np.int64))
+            fresh = np.zeros(len(ids) + 1, bool)
+            fresh[begins] = True
+            if len(pairs) and len(ids) > 1:
+                a, c = index(pa.array(left, pa.string())), index(pa.array(right, pa.string()))
+                hit = (a[:-1] >= 0) & (c[1:] >= 0) & np.isin(a[:-1] * len(right) + c[1:], pairs) & ~fresh[:-2] & ~fresh[1:-1]
+                last = -1
+                of = np.searchsorted(begins, np.flatnonzero(hit), side="right") - 1
+                for i, s in zip(np.flatnonzero(hit), of, strict=True):
+                    if i - max(last, begins[s]) >= 3:
+                        fresh[i] = True
+                        last = i
+            sentence = np.cumsum(fresh[:-1]) - 1
+            note = np.repeat(np.arange(b.num_rows), per_note)
+            count = np.bincount(note, weights=fresh[:-1], minlength=b.num_rows).astype(np.int64)
+            some = ids >= 0
+            ids, sentence, note = ids[some], sentence[some], note[some]
+            which, sizes = np.unique(sentence, return_counts=True)
+            owner = note[np.searchsorted(sentence, which)] if len(which) else which
+            bag, times = np.unique(note * max(1, len(known)) + ids, return_counts=True)
+            home = bag // max(1, len(known))
+            tally = lambda x: np.bincount(x.astype(np.int64), minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), b.column("weight"), pa.array(count, pa.int32()), _lists(ids, tally(note), pa.int32()), _lists(sizes, tally(owner), pa.int32()), _lists(bag % max(1, len(known)), tally(home), pa.int32()), _lists(times, tally(home), pa.int32())],
+                names=["key", "weight", "sentences", "ids", "lengths", "bag", "times"],
+            )
 
-def _own(counts: np.ndarray) -> np.ndarray:
-    """[language, subject, term] of counts [language, term, subject], as parts of one."""
-    some = counts.transpose(0, 2, 1) + 1e-6
-    return some / some.sum(2, keepdims=True)
+    kind = notes.schema["key"].dataType.simpleString()
+    done = rows.mapInArrow(run, f"key {kind}, weight float, sentences int, ids array<int>, lengths array<int>, bag array<int>, times array<int>")
+    return cut(done.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int")), "notes", by="batch")
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -187,89 +235,112 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def infer(gain: np.ndarray, language: np.ndarray, ids: np.ndarray, per_sentence: np.ndarray, per_note: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-    """[sentence, subject]: the part of each sentence that is about each subject, given the proportions of its note.
-
-    A sentence is about one subject or none; the proportions of a note have a Dirichlet prior and are found together with
-    what its sentences are about.
-    """
-    note_of = np.repeat(np.arange(len(per_note)), per_note)
-    k = gain.shape[2]
-    score = np.zeros((len(per_sentence), k))
-    ends = np.cumsum(per_sentence)
-    a = 0
-    while a < len(per_sentence):
-        # So many terms at once, whole sentences: a very long note takes no more memory than many short ones.
-        begin = ends[a] - per_sentence[a]
-        z = max(a + 1, int(np.searchsorted(ends, begin + SCORED, side="right")))
-        lang = np.repeat(language[note_of[a:z]], per_sentence[a:z])
-        score[a:z] = _sums(gain[lang, ids[begin : ends[z - 1]]], per_sentence[a:z])
-        a = z
-    score = np.concatenate([score, np.zeros((len(score), 1))], 1)
-    alpha = np.concatenate([np.full(k, ALPHA), [BACKGROUND]])[None] + (0 if prior is None else prior)
-    share = alpha / alpha.sum(1, keepdims=True) * np.ones((len(per_note), 1))
-    part = score
-    for _ in range(ROUNDS):
-        log = score + np.log(share)[note_of]
-        log -= log.max(1, keepdims=True)
-        part = np.exp(log)
-        part /= part.sum(1, keepdims=True)
-        share = alpha + _sums(part, per_note)
-        share /= share.sum(1, keepdims=True)
-    return np.where(score[:, :k] >= EVIDENCE, part[:, :k], 0.0)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in blocks of a size that bounds what a worker holds: a note takes some kilobytes while it is scored."""
+def _exp_digamma(x: np.ndarray) -> np.ndarray:
+    """exp(digamma(x)) of positive numbers, to six figures."""
+    out = np.zeros_like(x)
+    for _ in range(4):
+        out -= 1 / x
+        x = x + 1
+    r = 1 / (x * x)
+    return np.exp(out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252)))
+
+
+def proportions(bag: np.ndarray, times: np.ndarray, per: np.ndarray, alpha: np.ndarray, words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The Dirichlet of the topics of each note, and how much of each of its terms each topic has: the variational step of a block of notes, none of them empty."""
+    n = len(per)
+    of, begins = np.repeat(np.arange(n), per), _begins(per)
+    weight = (1 + np.log(times)).astype(np.float32)
+    own = words[bag]
+    gamma = alpha + (np.add.reduceat(weight, begins) / len(alpha))[:, None].astype(np.float32) * np.ones((1, len(alpha)), np.float32)
+    for i in range(rounds + 1):
+        drawn = _exp_digamma(gamma)
+        mine = drawn[of]
+        share = own * (weight / (np.einsum("ij,ij->i", mine, own) + 1e-30))[:, None]
+        if i == rounds:
+            return gamma, share * mine
+        gamma = alpha + drawn * np.add.reduceat(share, begins, axis=0)
+    return gamma, share
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str = "bag") -> Iterator[pa.RecordBatch]:
+    """The batches in blocks of notes with so many terms together that a worker can hold what it makes of them."""
     for b in batches:
-        for i in range(0, b.num_rows, BLOCK):
-            yield b.slice(i, BLOCK)
+        per = np.diff(b.column(column).offsets.to_numpy())
+        ends = np.cumsum(per)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HELD, side="right")))
+            yield b.slice(a, z - a)
+            a = z
 
 
-def _unpack(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    a = b.column(column)
-    return a.flatten().to_numpy(zero_copy_only=False), np.diff(a.offsets.to_numpy()).astype(np.int64)
+def _term_sums(rows: DataFrame, terms: int, width: int, run) -> np.ndarray:
+    """[term, value]: sums over all rows. ``run`` gives for the batches of a task one such matrix.
 
+    A task sends what it has summed up, a slice of terms at a time, and the slices are summed by tasks before the driver
+    gets them: as many values as the model has.
+    """
+    chunk = max(1, min(terms, (1 << 22) // max(1, width)))
 
-def encode_notes(docs: DataFrame, key: str, terms: list[str], starts: frozenset[str]) -> DataFrame:
-    """key, lang, ids (of the terms, sentence by sentence), lengths (of the sentences); written once, and read by every pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, starts))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = run(batches)
+        at = [i for i in range(0, terms, chunk) if sums[i : i + chunk].any()]
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([sums[i : i + chunk].astype(np.float32).tobytes() for i in at], pa.binary())], names=["at", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, begins = shared.value
-        number = {t: i for i, t in enumerate(known)}
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            ids, lengths = [], []
-            for text in b.column(2).to_pylist():
-                own = [[number[t] for t in terms_of(words) if t in number] for words in sentences(text, begins)]
-                own = [x for x in own if x]
-                ids.append([i for x in own for i in x])
-                lengths.append([len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], names=["key", "lang", "ids", "lengths"])
+            for at, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(v, np.float32)
+                held[at] = held[at] + v if at in held else v.astype(np.float64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["at", "v"])
+
+    parts = min(max(1, math.ceil(terms / chunk)), 64)
+    got = rows.mapInArrow(emit, "at bigint, v binary").repartition(parts, "at").mapInArrow(add, "at bigint, v binary").toArrow()
+    out = np.zeros((terms, width))
+    for at, v in zip(got.column("at").to_pylist(), got.column("v").to_pylist(), strict=True):
+        v = np.frombuffer(v, np.float64).reshape(-1, width)
+        out[at : at + len(v)] += v
+    return out
 
-    rows = docs.select(F.col(key).alias("key"), F.lower(F.trim("lang")).alias("lang"), "text")
-    return cut(rows.mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, lang string, ids array<int>, lengths array<int>"), "notes")
 
+@dataclass
+class Model:
+    """topics[term, topic]: how often; share[topic, subject]: of the judged notes with its top terms; own[subject, term] and rest[subject, term]: parts of one."""
 
-def _weight(per: np.ndarray) -> np.ndarray:
-    """What each term of notes with so many terms counts."""
-    return np.repeat(np.minimum(1.0, HEAVY / np.maximum(per, 1)), per)
+    terms: list[str]
+    subjects: list[str]
+    topics: np.ndarray
+    share: np.ndarray
+    own: np.ndarray
+    rest: np.ndarray
 
+    def gain(self) -> np.ndarray:
+        """[term, subject]: the logarithm by which a term is likelier in a sentence about a subject than in another."""
+        return np.log1p(OWN * (self.own.T / self.rest.T - 1)).astype(np.float32)
+
+    def subject(self) -> np.ndarray:
+        """The number of the subject of each topic, -1 for none."""
+        if not self.share.size:
+            return np.full(self.topics.shape[1], -1)
+        return np.where(self.share.max(1) >= PURE, self.share.argmax(1), -1)
 
-def _term_sums(rows: DataFrame, width: int, run) -> np.ndarray:
-    """Sums over all rows by (language, term); ``run`` gives them for a partition as rows of language, term and an array."""
-    got = rows.mapInArrow(run, "l int, t int, v array<double>").groupBy("l", "t").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).toArrow()
-    v = got.column("v").combine_chunks()
-    v = v.flatten() if not isinstance(v, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in v.chunks]) if v.num_chunks else pa.array([], pa.float64())
-    return got.column("l").to_numpy(), got.column("t").to_numpy(), v.to_numpy(zero_copy_only=False).reshape(-1, width)
+    def table(self, n: int = 20) -> list[tuple[int, str | None, float, list[str]]]:
+        """Topic, the subject it is mapped to, how much of the judged notes with its terms are of that, and its top terms: the map, to be looked through."""
+        top, to = top_terms(self.topics, n), self.subject()
+        return [(k, self.subjects[to[k]] if to[k] >= 0 else None, float(self.share[k].max()) if self.share.size else 0.0, [self.terms[j] for j in top[k]]) for k in range(len(to))]
 
 
-def _emit(sums: np.ndarray) -> pa.RecordBatch:
-    """[language, term, value] as rows of what isn't zero."""
-    lang, term = np.nonzero(np.abs(sums).sum(2) > 1e-9)
-    width = sums.shape[2]
-    v = pa.ListArray.from_arrays(pa.array(np.arange(len(lang) + 1) * width, pa.int32()), pa.array(sums[lang, term].ravel(), pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(term, pa.int32()), v], names=["l", "t", "v"])
+def top_terms(topics: np.ndarray, n: int) -> list[np.ndarray]:
+    """The terms of each topic that are frequent in it and rare elsewhere, the first first."""
+    if not topics.size:
+        return [np.zeros(0, int)] * topics.shape[1]
+    part = topics / np.maximum(topics.sum(0), 1e-9)
+    all_ = topics.sum(1) / max(topics.sum(), 1e-9)
+    lift = part * np.log(np.maximum(part, 1e-12) / np.maximum(all_, 1e-12)[:, None])
+    return [np.array([j for j in np.argsort(-lift[:, k], kind="stable")[:n] if lift[j, k] > 1e-4], int) for k in range(topics.shape[1])]
 
 
 def judgements(labels: DataFrame, subjects: DataFrame, key: str, most: int = JUDGED) -> DataFrame:
@@ -282,162 +353,176 @@ def judgements(labels: DataFrame, subjects: DataFrame, key: str, most: int = JUD
     return rows.join(named, "s").groupBy("key", "subject").agg(F.count_distinct("reader").alias("n")).join(readers, "key").select("key", "subject", (F.col("n") / F.col("all")).alias("vote"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", passes: int = PASSES, most_terms: int = TERMS, least_notes: int = NOTES) -> tuple[Model, DataFrame]:
-    """The model of all notes, and the notes as terms.
+def learn_topics(notes: DataFrame, terms: int, topics: int = TOPICS, batches: int = BATCHES, epochs: int = EPOCHS) -> np.ndarray:
+    """[term, topic]: how often each topic has each term, by online variational Bayes for latent Dirichlet allocation.
 
-    Topics are mixtures of words as in latent Dirichlet allocation, with one topic for each sentence: a topic a subject and
-    a background a language. Every pass reads all notes: each sentence is given to the topics by its words and the
-    proportions of its note, and the words of the topics are counted anew. The first counts come from the judged notes:
-    what their words exceed the background by. So a topic keeps the subject it was sought with, and ``top_terms`` shows it.
+    The notes are taken part by part (a part is a folder of the table, dealt by hash); each part is a pass of all tasks,
+    whose sums move the topics. Topics that have more of the terms get a larger prior. No judgement is used.
     """
-    spark = docs.sparkSession
-    docs = spread(docs.select(key, "text", "lang"))
-    counts = cut(_count_terms(docs).where(F.col("notes") >= 2), "terms")
-    chosen = counts.where(F.col("notes") >= least_notes).orderBy(F.desc("notes"), "term").limit(most_terms).select("term").toArrow()
-    terms = chosen.column(0).to_pylist()
-    begin = counts.where((F.col("starts") >= least_notes) & (F.col("starts") >= 0.5 * F.col("times")) & F.col("term").contains(" "))
-    starts = frozenset(begin.orderBy(F.desc("starts"), "term").limit(most_terms).select("term").toArrow().column(0).to_pylist())
-    names = sorted({r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect()})
-    notes = encode_notes(docs, key, terms, starts)
-    v, k = len(terms), len(names)
+    spark = notes.sparkSession
+    whole = float(notes.select(F.sum(F.aggregate("times", F.lit(0.0), lambda s, x: s + 1 + F.log(x)))).first()[0] or 0.0)
+    counts = np.random.default_rng(7).gamma(100.0, 0.01, (terms, topics)) * whole / max(1, terms * topics)
+    for t in range(batches * epochs if terms and whole else 0):
+        mass = counts.sum(0) / counts.sum()
+        alpha = (np.full(topics, ALPHA) if t < batches // 2 else np.maximum(ALPHA / 5, mass * topics * ALPHA)).astype(np.float32)
+        held = spark.sparkContext.broadcast((alpha, (_exp_digamma(counts + ETA) / _exp_digamma((counts + ETA).sum(0))).astype(np.float32)))
+
+        def run(batches_: Iterator[pa.RecordBatch], held=held) -> np.ndarray:
+            prior, words = held.value
+            sums = np.zeros((terms, topics), np.float32)
+            for b in _blocks(batches_):
+                bag, per = _numbers(b, "bag")
+                some = per > 0
+                if not some.any():
+                    continue
+                _, share = proportions(bag, _numbers(b, "times")[0], per[some], prior, words)
+                share *= np.repeat(b.column("weight").to_numpy(zero_copy_only=False)[some], per[some])[:, None]
+                order = np.argsort(bag, kind="stable")
+                u, first = np.unique(bag[order], return_index=True)
+                sums[u] += np.add.reduceat(share[order], first, axis=0)
+            return sums
+
+        part = _term_sums(notes.where(F.col("batch") == t % batches).select("weight", "bag", "times"), terms, topics, run)
+        rho = (LATE + t) ** -FORGET
+        counts = (1 - rho) * counts + rho * batches * part
+        held.unpersist()
+    return counts
 
-    spoken = notes.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    whole = sum(r["count"] for r in spoken) or 1
-    languages = [r.lang for r in spoken if r["count"] >= LANGUAGE_PART * whole] or [""]
-    place = {name: i for i, name in enumerate(languages)}
 
-    empty = np.zeros(0, int), np.zeros(0, int), np.zeros((0, 1))
+def mapped(notes: DataFrame, votes: DataFrame, names: list[str], topics: np.ndarray) -> np.ndarray:
+    """[topic, subject]: of the judged notes that have the top terms of a topic, the part that is judged to be of a subject."""
+    terms, k = topics.shape[0], len(names)
+    if not (terms and k):
+        return np.zeros((topics.shape[1], k))
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])
+    judged = votes.groupBy("key").agg(F.collect_list(F.struct(number[F.col("subject")].alias("s"), "vote")).alias("votes"))
 
-    def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), v, 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((terms, k + 1))
         for b in batches:
-            ids, per = _unpack(b, "ids")
-            lang = np.repeat([place.get(x, 0) for x in b.column("lang").to_pylist()], per)
-            np.add.at(sums, (lang.astype(int), ids, 0), _weight(per))
-        yield _emit(sums)
-
-    l, t, x = _term_sums(notes, 1, by_language) if v else empty
-    spoken_n = np.zeros((len(languages), v))
-    spoken_n[l, t] = x[:, 0]
-    smooth = lambda n: (n + 1e-3 + 0.02 * n.sum(0) / max(1, len(n))) / (n + 1e-3 + 0.02 * n.sum(0) / max(1, len(n))).sum(1, keepdims=True)
-    spoken_bg = smooth(spoken_n)
-    tongue = spark.sparkContext.broadcast(np.log(spoken_bg).astype(np.float32))
-
-    def with_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = tongue.value
-        for b in _blocks(batches):
-            ids, per = _unpack(b, "ids")
-            best = _sums(log[:, ids].T, per).argmax(1) if len(per) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(best, pa.int32()), b.column("ids"), b.column("lengths")], names=["key", "l", "ids", "lengths"])
-
-    kind = notes.schema["key"].dataType.simpleString()
-    notes = cut(notes.mapInArrow(with_language, f"key {kind}, l int, ids array<int>, lengths array<int>"), "notes")
-
-    # The first words of each subject, from the judged notes.
-    votes = judgements(labels, subjects, key)
-    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)]) if names else None
-    judged = votes.groupBy("key").agg(F.collect_list(F.struct(number[F.col("subject")].alias("s"), "vote")).alias("votes")) if names else None
-    if judged is not None:
-        notes = cut(notes.join(judged, "key", "left"), "notes")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In how many notes a term stands: of all (at 0), and of those given a subject, by votes."""
-        sums = np.zeros((len(languages), v + 1, k + 1))
-        for b in _blocks(batches):
-            ids, per = _unpack(b, "ids")
-            y = np.ones((b.num_rows, k + 1))
-            y[:, 1:] = 0
+            bag, per = _numbers(b, "bag")
+            y = np.zeros((b.num_rows, k + 1))
+            y[:, k] = 1
             for i, those in enumerate(b.column("votes").to_pylist()):
-                for one in those or ():
-                    y[i, 1 + one["s"]] = one["vote"]
-            lang = b.column("l").to_numpy()
-            pairs = np.unique(np.repeat(np.arange(b.num_rows, dtype=np.int64), per) * v + ids)
-            note, term = pairs // v, pairs % v
-            for s in range(k + 1):
-                some = np.flatnonzero(y[note, s])
-                np.add.at(sums[:, :, s], (lang[note[some]], term[some]), y[note[some], s])
-                sums[:, v, s] += np.bincount(lang, weights=y[:, s], minlength=len(languages))
-        yield _emit(sums)
-
-    own = np.full((len(languages), k, v), 1.0 / max(1, v))
-    background = spoken_bg
-    plain = np.zeros((len(languages), v, k), bool)
-    if names and v:
-        l, t, x = _term_sums(notes, k + 1, first)
-        seen = np.zeros((len(languages), v + 1, k + 1))
-        seen[l, t] = x
-        # What would stand in as many judged notes if it stood in all alike.
-        expected = seen[:, :v, :1] * (seen[:, v:, 1:] / np.maximum(seen[:, v:, :1], 1.0))
-        seen = seen[:, :v, 1:]
-        excess = seen - expected
-        excess = np.where((excess / np.sqrt(expected + 0.5) > SURE) & (seen > LIFT * expected), excess, 0.0)
-        # What stands in the judged notes no more than elsewhere is no word of a subject, whatever the passes make of it.
-        plain = (expected >= 2.0) & (seen < LIFT * expected)
-        excess *= (excess / np.maximum(excess.sum(2, keepdims=True), 1e-9)) ** 2
-        own = _own(excess)
-    model = Model(terms, starts, names, languages, background, own)
-
-    for _ in range(passes if names and v else 0):
-        held = spark.sparkContext.broadcast((model.gain(), model.own.astype(np.float32), model.background.astype(np.float32)))
-
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            gain, own_, bg = held.value
-            sums = np.zeros((len(languages), v, k + 1))
-            for b in _blocks(batches):
-                ids, per = _unpack(b, "ids")
-                lengths, per_note = _unpack(b, "lengths")
-                if not len(ids):
-                    continue
-                lang = b.column("l").to_numpy()
-                prior = np.zeros((b.num_rows, k + 1))
-                for i, those in enumerate(b.column("votes").to_pylist()):
-                    for one in those or ():
-                        prior[i, one["s"]] = VOTE * one["vote"]
-                part = infer(gain, lang, ids, lengths.astype(np.int64), per_note, prior)
-                of = np.repeat(np.arange(len(lengths)), lengths)
-                spoken_, heavy = np.repeat(lang, per), _weight(per)
-                np.add.at(sums[:, :, k], (spoken_, ids), heavy)
-                for s in range(k):
-                    some = np.flatnonzero(part[of, s] > 1e-3)
-                    w = ids[some]
-                    mine = OWN * own_[spoken_[some], s, w]
-                    np.add.at(sums[:, :, s], (spoken_[some], w), heavy[some] * part[of[some], s] * mine / (mine + (1 - OWN) * bg[spoken_[some], w]))
-            yield _emit(sums)
-
-        l, t, x = _term_sums(notes, k + 1, count)
-        sums = np.zeros((len(languages), v, k + 1))
-        sums[l, t] = x
-        left = np.maximum(sums[:, :, k] - sums[:, :, :k].sum(2), 0.0)
-        model = Model(terms, starts, names, languages, smooth(left), _own(np.where(plain, 0.0, np.maximum(sums[:, :, :k] - DISCOUNT, 0.0))))
-        held.unpersist()
+                for one in those:
+                    if one["s"] is not None:
+                        y[i, one["s"]] = one["vote"]
+            np.add.at(sums, bag, y[np.repeat(np.arange(b.num_rows), per)])
+        return sums
+
+    seen = _term_sums(notes.select("key", "bag").join(judged, "key").select("bag", "votes"), terms, k + 1, run)
+    top = top_terms(topics, TOP_TERMS)
+    return np.array([seen[t, :k].sum(0) / max(1.0, seen[t, k].sum()) for t in top])
+
+
+def infer(gain: np.ndarray, ids: np.ndarray, per_sentence: np.ndarray, per_note: np.ndarray) -> np.ndarray:
+    """[sentence, subject]: the part of each sentence that is about each subject, given the proportions of its note.
+
+    A sentence is about one subject or none; the proportions of a note have a Dirichlet prior and are found together with
+    what its sentences are about.
+    """
+    note_of = np.repeat(np.arange(len(per_note)), per_note)
+    k = gain.shape[1]
+    score = np.concatenate([_sums(gain[ids], per_sentence), np.zeros((len(per_sentence), 1))], 1)
+    alpha = np.concatenate([np.full(k, SUBJECT), [BACKGROUND]])[None]
+    share = alpha / alpha.sum() * np.ones((len(per_note), 1))
+    part = score
+    for _ in range(4):
+        log = score + np.log(share)[note_of]
+        log -= log.max(1, keepdims=True)
+        part = np.exp(log)
+        part /= part.sum(1, keepdims=True)
+        share = alpha + _sums(part, per_note)
+        share /= share.sum(1, keepdims=True)
+    return np.where(score[:, :k] >= EVIDENCE, part[:, :k], 0.0)
+
+
+def _model(terms: list[str], names: list[str], topics: np.ndarray, share: np.ndarray, subject: np.ndarray, every: np.ndarray) -> Model:
+    """With the parts of each term: ``subject``[term, subject] of what there is of it (``every``) in subjects, the others in what isn't that subject."""
+    some = subject + 1e-6
+    others = np.maximum(every[:, None] - subject, 0) + 0.5
+    return Model(terms, names, topics, share, (some / some.sum(0)).T, (others / others.sum(0)).T)
+
+
+def _recounted(model: Model, notes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the subjects as all notes have them, sentence by sentence, and all terms. A note weighs as the root of its sentences."""
+    v, k = len(model.terms), len(model.subjects)
+    held = notes.sparkSession.sparkContext.broadcast((model.gain(), model.own.T.astype(np.float32), model.rest.T.astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        gain, own, rest = held.value
+        sums = np.zeros((v, k + 1))
+        for b in _blocks(batches, "ids"):
+            ids, per = _numbers(b, "ids")
+            lengths, per_note = _numbers(b, "lengths")
+            if not len(ids):
+                continue
+            part = infer(gain, ids, lengths.astype(np.int64), per_note)
+            weight = np.repeat(b.column("weight").to_numpy(zero_copy_only=False) / np.sqrt(np.maximum(per_note, 1)), per)
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            np.add.at(sums[:, k], ids, weight)
+            for s in range(k):
+                some = np.flatnonzero(part[of, s] > 1e-3)
+                w = ids[some]
+                mine = OWN * own[w, s]
+                np.add.at(sums[:, s], w, weight[some] * part[of[some], s] * mine / (mine + (1 - OWN) * rest[w, s]))
+        return sums
+
+    sums = _term_sums(notes.select("weight", "ids", "lengths"), v, k + 1, run)
+    return np.maximum(sums[:, :k] - DISCOUNT, 0.0), sums[:, k]
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", topics: int = TOPICS, epochs: int = EPOCHS, passes: int = PASSES, least_notes: int = NOTES) -> tuple[Model, DataFrame]:
+    """The model of all notes, and the notes as terms.
+
+    Latent Dirichlet topics are learnt from all notes without judgements (``learn_topics``). Each is mapped to the subject
+    that most of the judged notes with its top terms are of, if these agree; ``Model.table`` shows the map. Topics of a
+    subject are one topic then, all others are the background, and their terms are counted anew over all notes.
+    """
+    docs = spread(docs.select(key, "text", "lang"))
+    words = split_notes(docs, key)
+    n = words.count()
+    least = max(least_notes, math.ceil(RATE * n))
+    terms = sorted(r.term for r in vocabulary(words, least).toLocalIterator())
+    starts = [(r.a, r.b) for r in beginnings(words, least).toLocalIterator()]
+    notes = encode_notes(words, terms, starts, BATCHES)
+    names = sorted({r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect()})
+    found = learn_topics(notes, len(terms), topics, BATCHES, epochs)
+    share = mapped(notes, judgements(labels, subjects, key), names, found)
+    model = Model(terms, names, found, share, np.zeros((len(names), len(terms))), np.ones((len(names), len(terms))))
+    if names and terms:
+        to = model.subject()
+        model = _model(terms, names, found, share, found @ (to[:, None] == np.arange(len(names))), found.sum(1))
+        for _ in range(passes):
+            model = _model(terms, names, found, share, *_recounted(model, notes))
     return model, notes
 
 
 def counted_sentences(model: Model, notes: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, subject, sentences (about it), all_sentences; a row for each note and subject that has any."""
-    held = notes.sparkSession.sparkContext.broadcast(model.gain() if model.subjects and model.terms else np.zeros((1, 1, 0), np.float32))
+    held = notes.sparkSession.sparkContext.broadcast(model.gain() if model.subjects and model.terms else np.zeros((1, 0), np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = held.value
-        for b in _blocks(batches):
-            ids, _ = _unpack(b, "ids")
-            lengths, per_note = _unpack(b, "lengths")
-            if not len(ids) or not gain.shape[2]:
+        for b in _blocks(batches, "ids"):
+            ids, _ = _numbers(b, "ids")
+            lengths, per_note = _numbers(b, "lengths")
+            if not len(ids) or not gain.shape[1]:
                 continue
-            part = infer(gain, b.column("l").to_numpy(), ids, lengths.astype(np.int64), per_note)
+            part = infer(gain, ids, lengths.astype(np.int64), per_note)
             n = _sums((part > 0.5).astype(np.float64), per_note)
             note, s = np.nonzero(n > 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(note)), pa.array(s, pa.int32()), pa.array(n[note, s].astype(np.int32), pa.int32()), pa.array(per_note[note].astype(np.int32), pa.int32())], names=["key", "s", "n", "m"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(note)), pa.array(s, pa.int32()), pa.array(n[note, s].astype(np.int32), pa.int32()), b.column("sentences").take(pa.array(note))], names=["key", "s", "n", "m"])
 
     kind = notes.schema["key"].dataType.simpleString()
-    rows = notes.mapInArrow(run, f"key {kind}, s int, n int, m int")
+    rows = notes.select("key", "ids", "lengths", "sentences").mapInArrow(run, f"key {kind}, s int, n int, m int")
     names = F.array(*[F.lit(s) for s in model.subjects]) if model.subjects else F.array().cast("array<string>")
     return rows.select(F.col("key").alias(key), F.get(names, F.col("s")).alias("subject"), F.col("n").alias("sentences"), F.col("m").alias("all_sentences"))
 
 
 def composition(counts: DataFrame, notes: DataFrame, least: int = SENTENCES) -> DataFrame:
     """subject, notes (with at least ``least`` sentences about it), sentences, note_share (of all notes), sentence_share (of all sentences)."""
-    whole = notes.agg(F.count("*"), F.sum(F.size("lengths"))).first()
+    whole = notes.agg(F.count("*"), F.sum("sentences")).first()
     rows = counts.groupBy("subject").agg(F.sum(F.when(F.col("sentences") >= least, 1).otherwise(0)).alias("notes"), F.sum("sentences").alias("sentences"))
     return rows.select("subject", "notes", "sentences", (F.col("notes") / F.lit(max(1, whole[0]))).alias("note_share"), (F.col("sentences") / F.lit(max(1, whole[1] or 0))).alias("sentence_share"))
 
