@@ -94,7 +94,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """The map from topics to subjects that p8_found uses, to be looked through: each topic with its top terms, and the part of the judged notes with them that are of the subject."""
+    """The map from topics to subjects that p8_found uses, to be looked through: each topic with its top terms, and how much more of the judged notes with them are of the subject than of all."""
     model, _ = subjects.fit(_t(spark, folder, "documents"), _t(spark, folder, "subject_labels"), _t(spark, folder, "subjects"))
     return spark.createDataFrame(model.table(), "topic int, subject string, share double, terms array<string>")
 

@@ -20,15 +20,15 @@ TOPICS = 128
 #: A term stands in so many notes, and in such a part of all notes; so there are at most (distinct terms of a note / ``RATE``) terms.
 NOTES, RATE = 5, 5e-5
 #: A term that stands in more than this part of the notes of a language says nothing about their subject.
-COMMON = 0.12
+COMMON = 0.25
 #: Judged notes by which topics are mapped to subjects, at most; chosen by hash where there are more.
 JUDGED = 20_000
 #: Parts of the notes that the topics are learnt from one after the other, and how often; the weight of a part is (LATE + parts before) to the power of -FORGET.
 BATCHES, EPOCHS, LATE, FORGET = 16, 2, 2.0, 0.6
 #: Priors of the topics of a note (in the mean) and of the terms of a topic, and rounds within a note.
 ALPHA, ETA, ROUNDS = 0.05, 0.01, 6
-#: Terms of a topic by which it is mapped, and the part of the judged notes with them that must be of one subject.
-TOP_TERMS, PURE = 12, 0.4
+#: Terms of a topic by which it is mapped, and how much more of the judged notes with them than of all must be of one subject (0: no more, 1: all).
+TOP_TERMS, PURE = 12, 0.3
 #: Passes over all notes in which the terms of the subjects are counted anew, sentence by sentence.
 PASSES = 1
 #: The part of the terms of a sentence about a subject that are its own; priors of a subject and of none in a note; the logarithm by which a sentence must speak for a subject.
@@ -308,7 +308,7 @@ def _term_sums(rows: DataFrame, terms: int, width: int, run) -> np.ndarray:
 
 @dataclass
 class Model:
-    """topics[term, topic]: how often; share[topic, subject]: of the judged notes with its top terms; own[subject, term] and rest[subject, term]: parts of one."""
+    """topics[term, topic]: how often; share[topic, subject]: as ``mapped`` gives it; own[subject, term] and rest[subject, term]: parts of one."""
 
     terms: list[str]
     subjects: list[str]
@@ -328,7 +328,7 @@ class Model:
         return np.where(self.share.max(1) >= PURE, self.share.argmax(1), -1)
 
     def table(self, n: int = 20) -> list[tuple[int, str | None, float, list[str]]]:
-        """Topic, the subject it is mapped to, how much of the judged notes with its terms are of that, and its top terms: the map, to be looked through."""
+        """Topic, the subject it is mapped to, how sure that is (``mapped``), and its top terms: the map, to be looked through."""
         top, to = top_terms(self.topics, n), self.subject()
         return [(k, self.subjects[to[k]] if to[k] >= 0 else None, float(self.share[k].max()) if self.share.size else 0.0, [self.terms[j] for j in top[k]]) for k in range(len(to))]
 
@@ -390,7 +390,7 @@ def learn_topics(notes: DataFrame, terms: int, topics: int = TOPICS, batches: in
 
 
 def mapped(notes: DataFrame, votes: DataFrame, names: list[str], topics: np.ndarray) -> np.ndarray:
-    """[topic, subject]: of the judged notes that have the top terms of a topic, the part that is judged to be of a subject."""
+    """[topic, subject]: how much more of the judged notes with the top terms of a topic are of a subject than of all judged notes; 0: no more, 1: all of them."""
     terms, k = topics.shape[0], len(names)
     if not (terms and k):
         return np.zeros((topics.shape[1], k))
@@ -398,7 +398,7 @@ def mapped(notes: DataFrame, votes: DataFrame, names: list[str], topics: np.ndar
     judged = votes.groupBy("key").agg(F.collect_list(F.struct(number[F.col("subject")].alias("s"), "vote")).alias("votes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        sums = np.zeros((terms, k + 1))
+        sums = np.zeros((terms + 1, k + 1))
         for b in batches:
             bag, per = _numbers(b, "bag")
             y = np.zeros((b.num_rows, k + 1))
@@ -408,11 +408,13 @@ def mapped(notes: DataFrame, votes: DataFrame, names: list[str], topics: np.ndar
                     if one["s"] is not None:
                         y[i, one["s"]] = one["vote"]
             np.add.at(sums, bag, y[np.repeat(np.arange(b.num_rows), per)])
+            sums[terms] += y.sum(0)
         return sums
 
-    seen = _term_sums(notes.select("key", "bag").join(judged, "key").select("bag", "votes"), terms, k + 1, run)
-    top = top_terms(topics, TOP_TERMS)
-    return np.array([seen[t, :k].sum(0) / max(1.0, seen[t, k].sum()) for t in top])
+    seen = _term_sums(notes.select("key", "bag").join(judged, "key").select("bag", "votes"), terms + 1, k + 1, run)
+    usual = seen[terms, :k] / max(1.0, seen[terms, k])
+    share = np.array([seen[t, :k].sum(0) / max(1.0, seen[t, k].sum()) for t in top_terms(topics, TOP_TERMS)])
+    return (share - usual) / np.maximum(1 - usual, 1e-9)
 
 
 def infer(gain: np.ndarray, ids: np.ndarray, per_sentence: np.ndarray, per_note: np.ndarray) -> np.ndarray:
@@ -472,7 +474,7 @@ def _recounted(model: Model, notes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(sums[:, :k] - DISCOUNT, 0.0), sums[:, k]
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", topics: int = TOPICS, epochs: int = EPOCHS, passes: int = PASSES, least_notes: int = NOTES) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", topics: int = TOPICS, epochs: int = EPOCHS, passes: int = PASSES, least_notes: int = NOTES, common: float = COMMON) -> tuple[Model, DataFrame]:
     """The model of all notes, and the notes as terms.
 
     Latent Dirichlet topics are learnt from all notes without judgements (``learn_topics``). Each is mapped to the subject
@@ -483,7 +485,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
     words = split_notes(docs, key)
     n = words.count()
     least = max(least_notes, math.ceil(RATE * n))
-    terms = sorted(r.term for r in vocabulary(words, least).toLocalIterator())
+    terms = sorted(r.term for r in vocabulary(words, least, common).toLocalIterator())
     starts = [(r.a, r.b) for r in beginnings(words, least).toLocalIterator()]
     notes = encode_notes(words, terms, starts, BATCHES)
     names = sorted({r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect()})

@@ -48,7 +48,7 @@ def fitted(spark):
     labels = [(i, s.upper() if s and i % 2 else s, r) for i, s, r in labels]
     table = spark.createDataFrame(labels + labels[:9], "doc_id bigint, subject string, reader string")
     named = spark.createDataFrame([(s,) for s in OWN], "subject string")
-    model, notes = subjects.fit(docs, table, named, topics=16, epochs=3)
+    model, notes = subjects.fit(docs, table, named, topics=16, epochs=3, common=0.5)
     return docs, table, named, truth, model, notes
 
 
@@ -93,15 +93,15 @@ def test_composition(fitted):
 def test_odd_notes(spark, fitted):
     docs, labels, named, *_ = fitted
     odd = spark.createDataFrame([(9_001, None, "en"), (9_002, "", None), (9_003, "  \n ", "en"), (None, "The court met the tenant.", "en"), (9_004, "The court heard the tenant. " * 20_000, "en"), (9_005, "日本語だけ。", "und")], docs.schema)
-    got = subjects.subjects_of(docs.unionByName(odd).withColumn("key", F.lit("clash")).withColumn("l", F.lit(1)), labels, named, topics=16, epochs=3).where("doc_id > 9000").collect()
+    got = subjects.subjects_of(docs.unionByName(odd).withColumn("key", F.lit("clash")).withColumn("l", F.lit(1)), labels, named, topics=16, epochs=3, common=0.5).where("doc_id > 9000").collect()
     assert {(r.doc_id, r.subject) for r in got} == {(9_004, "law")}
 
 
 def test_nothing_to_go_by(spark, fitted):
     docs, labels, named, *_ = fitted
-    assert subjects.subjects_of(docs.limit(0), labels, named, topics=8, epochs=1).count() == 0
-    assert subjects.subjects_of(docs, labels.limit(0), named, topics=8, epochs=1).count() == 0
-    assert subjects.subjects_of(docs, labels, named.limit(0), topics=8, epochs=1).count() == 0
+    assert subjects.subjects_of(docs.limit(0), labels, named, topics=8, epochs=1, common=0.5).count() == 0
+    assert subjects.subjects_of(docs, labels.limit(0), named, topics=8, epochs=1, common=0.5).count() == 0
+    assert subjects.subjects_of(docs, labels, named.limit(0), topics=8, epochs=1, common=0.5).count() == 0
 
 
 @pytest.mark.parametrize(
