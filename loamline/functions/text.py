@@ -66,10 +66,6 @@ def stem_word(t: str) -> str:
     return t
 
 
-def _stopwords() -> Column:
-    return F.array(*[F.lit(w) for w in sorted(STOPWORDS)])
-
-
 def _alias_map() -> Column:
     known = {k: [stem_word(v) for v in vs] for k, vs in ALIASES.items()}
     return F.create_map(*chain.from_iterable((F.lit(k), F.array(*[F.lit(v) for v in vs])) for k, vs in known.items()))
@@ -81,8 +77,7 @@ def tokenize(c: Column, aliases: bool = True) -> Column:
     Stopwords are looked for after stemming, so some inflected ones stay. No UDF: arrays and higher-order functions.
     """
     bare = F.regexp_replace(F.regexp_replace(F.lower(strip_markdown(c)), "['’]", ""), "[^a-z0-9]+", " ")
-    stop = F.array_contains
-    base = F.filter(F.transform(F.split(bare, " "), stem), lambda t: (F.length(t) > 1) & ~stop(_stopwords(), t))
+    base = F.filter(F.transform(F.split(bare, " "), stem), lambda t: (F.length(t) > 1) & ~t.isin(sorted(STOPWORDS)))
     return with_aliases(base) if aliases else base
 
 
@@ -91,13 +86,9 @@ def with_aliases(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.coalesce(F.element_at(_alias_map(), t), F.array().cast("array<string>")))))
 
 
-def phrases(c: Column) -> Column:
-    """All runs of two and three tokens (without aliases) of more than four characters, in order of size and place."""
-    tokens = tokenize(c, aliases=False)
-    return phrases_of(tokens)
-
-
 def phrases_of(tokens: Column) -> Column:
+    """All runs of two and three tokens of more than four characters, in order of size and place."""
+
     def runs(size: int) -> Column:
         at = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, size), " "))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -109,50 +110,107 @@ def embedder(config: IndexConfig, load: Callable | None = None) -> Embedder:
     return ModelEmbedder(config, load)
 
 
-def dense_top(chunks: DataFrame, probes: list[tuple[str, str | None, list[float]]], keep: list[str], limit: int | None) -> DataFrame:
-    """probe_id, ``keep``, dense: the cosine of each probe with the passages, where it isn't beaten by ``limit`` others of its batch.
-
-    ``probes``: id, entity (only passages with it count; null: all) and vector; their number is bounded by the settings,
-    so they go to the tasks as one matrix. Scores equal to the last one kept stay, so ties can be settled afterwards.
-    ``limit`` null: every passage. Vectors of another length score 0.
-    """
-    ids = [p[0] for p in probes]
-    wanted = [p[1] for p in probes]
-    size = len(probes[0][2]) if probes else 0
-    matrix = np.array([p[2] for p in probes], dtype=np.float64).reshape(len(probes), size)
+def _cosines(batch: pa.RecordBatch, matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """[question, row]: the cosine of each question with the vectors of the batch; 0 for those of another length."""
+    e, size = batch.column("embedding"), matrix.shape[1]
+    fits = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(e), size), False).to_numpy(zero_copy_only=False)
+    x = np.zeros((batch.num_rows, size))
+    if fits.any():
+        x[fits] = e.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    scale = norms[:, None] * np.sqrt((x * x).sum(1))[None]
+    dot = np.zeros((len(matrix), batch.num_rows))
+    np.divide(matrix @ x.T, scale, out=dot, where=scale > 0)
+    # What only rounding keeps from 0 is 0, in whatever order it was summed.
+    dot[np.abs(dot) < 1e-12] = 0
+    return dot
+
+
+def dense_scores(rows: DataFrame, query: list[float], keep: list[str]) -> DataFrame:
+    """``keep``, dense: the cosine of one query with each row."""
+    matrix = np.array([query], dtype=np.float64)
     norms = np.sqrt((matrix * matrix).sum(1))
-    restricted = any(w is not None for w in wanted)
-    columns = [*keep, *(["entities"] if restricted and "entities" not in keep else []), "embedding"]
-    rows = chunks.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = b.column("embedding")
-            fits = np.array([x == size for x in pa.compute.list_value_length(e).to_pylist()], bool) if b.num_rows else np.zeros(0, bool)
-            x = np.zeros((b.num_rows, size))
-            if fits.any():
-                x[fits] = e.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            scale = norms[:, None] * np.sqrt((x * x).sum(1))[None]
-            dot = np.zeros((len(ids), b.num_rows))
-            np.divide(matrix @ x.T, scale, out=dot, where=scale > 0)
-            # What only rounding keeps from 0 is 0, in whatever order it was summed.
-            dot[np.abs(dot) < 1e-12] = 0
-            own = [set(v or ()) for v in b.column("entities").to_pylist()] if restricted else None
-            picked_p, picked_c = [], []
-            for i in range(len(ids)):
-                at = np.arange(b.num_rows) if wanted[i] is None else np.array([j for j, s in enumerate(own) if wanted[i] in s], int)
-                if limit is not None:
-                    # Negative scores never count; a score of 0 may still be replaced by the sparse one.
-                    at = at[dot[i, at] >= 0]
-                    if len(at) > limit:
-                        last = -np.partition(-dot[i, at], limit - 1)[limit - 1]
-                        at = at[(dot[i, at] >= last) | (dot[i, at] == 0)]
-                picked_p += [i] * len(at)
-                picked_c.append(at)
-            c = np.concatenate(picked_c) if picked_c else np.zeros(0, int)
-            p = np.array(picked_p, int)
-            taken = pa.array(c, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in p], pa.string()), *[b.column(k).take(taken) for k in keep], pa.array(dot[p, c])], names=["probe_id", *keep, "dense"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(_cosines(b, matrix, norms)[0])], names=[*keep, "dense"])
+
+    rows = rows.select(*keep, "embedding")
+    return rows.mapInArrow(run, ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep) + ", dense double")
+
+
+@dataclass
+class Asked:
+    """Questions that go to every task; their number is bounded by the settings or by a block. ``entities``: only rows with that one count, null: all."""
+
+    ids: list
+    embeddings: list[list[float]]
+    entities: list[str | None] | None = None
+    terms: list[dict[str, float]] | None = None
+
 
+#: Rows that are scored at once.
+SCORED = 1_000
+
+
+def best_rows(rows: DataFrame, asked: Asked, keep: list[str], limit: int, id_type: str = "string") -> DataFrame:
+    """probe_id, ``keep``, score: for each question the rows that may be among its ``limit`` best ones, by cosine.
+
+    Where the cosine is exactly 0, the product of the sparse vectors counts (``vector`` of the rows, ``terms`` of the
+    questions). Scores are rounded to 12 digits; only positive ones count. A task knows the ``limit`` best scores of each
+    question so far and sends what reaches the last of them, so ties can be settled afterwards by columns.
+    """
+    matrix = np.array(asked.embeddings, dtype=np.float64).reshape(len(asked.ids), -1)
+    norms = np.sqrt((matrix * matrix).sum(1))
+    wanted = sorted({e for e in asked.entities or () if e is not None})
+    own = np.array([wanted.index(e) if e is not None else -1 for e in asked.entities or [None] * len(asked.ids)], int)
+    known = sorted({t for q in asked.terms or () for t in q})
+    place = {t: i for i, t in enumerate(known)}
+    sparse = np.zeros((len(asked.ids), len(known)))
+    for i, q in enumerate(asked.terms or ()):
+        for t, w in q.items():
+            sparse[i, place[t]] = w
+    columns = [*dict.fromkeys([*keep, *(["entities"] if wanted else []), *(["vector"] if known else []), "embedding"])]
+
+    def products(b: pa.RecordBatch) -> np.ndarray:
+        v = b.column("vector")
+        ends = v.offsets.to_numpy()
+        at = pa.compute.fill_null(pa.compute.index_in(v.keys.slice(ends[0], ends[-1] - ends[0]), value_set=pa.array(known, pa.string())), -1).to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(at >= 0)
+        of = np.repeat(np.arange(b.num_rows), np.diff(ends))[hit]
+        w = v.items.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)[hit]
+        out = np.zeros((len(sparse), b.num_rows))
+        if len(hit):
+            u, first = np.unique(of, return_index=True)
+            out[:, u] = np.add.reduceat(sparse[:, at[hit]] * w, first, axis=1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(asked.ids), limit))
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCORED):
+                b = whole.slice(start, SCORED)
+                score = _cosines(b, matrix, norms)
+                if known and (score == 0).any():
+                    score = np.where(score == 0, products(b), score)
+                score = np.round(score, 12)
+                if wanted:
+                    e = b.column("entities")
+                    at = pa.compute.fill_null(pa.compute.index_in(e.flatten(), value_set=pa.array(wanted, pa.string())), -1).to_numpy(zero_copy_only=False)
+                    has = np.zeros((len(wanted) + 1, b.num_rows), bool)
+                    has[at, np.repeat(np.arange(b.num_rows), pa.compute.fill_null(pa.compute.list_value_length(e), 0).to_numpy(zero_copy_only=False))] = True
+                    has[-1] = True
+                    score[~has[own]] = 0
+                least = held.min(1)
+                p, c = np.nonzero((score > 0) & (score >= least[:, None]))
+                if not len(p):
+                    continue
+                pad = np.concatenate([held, score], 1)
+                held = -np.partition(-pad, limit - 1, axis=1)[:, :limit]
+                still = score[p, c] >= held.min(1)[p]
+                p, c = p[still], c[still]
+                taken = pa.array(c, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(asked.ids).take(pa.array(p)), *[b.column(k).take(taken) for k in keep], pa.array(score[p, c])], names=["probe_id", *keep, "score"])
+
+    rows = rows.select(*columns)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"probe_id string, {kinds}, dense double")
+    return rows.mapInArrow(run, f"probe_id {id_type}, {kinds}, score double")

@@ -10,9 +10,8 @@ from loamline.functions import constants as C
 from loamline.functions import markdown as M
 from loamline.functions import text as X
 from loamline.functions import timefn as T
-from loamline.functions import vectors as V
 from loamline.operators import weights as G
-from loamline.operators.embed import Embedder, dense_top
+from loamline.operators.embed import Asked, Embedder, best_rows
 from loamline.session import cut
 
 #: The questions, and what stands in for terms that are missing.
@@ -105,22 +104,20 @@ def probe_vectors(rows: DataFrame, idf: DataFrame) -> DataFrame:
     return G.tfidf(G.term_counts(rows.select("probe_id", X.tokenize(text).alias("tokens")), "probe_id"), idf, "probe_id")
 
 
-def links(probes: DataFrame, probe_terms: DataFrame, chunks: DataFrame, chunk_terms: DataFrame, limit: int, restricted: bool = True) -> DataFrame:
+def links(probes: DataFrame, probe_terms: DataFrame, vectors: DataFrame, limit: int, restricted: bool = True) -> DataFrame:
     """probe_id, chunk_id, rank, score: the best passages of each question, of its entity only or of all.
 
-    The questions are as many as the settings allow, so they are sent as a matrix; passages are read once, and each batch
-    keeps what may be among the best. Where the dense score is exactly 0, the sparse one counts.
+    The questions are as many as the settings allow, so they are sent as a matrix; the vectors of the passages are read
+    once. A task sends ``limit`` passages a question to the ranking: its best ones, ties settled.
     """
-    held = [(r.probe_id, r.entity_id if restricted else None, r.embedding) for r in probes.select("probe_id", "entity_id", "embedding").collect()]
+    held = probes.select("probe_id", "entity_id", "embedding").collect()
     if not held:
-        return chunks.select(F.lit("").alias("probe_id"), "chunk_id", F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
-    found = cut(dense_top(chunks, held, ["chunk_id", "relative_path", "ordinal"], limit), "links")
-    zero = found.where(F.col("dense") == 0).select("probe_id", "chunk_id")
-    sparse = zero.join(F.broadcast(probe_terms), "probe_id").join(chunk_terms.select("chunk_id", "term", F.col("weight").alias("w")), ["chunk_id", "term"]).groupBy("probe_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("sparse"))
-    scored = found.join(sparse, ["probe_id", "chunk_id"], "left").withColumn("score", F.round(V.link_score(F.col("dense"), F.coalesce("sparse", F.lit(0.0))), 12)).where(F.col("score") > 0)
+        return vectors.select(F.lit("").alias("probe_id"), "chunk_id", F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
+    terms: dict[str, dict[str, float]] = {r.probe_id: {} for r in held}
+    for r in probe_terms.collect():
+        terms.get(r.probe_id, {})[r.term] = r.weight
+    asked = Asked([r.probe_id for r in held], [r.embedding for r in held], [r.entity_id for r in held] if restricted else None, [terms[r.probe_id] for r in held])
+    found = best_rows(vectors, asked, ["chunk_id", "relative_path", "ordinal"], limit)
     order = [F.desc("score"), F.collate("relative_path", "UNICODE"), F.col("relative_path"), F.col("ordinal")]
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(*order))).where(F.col("rank") <= limit)
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(*order))).where(F.col("rank") <= limit)
     return best.select("probe_id", "chunk_id", "rank", "score")
-
-
-LIMIT, LIMIT_APPLIED = C.LINKS_PER_PROBE, C.LINKS_PER_PROBE_APPLIED

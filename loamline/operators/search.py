@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from loamline.functions import text as X
 from loamline.functions import timefn as T
 from loamline.functions import vectors as V
 from loamline.operators import weights as G
-from loamline.operators.embed import Embedder, dense_top
+from loamline.operators.embed import Embedder, dense_scores
 
 
 @dataclass(frozen=True)
@@ -24,11 +26,14 @@ class Query:
     embedding: list[float]
 
 
-def query_vectors(spark, text: str, idf: DataFrame, embedder: Embedder) -> Query:
+def query_vectors(spark, text: str, idf: DataFrame, max_idf: float, embedder: Embedder) -> Query:
+    """The vectors of a query; of the weights of all terms only those of its own are read."""
     one = spark.createDataFrame([(0, text)], "id int, text string")
-    counts = G.term_counts(one.select("id", X.tokenize(F.col("text")).alias("tokens")), "id")
-    terms = {r.term: r.weight for r in G.tfidf(counts, idf, "id").orderBy("term").collect()}
-    return Query(text, terms, embedder.embed(one, "text", "query").first().embedding)
+    tf = Counter(one.select(X.tokenize(F.col("text")).alias("tokens")).first().tokens)
+    known = {r.term: r.idf for r in idf.where(F.col("term").isin(sorted(tf))).select("term", "idf").collect()} if tf else {}
+    raw = {t: (1 + math.log(n)) * known.get(t, max_idf) for t, n in sorted(tf.items())}
+    norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
+    return Query(text, {t: w / norm for t, w in raw.items()}, embedder.embed(one, "text", "query").first().embedding)
 
 
 def ranked_probes(probes: DataFrame, probe_terms: DataFrame, query: Query, limit: int = C.PROBES_SCORED) -> DataFrame:
@@ -39,7 +44,7 @@ def ranked_probes(probes: DataFrame, probe_terms: DataFrame, query: Query, limit
     return G.ranked(rows.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.col("entity_pos"), F.col("ordinal")], limit).drop("_all", "dense", "sparse")
 
 
-def search(chunks: DataFrame, matched: DataFrame, links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, matched: DataFrame, links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
     """rank, chunk_id, probe_ids, content (a snippet), path, relative_path, score, title.
 
     All passages are scored in one scan of their vectors, without a shuffle: each row has its own sparse and dense
@@ -50,8 +55,8 @@ def search(chunks: DataFrame, matched: DataFrame, links: DataFrame, query: Query
     by_probe = contributions.groupBy("chunk_id").agg(
         F.max(F.greatest(F.lit(0.0), F.col("link") * F.col("match"))).alias("by_probe"), F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "probe_id"))), lambda x: x["probe_id"])), 1, C.PROBES_SHOWN).alias("probe_ids")
     )
-    own = chunks.select("chunk_id", "relative_path", "ordinal", "modified_at", "embedding", G.sparse_score(F.col("vector"), query.terms).alias("sparse"))
-    dense = dense_top(own, [("q", None, query.embedding)], ["chunk_id", "relative_path", "ordinal", "modified_at", "sparse"], None).drop("probe_id")
+    own = vectors.select("chunk_id", "relative_path", "ordinal", "modified_at", "embedding", G.sparse_score(F.col("vector"), query.terms).alias("sparse"))
+    dense = dense_scores(own, query.embedding, ["chunk_id", "relative_path", "ordinal", "modified_at", "sparse"])
     rows = dense.join(F.broadcast(by_probe), "chunk_id", "left")
     direct = V.combined(F.col("dense"), F.col("sparse"))
     score = V.fused(direct, F.coalesce("by_probe", F.lit(0.0)), T.recency(F.col("modified_at"), half_life, as_of))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Terms whose weights are sent to every task, the most frequent first; rows get the weights of others by a join.
+FREQUENT = 200_000
+
 
 def term_counts(rows: DataFrame, key: str | list[str], tokens: str = "tokens") -> DataFrame:
     """keys, term, tf."""
@@ -42,9 +50,53 @@ def sparse_scores(vectors: DataFrame, query: dict[str, float], key: str) -> Data
     return vectors.where(F.col("term").isin(list(query))).groupBy(key).agg(F.sum(F.col("weight") * weight).alias("sparse"))
 
 
-def as_maps(vectors: DataFrame, key: str) -> DataFrame:
-    """key, vector: the terms of each key as a map to their weights."""
-    return vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vector"))
+def with_vector(rows: DataFrame, table: DataFrame, key: str, default: float, frequent: int = FREQUENT) -> DataFrame:
+    """The rows with ``vector``, the weights of ``tfidf`` as a map: counted from ``tokens``, weighed and brought to length 1 within the row.
+
+    ``table``: term, df, idf. The weights of ``frequent`` terms go to the tasks; where there are more, each row gets those of
+    its other terms by its key. So a term that nearly all rows have is no key of any join.
+    """
+    known = table.orderBy(F.desc("df"), "term").limit(frequent).select("term", "idf").toArrow()
+    keep = rows.columns
+    if known.num_rows < frequent:
+        rows = rows.withColumn("_rare", F.create_map().cast("map<string,double>"))
+    else:
+        last = table.where(F.col("term") == known.column("term")[-1].as_py()).select("df", "term").first()
+        rare = table.where((F.col("df") < last.df) | (F.col("df") == last.df) & (F.col("term") > last.term)).select("term", "idf")
+        own = rows.select(key, F.explode(F.array_distinct("tokens")).alias("term")).join(rare, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_rare"))
+        rows = rows.join(own, key, "left")
+    shared = rows.sparkSession.sparkContext.broadcast((known.column("term").combine_chunks(), known.column("idf").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf_ = shared.value
+        for b in batches:
+            tokens = b.column("tokens")
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            at = pa.compute.fill_null(pa.compute.index_in(words.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)
+            weight = np.where(at >= 0, idf_[at] if len(idf_) else default, np.nan)
+            n = max(1, len(words.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(b.num_rows, dtype=np.int64), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, code = pair // n, pair % n
+            w = weight[code]
+            lacking = np.flatnonzero(np.isnan(w))
+            if len(lacking):
+                rare = [dict(x) if x else {} for x in b.column("_rare").to_pylist()]
+                w[lacking] = [rare[row[i]].get(t, default) for i, t in zip(lacking, words.dictionary.take(pa.array(code[lacking])).to_pylist(), strict=True)]
+            w = (np.log(tf) + 1) * w
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=b.num_rows))
+            w = w / np.where(norm > 0, norm, 1)[row]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))])
+            vector = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), words.dictionary.take(pa.array(code)), pa.array(w))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], vector], names=[*keep, "vector"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*keep, "_rare").mapInArrow(run, f"{kinds}, vector map<string,double>")
+
+
+def as_rows(vectors: DataFrame, key: str) -> DataFrame:
+    """key, term, weight of rows with a map ``vector``."""
+    return vectors.select(key, F.explode("vector").alias("term", "weight"))
 
 
 def sparse_score(vector: Column, query: dict[str, float]) -> Column:

@@ -20,7 +20,7 @@ class Index:
     config: IndexConfig
     documents: DataFrame
     chunks: DataFrame
-    chunk_terms: DataFrame
+    vectors: DataFrame
     idf: DataFrame
     entities: DataFrame | None = None
     probes: DataFrame | None = None
@@ -31,47 +31,49 @@ class Index:
     generated_at: str = ""
     targets: list[dict] = field(default_factory=list)
 
-    TABLES = ("documents", "chunks", "chunk_terms", "idf", "entities", "probes", "probe_terms", "links")
+    max_idf: float = 1.0
 
+    TABLES = ("documents", "chunks", "vectors", "idf", "entities", "probes", "probe_terms", "links")
 
-def passages(raw: DataFrame, config: IndexConfig, maker: Embedder) -> tuple[DataFrame, DataFrame]:
-    """Notes and embedded passages, each written once: what comes after reads only the columns it needs."""
+
+#: The columns of a passage that stand beside its vectors: what restricts, ranks and dates it. Its text is in another table.
+BESIDE = ("chunk_id", "doc_id", "relative_path", "ordinal", "modified_at", "entities")
+
+
+def passages(raw: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
+    """Notes and passages with their tokens, each written once: what comes after reads only the columns it needs."""
     docs = cut(corpus.documents(raw, config), "documents")
-    rows = corpus.chunks(docs, config)
-    if isinstance(maker, HashEmbedder) and not config.passage_prefix:
-        rows = maker.embed_tokens(rows, "tokens")
-    else:
-        rows = maker.embed(rows.withColumn("_text", F.concat(F.col("title"), F.lit("\n\n"), F.col("content"))), "_text", "passage").drop("_text")
-    return docs, cut(rows, "chunks")
+    return docs, cut(corpus.chunks(docs, config), "chunks")
 
 
-def with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The passages with their own sparse vector, so that a query needs no join."""
-    none = F.create_map().cast("map<string,double>")
-    return rows.join(weights.as_maps(vectors, "chunk_id"), "chunk_id", "left").withColumn("vector", F.coalesce("vector", none))
+def vectors_of(rows: DataFrame, idf: DataFrame, max_idf: float, maker: Embedder) -> DataFrame:
+    """The sparse and the dense vector of each passage, made within its row: no text and no vector is shuffled."""
+    sparse = lambda df: weights.with_vector(df, idf, "chunk_id", max_idf)
+    if isinstance(maker, HashEmbedder) and not maker.config.passage_prefix:
+        return maker.embed_tokens(sparse(rows.select(*BESIDE, "tokens")), "tokens").drop("tokens")
+    dense = maker.embed(rows.select(*BESIDE, "tokens", F.concat(F.col("title"), F.lit("\n\n"), F.col("content")).alias("_text")), "_text", "passage")
+    return sparse(dense.drop("_text")).drop("tokens")
 
 
 def build(raw: DataFrame, as_of, config: IndexConfig | None = None, load: Callable | None = None, root: str = "") -> Index:
     """The whole index. ``as_of`` is the one "now" of it; nothing reads the clock."""
     config = config or IndexConfig()
     maker = embedder(config, load)
-    docs, rows = passages(raw, config, maker)
-    counts = cut(weights.term_counts(rows, "chunk_id"), "counts")
-    n = rows.count()
-    idf = cut(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(max(1, n)) + 1) / (F.col("df") + 1)) + 1), "idf")
-    vectors = cut(weights.tfidf(counts, idf, "chunk_id"), "vectors")
-    rows = cut(with_vectors(rows, vectors), "chunks")
+    docs, rows = passages(raw, config)
+    idf = cut(weights.idf(rows), "idf")
+    most = weights.max_idf(idf)
+    vectors = cut(vectors_of(rows, idf, most, maker), "vectors")
     top = entities.selected(entities.summaries(docs, rows, as_of), config)
     terms = probes.picked_terms(top, rows, idf)
     asked = cut(probes.embedded(probes.questions(top, rows, docs, terms), maker), "probes")
     asked_terms = cut(probes.probe_vectors(asked, idf), "probeterms")
-    links = cut(probes.links(asked, asked_terms, rows, vectors, C.LINKS_PER_PROBE), "links")
+    links = cut(probes.links(asked, asked_terms, vectors, C.LINKS_PER_PROBE), "links")
     ids = asked.groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "probe_id"))), lambda x: x["probe_id"]).alias("probe_ids"))
     full = top.join(terms.select("entity_id", "top_terms"), "entity_id", "left").join(ids, "entity_id", "left").withColumn("probe_ids", F.coalesce("probe_ids", F.array().cast("array<string>")))
     from loamline.functions.timefn import instant, iso
 
     made = raw.sparkSession.range(1).select(iso(instant(as_of))).first()[0]
-    return Index(config, docs, rows, vectors, idf, cut(full, "entities"), asked, asked_terms, links, root=root, generated_at=made)
+    return Index(config, docs, rows, vectors, idf, cut(full, "entities"), asked, asked_terms, links, root=root, generated_at=made, max_idf=most)
 
 
 def stats(index: Index) -> dict:
@@ -81,9 +83,11 @@ def stats(index: Index) -> dict:
 
 def ask(index: Index, text: str, as_of, limit: int | None = None, load: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """The passages and the matched questions (five of them are shown) of a query."""
-    query = search.query_vectors(index.chunks.sparkSession, text, index.idf, embedder(index.config, load))
-    matched = cut(search.ranked_probes(index.probes, index.probe_terms, query), "matched")
-    hits = search.search(index.chunks, matched, index.links, query, as_of, index.config.recency_half_life_days, limit or index.config.max_results)
+    query = search.query_vectors(index.chunks.sparkSession, text, index.idf, index.max_idf, embedder(index.config, load))
+    found = search.ranked_probes(index.probes, index.probe_terms, query)
+    # Ten rows at most, so they are held by the driver.
+    matched = index.chunks.sparkSession.createDataFrame(found.collect(), found.schema)
+    hits = search.search(index.chunks, index.vectors, matched, index.links, query, as_of, index.config.recency_half_life_days, limit or index.config.max_results)
     return hits, matched.where(F.col("rank") <= C.PROBES_SHOWN)
 
 
@@ -96,7 +100,7 @@ def inspect(index: Index, text: str | None = None, load: Callable | None = None)
     order = ["entity_pos", "ordinal"]
     if not text:
         return index.probes.orderBy(*order).limit(SHOWN_PROBES), index.entities.orderBy("entity_pos")
-    query = search.query_vectors(index.chunks.sparkSession, text, index.idf, embedder(index.config, load))
+    query = search.query_vectors(index.chunks.sparkSession, text, index.idf, index.max_idf, embedder(index.config, load))
     matched = search.ranked_probes(index.probes, index.probe_terms, query, SHOWN_MATCHES).select("probe_id", "entity_id")
     found = index.probes.join(F.broadcast(matched.select("probe_id").distinct()), "probe_id", "left_semi").orderBy(*order).limit(SHOWN_MATCHES)
     return found, index.entities.join(F.broadcast(matched.select("entity_id").distinct()), "entity_id", "left_semi").orderBy("entity_pos").limit(SHOWN_ENTITIES)
@@ -107,9 +111,7 @@ def project(index: Index, raw: DataFrame, load: Callable | None = None, root: st
 
     Entities and questions of the other corpus aren't made: nothing would use them.
     """
-    maker = embedder(index.config, load)
-    docs, rows = passages(raw, index.config, maker)
-    vectors = cut(weights.tfidf(weights.term_counts(rows, "chunk_id"), index.idf, "chunk_id"), "vectors")
-    rows = cut(with_vectors(rows, vectors), "chunks")
-    links = cut(probes.links(index.probes, index.probe_terms, rows, vectors, C.LINKS_PER_PROBE_APPLIED, restricted=False), "links")
-    return replace(index, documents=docs, chunks=rows, chunk_terms=vectors, links=links, entities=index.entities.limit(0), kind="target", root=root, targets=[])
+    docs, rows = passages(raw, index.config)
+    vectors = cut(vectors_of(rows, index.idf, index.max_idf, embedder(index.config, load)), "vectors")
+    links = cut(probes.links(index.probes, index.probe_terms, vectors, C.LINKS_PER_PROBE_APPLIED, restricted=False), "links")
+    return replace(index, documents=docs, chunks=rows, vectors=vectors, links=links, entities=index.entities.limit(0), kind="target", root=root, targets=[])

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from loamline.config import IndexConfig
 from loamline.functions import markdown as M
 from loamline.functions import text as X
 from loamline.functions import timefn as T
 from loamline.functions import vectors as V
-from loamline.operators import corpus, embed, entities, probes, timestamps, weights
+from loamline.operators import corpus, embed, entities, probes, search, timestamps, weights
 from loamline.plans import index as I
 from loamline.plans import store
-from loamline.session import cores, spread
+from loamline.session import cores, cut, spread
 
 AS_OF = "2025-12-31 00:00:00"
 #: The corpus of the queries isn't a folder of files, so its size isn't limited.
@@ -161,20 +162,15 @@ def doc_frequency_idf(spark, folder):
 
 
 def tfidf_weights(spark, folder):
-    return built(spark, folder).chunk_terms.select("chunk_id", "term", F.round("weight", 9).alias("weight"))
+    return weights.as_rows(built(spark, folder).vectors, "chunk_id").select("chunk_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def sparse_cosine_topk(spark, folder):
     """The ten passages nearest to the query by their terms alone."""
     ix = built(spark, folder)
-    query = {r.term: r.weight for r in _query_terms(spark, ix).collect()}
-    rows = weights.sparse_scores(ix.chunk_terms, query, "chunk_id").withColumn("score", F.round("sparse", 9))
-    return rows.orderBy(F.desc("score"), "chunk_id").limit(10).select("chunk_id", "score")
-
-
-def _query_terms(spark, ix):
-    one = spark.createDataFrame([(0, QUESTION)], "id int, text string").select("id", X.tokenize(F.col("text")).alias("tokens"))
-    return weights.tfidf(weights.term_counts(one, "id"), ix.idf, "id")
+    query = search.query_vectors(spark, QUESTION, ix.idf, ix.max_idf, embed.embedder(ix.config)).terms
+    rows = ix.vectors.select("chunk_id", F.round(weights.sparse_score(F.col("vector"), query), 9).alias("score")).where("score > 0")
+    return rows.orderBy(F.desc("score"), "chunk_id").limit(10)
 
 
 def _plain_tokens(spark, folder, aliases=True):
@@ -207,7 +203,7 @@ def hash_buckets(spark, folder):
 
 
 def hash_embedding_nonzero(spark, folder):
-    rows = built(spark, folder).chunks.select("chunk_id", F.posexplode("embedding").alias("slot", "value"))
+    rows = built(spark, folder).vectors.select("chunk_id", F.posexplode("embedding").alias("slot", "value"))
     return rows.where("value <> 0").select("chunk_id", F.col("slot").cast("bigint").alias("slot"), F.round("value", 9).alias("value"))
 
 
@@ -222,17 +218,24 @@ def dense_cosine_topk(spark, folder):
 
 
 def dense_knn_per_vector(spark, folder):
-    """The five nearest of each vector whose number is divisible by 20, exactly: the stated queries go to every task as matrices, block by block."""
-    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """The five nearest of each vector whose number is divisible by 20, exactly: the stated queries go to every task as matrices, block by block.
+
+    What is found for a block is written before the next one, so plans and driver hold one block.
+    """
+    e = spread(table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
     queries = e.where("vec_id % 20 = 0")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    rows = e.select(F.lit("").alias("probe_id"), "vec_id", F.lit(0.0).alias("dense")).limit(0)
+    done = []
     for i in range(blocks):
-        asked = [(str(r.vec_id), None, r.embedding) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()]
+        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
         if asked:
-            rows = rows.unionByName(embed.dense_top(spread(e), asked, ["vec_id"], 6))
-    rows = rows.select(F.col("probe_id").cast("bigint").alias("query_id"), "vec_id", F.round("dense", 9).alias("score")).where("query_id <> vec_id and score > 0")
-    return weights.ranked(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
+            rows = embed.best_rows(e, embed.Asked([r.vec_id for r in asked], [r.embedding for r in asked]), ["vec_id"], 6, "bigint")
+            rows = rows.select(F.col("probe_id").alias("query_id"), "vec_id", F.round("score", 9).alias("score")).where("query_id <> vec_id and score > 0")
+            best = weights.ranked(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
+            done.append(best if blocks == 1 else cut(best, "nearest"))
+    if not done:
+        return e.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, done)
 
 
 # Time
@@ -280,7 +283,7 @@ def entity_probes(spark, folder):
 
 
 def top_vector_terms(spark, folder):
-    rows = weights.top_vector_terms(built(spark, folder).chunk_terms, "chunk_id", 5)
+    rows = weights.top_vector_terms(weights.as_rows(built(spark, folder).vectors, "chunk_id"), "chunk_id", 5)
     return rows.select("chunk_id", "term", "weight", F.col("rank").cast("bigint").alias("rank"))
 
 

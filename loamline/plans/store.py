@@ -11,11 +11,14 @@ from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from loamline.config import IndexConfig, read_config, write_config
 from loamline.plans.index import Index
 
-VERSION = "0.1"
+VERSION = "0.2"
+APPENDED = ("documents", "chunks", "vectors")
 STORE, CONFIG, TARGETS, MANIFEST, INDEX = ".loamline", "config.json", "targets", "manifest.json", "index"
 
 
@@ -66,7 +69,7 @@ def write_index(folder: str | Path, index: Index) -> Path:
     held = [t for t in Index.TABLES if getattr(index, t) is not None]
     for name in held:
         getattr(index, name).write.parquet(f"{folder}/{generation}/{name}")
-    manifest = {"version": VERSION, "generation": generation, "kind": index.kind, "root": index.root, "generated_at": index.generated_at, "config": asdict(index.config), "embedding": index.config.metadata(), "tables": held, "targets": index.targets}
+    manifest = {"version": VERSION, "generation": generation, "kind": index.kind, "root": index.root, "generated_at": index.generated_at, "config": asdict(index.config), "embedding": index.config.metadata(), "tables": held, "targets": index.targets, "max_idf": index.max_idf}
     _put_manifest(folder, manifest)
     for old in folder.iterdir():
         if old.is_dir() and old.name not in (generation, before):
@@ -87,10 +90,25 @@ def read_manifest(folder: str | Path) -> dict:
     return found
 
 
+def appended_path(folder: str | Path) -> str:
+    """Where notes that have arrived since the index was built lie."""
+    return f"{folder}/{read_manifest(folder)['generation']}/appended"
+
+
 def read_index(spark: SparkSession, folder: str | Path) -> Index:
+    """The index in a folder, with the notes that have been appended to it: of each its last version."""
     m = read_manifest(folder)
     tables = {t: spark.read.parquet(f"{folder}/{m['generation']}/{t}") for t in m["tables"]}
-    return Index(IndexConfig().merged(m["config"]), **tables, kind=m["kind"], root=m["root"], generated_at=m["generated_at"], targets=m["targets"])
+    later = Path(appended_path(folder))
+    if all((later / t).exists() for t in APPENDED):
+        more = {t: spark.read.schema(StructType([*tables[t].schema.fields, StructField("batch", IntegerType())])).parquet(f"{later}/{t}") for t in APPENDED}
+        last = more["documents"].groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        for t in APPENDED:
+            tables[t] = tables[t].join(last, "doc_id", "left_anti").unionByName(more[t].join(last, ["doc_id", "batch"], "left_semi").select(tables[t].columns))
+        if "links" in tables:
+            # What a question was linked to may be another text now.
+            tables["links"] = tables["links"].withColumn("doc_id", F.substring_index("chunk_id", ":", 1)).join(last, "doc_id", "left_anti").drop("doc_id")
+    return Index(IndexConfig().merged(m["config"]), **tables, kind=m["kind"], root=m["root"], generated_at=m["generated_at"], targets=m["targets"], max_idf=m["max_idf"])
 
 
 def find_target(targets: list[dict], wanted: str) -> dict | None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loamline.config import IndexConfig
-from loamline.operators import corpus, weights
+from loamline.operators import corpus
 from loamline.operators.embed import embedder
-from loamline.plans.index import with_vectors
+from loamline.plans import store
+from loamline.plans.index import vectors_of
 
 
 def arriving(raw: DataFrame, delay: str = "1 hour", when: str = "mtime") -> DataFrame:
@@ -17,24 +19,29 @@ def arriving(raw: DataFrame, delay: str = "1 hour", when: str = "mtime") -> Data
     return raw.withWatermark(when, delay).dropDuplicatesWithinWatermark(["relative_path", when])
 
 
-def append(raw: DataFrame, idf: DataFrame, folder: str, checkpoint: str, config: IndexConfig | None = None, **trigger) -> StreamingQuery:
-    """Adds the passages of a stream of raw notes to the tables of an index: documents, chunks and chunk_terms under ``folder``.
+def append(raw: DataFrame, folder: str, checkpoint: str, load: Callable | None = None, **trigger) -> StreamingQuery:
+    """Adds a stream of raw notes to the index in ``folder``, where ``store.read_index`` finds them: notes, passages and vectors.
 
-    Terms are weighed by the idf given; it stands for the whole corpus and is made anew by a rebuild. Each micro-batch goes
-    to a folder of its own number, so one that is run again after a failure writes the same rows in the same place.
+    Terms are weighed by the idf of the index, which is made anew by a rebuild. Of a note that has come again only the
+    last version is read, and the one of the index no more. Each micro-batch goes to a folder of its own number, so one
+    that is run again after a failure writes the same rows in the same place. A rebuild begins without appended notes.
     """
-    config = config or IndexConfig()
-    config = config.merged({"max_files": None})
-    default = weights.max_idf(idf)
+    base = store.read_index(raw.sparkSession, folder)
+    config = base.config.merged({"max_files": None})
+    maker = embedder(config, load)
+    where = store.appended_path(folder)
 
     def add(batch: DataFrame, number: int) -> None:
-        docs = corpus.documents(batch, config).persist()
-        rows = embedder(config).embed_tokens(corpus.chunks(docs, config), "tokens").persist()
-        vectors = weights.tfidf(weights.term_counts(rows, "chunk_id"), idf, "chunk_id", default)
-        for name, table in (("documents", docs), ("chunks", with_vectors(rows, vectors)), ("chunk_terms", vectors)):
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        rows.unpersist()
-        docs.unpersist()
+        spark = batch.sparkSession
+
+        def put(name: str, table: DataFrame) -> DataFrame:
+            path = f"{where}/{name}/batch={number}"
+            table.write.mode("overwrite").parquet(path)
+            return spark.read.schema(table.schema).parquet(path)
+
+        docs = put("documents", corpus.documents(batch, config))
+        rows = put("chunks", corpus.chunks(docs, config))
+        put("vectors", vectors_of(rows, base.idf, base.max_idf, maker))
 
     return raw.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -47,7 +47,7 @@ def test_idf(index):
 
 
 def test_vectors_have_length_one(index):
-    for table, key, w in ((index.chunk_terms, "chunk_id", "weight"), (index.probe_terms, "probe_id", "weight")):
+    for table, key, w in ((weights.as_rows(index.vectors, "chunk_id"), "chunk_id", "weight"), (index.probe_terms, "probe_id", "weight")):
         assert all(abs(r.n - 1) < 1e-9 for r in table.groupBy(key).agg(F.sum(F.col(w) * F.col(w)).alias("n")).collect())
 
 
@@ -177,3 +177,40 @@ def test_store_paths_and_targets(tmp_path):
     targets = store.upsert_target(targets, {"id": "2", "path": "/a/y"})
     assert [t["id"] for t in targets] == ["2", "1"]
     assert [store.find_target(targets, w) is not None for w in ("1", "/b/x", "x", "z")] == [True, True, True, False]
+
+
+def test_rare_terms_get_their_weights_by_a_join(spark, index):
+    """The same vectors whether the weights of all terms go to the tasks or only those of a few."""
+    rows = index.chunks.select("chunk_id", "tokens")
+    as_set = lambda df: {(r.chunk_id, r.term, round(r.weight, 12)) for r in weights.as_rows(df, "chunk_id").collect()}
+    want = as_set(weights.with_vector(rows, index.idf, "chunk_id", index.max_idf))
+    assert want and as_set(weights.with_vector(rows, index.idf, "chunk_id", index.max_idf, frequent=5)) == want
+    long = weights.tfidf(weights.term_counts(rows, "chunk_id"), index.idf, "chunk_id")
+    assert {(r.chunk_id, r.term, round(r.weight, 12)) for r in long.collect()} == want
+    odd = spark.createDataFrame([("x", None), ("y", []), ("z", ["unheard", "unheard"])], "chunk_id string, tokens array<string>")
+    assert as_set(weights.with_vector(odd, index.idf, "chunk_id", index.max_idf)) == {("z", "unheard", 1.0)}
+
+
+def test_no_shuffle_carries_texts_or_vectors(spark, index):
+    """With and without broadcast joins: the vectors of passages are made in one pass of their rows."""
+    plan = I.vectors_of(index.chunks, index.idf, index.max_idf, embed.embedder(index.config))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_links_send_few_rows(spark):
+    """A task sends its best rows of a question; rows without a word in common, of which there are many, are none."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4_000, 8)) * (rng.random((4_000, 1)) > 0.5)
+    rows = spark.createDataFrame([(str(i), [float(v) for v in r], {"t": 0.5} if i % 1_000 == 0 else {"u": 1.0}, ["a"] if i % 2 else ["a", "b"]) for i, r in enumerate(x)], "chunk_id string, embedding array<double>, vector map<string,double>, entities array<string>").coalesce(1)
+    q = rng.normal(size=(3, 8))
+    asked = embed.Asked(["p", "q", "z"], [*q[:2].tolist(), [0.0] * 8], ["a", "b", "a"], [{"t": 1.0}, {}, {"t": 1.0}])
+    got = embed.best_rows(rows, asked, ["chunk_id"], 5).collect()
+    assert len(got) < 300
+    with np.errstate(invalid="ignore"):
+        cosine = np.nan_to_num(q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1))
+    for i, (k, step) in enumerate((("p", 1), ("q", 2))):
+        best = sorted(((round(r.score, 9), r.chunk_id) for r in got if r.probe_id == k), reverse=True)[:5]
+        assert [s for s, _ in best] == [round(v, 9) for v in sorted(cosine[i][::step], reverse=True)[:5]]
+    assert {(r.chunk_id, r.score) for r in got if r.probe_id == "z"} == {(str(i), 0.5) for i in range(0, 4_000, 1_000)}

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from loamline.operators import corpus, weights
+from loamline.plans import index as I
+from loamline.plans import store
 from loamline.sources.vault import SCHEMA
 from loamline.streaming import ingest
 
@@ -10,15 +11,22 @@ def raw(spark, rows):
 
 
 def test_append(spark, tmp_path):
-    first = raw(spark, [("a", "a.md", "# A\n\nalpha #t", "2025-01-01"), ("a", "a.md", "# A\n\nalpha #t", "2025-01-01"), ("b", "b.md", "beta gamma", "2025-01-02")])
-    first.write.parquet(str(tmp_path / "in"))
-    idf = weights.idf(corpus.chunks(corpus.documents(first)))
+    """Notes that arrive are found by questions; one that comes again replaces the version of the index and of the batch before."""
+    where = tmp_path / "index"
+    old = raw(spark, [("a", "a.md", "# A\n\nalpha beta", "2025-01-01"), ("c", "c.md", "# C\n\nkept gamma", "2025-01-01")])
+    store.write_index(where, I.build(old, "2025-06-01"))
+    (tmp_path / "in").mkdir()
     stream = ingest.arriving(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
-    for _ in range(2):
-        ingest.append(stream, idf, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
-    chunks = spark.read.parquet(str(tmp_path / "out/chunks"))
-    assert sorted(r.relative_path for r in chunks.collect()) == ["a.md", "b.md"]
-    assert spark.read.parquet(str(tmp_path / "out/chunk_terms")).where("weight is null").count() == 0
+    for n, rows in enumerate(([("a", "a.md", "# A\n\ndelta", "2025-02-01"), ("a", "a.md", "# A\n\ndelta", "2025-02-01"), ("b", "b.md", "beta gamma", "2025-02-02")], [("a", "a.md", "# A\n\nomega", "2025-03-01")])):
+        raw(spark, rows).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            ingest.append(stream, str(where), str(tmp_path / "checkpoint")).awaitTermination()
+        index = store.read_index(spark, where)
+        assert sorted((r.relative_path, r.content) for r in index.chunks.collect()) == [("a.md", f"A {('delta', 'omega')[n]}"), ("b.md", "beta gamma"), ("c.md", "C kept gamma")]
+        hits, _ = I.ask(index, ("delta", "omega")[n], "2025-06-01")
+        assert hits.first().relative_path == "a.md" and index.vectors.count() == 3
+    hits, _ = I.ask(index, "beta", "2025-06-01")
+    assert hits.first().relative_path == "b.md"
 
 
 def test_activity(spark, tmp_path):
