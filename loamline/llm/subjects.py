@@ -181,7 +181,8 @@ def encode_notes(notes: DataFrame, terms: list[str], starts: list[tuple[str, str
     of how much rarer), so that these get topics of their own.
     """
     spoken = notes.where("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"))
-    spoken = spoken.crossJoin(F.broadcast(spoken.agg(F.max("n").alias("most")))).select("lang", F.sqrt(1.01 * F.col("most") / (F.col("n") + 0.01 * F.col("most"))).cast("float").alias("weight"))
+    most = spoken.agg(F.max("n")).first()[0] or 1
+    spoken = spoken.select("lang", F.sqrt(1.01 * most / (F.col("n") + 0.01 * most)).cast("float").alias("weight"))
     rows = notes.join(spoken, "lang", "left").select("key", F.coalesce("weight", F.lit(1.0).cast("float")).alias("weight"), "words", "lengths")
     shared = notes.sparkSession.sparkContext.broadcast((terms, starts))
 
