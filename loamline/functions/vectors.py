@@ -32,10 +32,14 @@ def hash_sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(token, 256), 10, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
 
 
+#: The parts of the dense and the sparse score in the score of a match.
+DENSE, SPARSE = 0.84, 0.16
+
+
 def combined(dense: Column, sparse: Column) -> Column:
     """Both at least 0; the sparse score alone where the dense one says nothing."""
     d, s = F.greatest(F.lit(0.0), dense), F.greatest(F.lit(0.0), sparse)
-    return F.when(d > 0, d * 0.84 + s * 0.16).otherwise(s)
+    return F.when(d > 0, d * DENSE + s * SPARSE).otherwise(s)
 
 
 def fused(direct: Column, by_probe: Column, recency: Column) -> Column:

@@ -9,8 +9,10 @@ from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 
-FIRST, LAST = datetime(1900, 1, 1, tzinfo=UTC), datetime(2101, 1, 1, tzinfo=UTC)
+#: Before the first, zones have their first offset. After 2037 they follow rules by month and week day, and the calendar repeats every 400 years.
+FIRST, LAST = datetime(1800, 1, 1, tzinfo=UTC), datetime(2440, 1, 1, tzinfo=UTC)
 STEP = timedelta(days=7)
+CYCLE = 146_097 * 86_400
 
 #: Minutes from UTC of the zone abbreviations in general use in Europe, North America and Japan.
 ABBREVIATIONS = {
@@ -66,7 +68,9 @@ class Zone:
 
     def to_utc(self, local: np.ndarray) -> np.ndarray:
         """Seconds since 1970 of local seconds: the first of two equal times, the offset before the change of one that is skipped."""
-        return local - self.offsets[np.searchsorted(self.locals, local, side="right")]
+        end = int(LAST.timestamp()) - 86_400
+        within = np.where(local < end, local, local - -(-(local - end + 1) // CYCLE) * CYCLE)
+        return local - self.offsets[np.searchsorted(self.locals, within, side="right")]
 
 
 @lru_cache(maxsize=1024)

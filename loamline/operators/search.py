@@ -6,6 +6,8 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from loamline.functions import text as X
 from loamline.functions import timefn as T
 from loamline.functions import vectors as V
 from loamline.operators import weights as G
-from loamline.operators.embed import Embedder, dense_scores
+from loamline.operators.embed import Embedder, HashEmbedder, dense_scores, hash_matrix
 
 
 @dataclass(frozen=True)
@@ -29,32 +31,56 @@ class Query:
 def query_vectors(spark, text: str, idf: DataFrame, max_idf: float, embedder: Embedder) -> Query:
     """The vectors of a query; of the weights of all terms only those of its own are read."""
     one = spark.createDataFrame([(0, text)], "id int, text string")
-    tf = Counter(one.select(X.tokenize(F.col("text")).alias("tokens")).first().tokens)
+    both = one.select(X.tokenize(F.col("text")).alias("plain"), X.tokenize(F.concat(F.lit(embedder.config.query_prefix), F.col("text"))).alias("asked")).first()
+    tf = Counter(both.plain)
     known = {r.term: r.idf for r in idf.where(F.col("term").isin(sorted(tf))).select("term", "idf").collect()} if tf else {}
     raw = {t: (1 + math.log(n)) * known.get(t, max_idf) for t, n in sorted(tf.items())}
     norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
-    return Query(text, {t: w / norm for t, w in raw.items()}, embedder.embed(one, "text", "query").first().embedding)
+    if isinstance(embedder, HashEmbedder):
+        dense = hash_matrix(pa.array([both.asked], pa.list_(pa.string())), embedder.config.embedding_dimensions)[0].tolist()
+    else:
+        dense = embedder.embed(one, "text", "query").first().embedding
+    return Query(text, {t: w / norm for t, w in raw.items()}, dense)
 
 
-def ranked_probes(probes: DataFrame, probe_terms: DataFrame, query: Query, limit: int = C.PROBES_SCORED) -> DataFrame:
-    """The questions with a positive score, best first: rank, score and their columns."""
-    dense = probes.withColumn("dense", V.dense_cosine(F.array(*map(F.lit, query.embedding)), F.col("embedding")))
-    rows = dense.join(G.sparse_scores(probe_terms, query.terms, "probe_id"), "probe_id", "left")
-    rows = rows.withColumn("score", F.round(V.combined(F.col("dense"), F.coalesce("sparse", F.lit(0.0))), 12)).where(F.col("score") > 0)
-    return G.ranked(rows.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.col("entity_pos"), F.col("ordinal")], limit).drop("_all", "dense", "sparse")
+def ranked_probes(probes: DataFrame, probe_terms: DataFrame, query: Query, limit: int = C.PROBES_SCORED) -> list[dict]:
+    """The questions with a positive score, best first: rank, score and their columns.
+
+    There are as many questions as the settings allow, so they are scored where the query is.
+    """
+    sparse: dict[str, float] = {}
+    if query.terms:
+        for r in probe_terms.where(F.col("term").isin(sorted(query.terms))).orderBy("probe_id", "term").collect():
+            sparse[r.probe_id] = sparse.get(r.probe_id, 0.0) + r.weight * query.terms[r.term]
+    rows = probes.collect()
+    q = np.asarray(query.embedding, dtype=np.float64)
+    found = []
+    for r in rows:
+        e = np.asarray(r.embedding if r.embedding is not None and len(r.embedding) == len(q) else [0.0] * len(q))
+        norm = math.sqrt(float(q @ q) * float(e @ e))
+        d, s = max(0.0, float(q @ e) / norm if norm else 0.0), max(0.0, sparse.get(r.probe_id, 0.0))
+        # What only rounding keeps from 0 is 0.
+        score = round(V.DENSE * d + V.SPARSE * s if d > 1e-12 else s, 12)
+        if score > 0:
+            found.append((score, r))
+    found.sort(key=lambda x: (-x[0], x[1].entity_pos, x[1].ordinal))
+    return [r.asDict() | {"score": score, "rank": i + 1} for i, (score, r) in enumerate(found[:limit])]
 
 
-def search(chunks: DataFrame, vectors: DataFrame, matched: DataFrame, links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, matched: list[dict], links: DataFrame, query: Query, as_of, half_life: float, limit: int = C.MAX_RESULTS) -> DataFrame:
     """rank, chunk_id, probe_ids, content (a snippet), path, relative_path, score, title.
 
     All passages are scored in one scan of their vectors, without a shuffle: each row has its own sparse and dense
-    vector. The matched questions (ten at most) and their links (as many as the settings allow) are broadcast. The text
+    vector. The links of the matched questions (ten at most) are read by their ids and broadcast, as many as the settings allow. The text
     of passages is only read for those that come out.
     """
-    contributions = links.select("probe_id", "chunk_id", F.col("score").alias("link")).join(F.broadcast(matched.select("probe_id", F.col("rank").alias("place"), F.col("score").alias("match"))), "probe_id")
-    by_probe = contributions.groupBy("chunk_id").agg(
-        F.max(F.greatest(F.lit(0.0), F.col("link") * F.col("match"))).alias("by_probe"), F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "probe_id"))), lambda x: x["probe_id"])), 1, C.PROBES_SHOWN).alias("probe_ids")
-    )
+    spark = vectors.sparkSession
+    place = {m["probe_id"]: m for m in matched}
+    linked: dict[str, tuple[float, list]] = {}
+    for r in links.where(F.col("probe_id").isin(sorted(place))).select("probe_id", "chunk_id", "score").collect() if place else []:
+        best, seen = linked.get(r.chunk_id, (0.0, []))
+        linked[r.chunk_id] = max(best, r.score * place[r.probe_id]["score"]), [*seen, (place[r.probe_id]["rank"], r.probe_id)]
+    by_probe = spark.createDataFrame([(c, s, list(dict.fromkeys(p for _, p in sorted(those)))[: C.PROBES_SHOWN]) for c, (s, those) in linked.items()], "chunk_id string, by_probe double, probe_ids array<string>")
     own = vectors.select("chunk_id", "relative_path", "ordinal", "modified_at", "embedding", G.sparse_score(F.col("vector"), query.terms).alias("sparse"))
     dense = dense_scores(own, query.embedding, ["chunk_id", "relative_path", "ordinal", "modified_at", "sparse"])
     rows = dense.join(F.broadcast(by_probe), "chunk_id", "left")

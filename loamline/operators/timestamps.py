@@ -67,6 +67,7 @@ WHOLE += [re.compile(DATES[3] + r"[Tt]" + PLAIN_TIME + OFFSET), re.compile(DATES
 WHOLE += [re.compile(d) for d in MONTH_ONLY]
 UNIX = re.compile(r"-?0{9,20}(?:\.0+)?")
 CANONICAL = re.compile(r"0000-00-00T00:00:00\.000Z")
+NAMED_ZONE_PART = re.compile("[A-Za-z_]")
 NAMED_ZONE = re.compile(r"[A-Za-z_]+(?:/[A-Za-z_+-]+)+")
 
 
@@ -87,8 +88,8 @@ def _coded(shape: str) -> tuple[str, list[int], dict[str, str]]:
     """The shape with its words as codes (~m month, ~w week day, ~p am or pm, ~z zone ...), and where each character came from."""
     text, origin, said, i = [], [], {}, 0
     while i < len(shape):
-        code = None
-        if (m := NAMED_ZONE.match(shape, i)) and m.group() in zones.names():
+        code = word = None
+        if not (i and NAMED_ZONE_PART.match(shape, i - 1)) and (m := NAMED_ZONE.match(shape, i)) and m.group() in zones.names():
             code, word = "i", m
         elif word := WORD.match(shape, i):
             low = word.group().lower()
@@ -116,9 +117,11 @@ def _coded(shape: str) -> tuple[str, list[int], dict[str, str]]:
             origin += [i, i]
             i = word.end()
         else:
-            text.append(shape[i])
-            origin.append(i)
-            i += 1
+            # A word without a meaning stays as it is, in one step: values may be very long.
+            end = word.end() if word else i + 1
+            text += shape[i:end]
+            origin += range(i, end)
+            i = end
     return "".join(text), [*origin, len(shape)], said
 
 
@@ -156,22 +159,20 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return months.astype("datetime64[D]").astype(np.int64) + np.where(ok, d, 1) - 1, ok
 
 
-def _convert(p: Parser, values: pa.Array, home: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _convert(p: Parser, shape: str, values: pa.Array, home: np.ndarray, day_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Milliseconds since 1970 of values of one shape, and which of them are instants."""
     n = len(values)
     if p.unix:
-        text = values.to_pylist()
-        size = np.array([len(v.lstrip("-").partition(".")[0]) for v in text])
-        unit = np.select([size <= 11, size <= 14, size <= 17], [1000, 1, -1000], -1_000_000)
-        out, ok = np.zeros(n, np.int64), np.ones(n, bool)
-        for i, v in enumerate(text):
-            whole, _, part = v.partition(".")
-            down = v.startswith("-")
-            x = int(whole.lstrip("-")) * 1000 + int((part + "000")[:3]) if unit[i] == 1000 else int(whole.lstrip("-"))
-            ms = x if unit[i] == 1000 else x // abs(int(unit[i])) if not down else -(-x // abs(int(unit[i])))
-            out[i] = -ms if down else ms
-            ok[i] = -62_135_596_800_000 <= out[i] < 253_402_300_800_000
-        return out, ok
+        # All values of a shape have as many digits, so they have one unit, and what it is cut off at has one place.
+        down = shape.startswith("-")
+        size = len(shape.lstrip("-").partition(".")[0])
+        drop = 0 if size <= 14 else 3 if size <= 17 else 6
+        whole = pc.cast(pc.utf8_slice_codeunits(values, int(down), int(down) + size - drop), pa.int64()).to_numpy(zero_copy_only=False)
+        if size <= 11:
+            part = pc.utf8_rpad(pc.utf8_slice_codeunits(values, int(down) + size + 1, int(down) + size + 4), 3, "0")
+            whole = whole * 1000 + pc.cast(part, pa.int64()).to_numpy(zero_copy_only=False)
+        out = -whole if down else whole
+        return out, (out >= -62_135_596_800_000) & (out < 253_402_300_800_000)
 
     def number(key: str, default: int = 0) -> np.ndarray:
         if key not in p.at:
@@ -234,11 +235,12 @@ def normalise_values(values: pa.Array, home: pa.Array, order: pa.Array) -> pa.Ar
         order_ = np.argsort(codes, kind="stable")
         bounds = np.searchsorted(codes[order_], np.arange(len(shapes.dictionary) + 1))
         for k, shape in enumerate(shapes.dictionary.to_pylist()):
-            p = parser_of(shape) if len(shape) <= 80 else None
+            # Long shapes are seldom met twice; remembering them would only fill the memory.
+            p = parser_of(shape) if len(shape) <= 200 else parser_of.__wrapped__(shape)
             rows = order_[bounds[k] : bounds[k + 1]]
             if p is None or not len(rows):
                 continue
-            ms, ok = _convert(p, text.take(pa.array(rows)), homes[rows], first[rows])
+            ms, ok = _convert(p, shape, text.take(pa.array(rows)), homes[rows], first[rows])
             ok &= ~(same[rows] & p.canonical)
             iso = np.datetime_as_string(ms.astype("datetime64[ms]"), unit="ms")
             out[rows[ok]] = [f"{x}Z" for x in iso[ok]]
@@ -253,10 +255,14 @@ def normalised(df: DataFrame, keep: list[str], value: str, home_zone: str, date_
     before the change. ``date_order`` (mdy, else day first) rules figures between slashes; with dots the day is first.
     No time of day means 00:00 UTC of the (first) day. A bare count is Unix time in seconds, milli-, micro- or
     nanoseconds by its size. Digits beyond milliseconds are cut off. An unknown home zone makes local times null, a
-    null one is UTC. Rows aren't moved beyond the dealing out of a scan of too few splits.
+    null one is UTC. All workers must have the zone database of the driver. Rows aren't moved beyond the dealing out of a scan of too few splits.
     """
 
+    release = zones.version()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if zones.version() != release:
+            raise RuntimeError(f"the zone database of a worker is {zones.version()}, that of the driver {release}")
         for b in batches:
             k = len(keep)
             out = normalise_values(b.column(k), b.column(k + 1), b.column(k + 2))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from loamline.config import IndexConfig
 from loamline.functions import constants as C
@@ -84,11 +85,15 @@ def stats(index: Index) -> dict:
 def ask(index: Index, text: str, as_of, limit: int | None = None, load: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """The passages and the matched questions (five of them are shown) of a query."""
     query = search.query_vectors(index.chunks.sparkSession, text, index.idf, index.max_idf, embedder(index.config, load))
-    found = search.ranked_probes(index.probes, index.probe_terms, query)
-    # Ten rows at most, so they are held by the driver.
-    matched = index.chunks.sparkSession.createDataFrame(found.collect(), found.schema)
+    matched = search.ranked_probes(index.probes, index.probe_terms, query)
     hits = search.search(index.chunks, index.vectors, matched, index.links, query, as_of, index.config.recency_half_life_days, limit or index.config.max_results)
-    return hits, matched.where(F.col("rank") <= C.PROBES_SHOWN)
+    return hits, _held(index, [m for m in matched if m["rank"] <= C.PROBES_SHOWN])
+
+
+def _held(index: Index, matched: list[dict]) -> DataFrame:
+    """Matched questions as rows."""
+    kinds = StructType([*index.probes.schema.fields, StructField("score", DoubleType()), StructField("rank", IntegerType())])
+    return index.probes.sparkSession.createDataFrame([tuple(m[f] for f in kinds.names) for m in matched], kinds)
 
 
 #: How much of the graph is shown, without and with a query.
@@ -101,9 +106,9 @@ def inspect(index: Index, text: str | None = None, load: Callable | None = None)
     if not text:
         return index.probes.orderBy(*order).limit(SHOWN_PROBES), index.entities.orderBy("entity_pos")
     query = search.query_vectors(index.chunks.sparkSession, text, index.idf, index.max_idf, embedder(index.config, load))
-    matched = search.ranked_probes(index.probes, index.probe_terms, query, SHOWN_MATCHES).select("probe_id", "entity_id")
-    found = index.probes.join(F.broadcast(matched.select("probe_id").distinct()), "probe_id", "left_semi").orderBy(*order).limit(SHOWN_MATCHES)
-    return found, index.entities.join(F.broadcast(matched.select("entity_id").distinct()), "entity_id", "left_semi").orderBy("entity_pos").limit(SHOWN_ENTITIES)
+    matched = search.ranked_probes(index.probes, index.probe_terms, query, SHOWN_MATCHES)
+    found = index.probes.where(F.col("probe_id").isin([m["probe_id"] for m in matched])).orderBy(*order).limit(SHOWN_MATCHES)
+    return found, index.entities.where(F.col("entity_id").isin([m["entity_id"] for m in matched])).orderBy("entity_pos").limit(SHOWN_ENTITIES)
 
 
 def project(index: Index, raw: DataFrame, load: Callable | None = None, root: str = "") -> Index:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and the session has no executors elsewhere."""
     found = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     own = getattr(spark.sparkContext, "_loamline_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="loamline-")
@@ -46,12 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` has written in this process. Results that still read them can't be used any more."""
-    jvm = spark._jvm
-    while _written:
-        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables that ``cut`` has written: these, or all of this process. Results that still read them can't be used any more."""
+    for path in list(_written) if paths is None else paths:
+        if path in _written:
+            _written.remove(path)
+            delete(spark, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``cut`` writes within are deleted at the end, unless they are taken off the list that it gives."""
+    before = set(_written)
+    kept: list[str] = []
+    yield kept
+    release(spark, [p for p in _written if p not in before and p not in kept])
 
 
 def cut(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:

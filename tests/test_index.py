@@ -28,22 +28,22 @@ def test_stats(index):
 
 def test_documents(index):
     rows = {r.relative_path: r for r in index.documents.collect()}
-    assert rows["projects/auth/decision.md"].entities == ["folder:.", "folder:projects", "folder:projects/auth", "link:Identity Map", "link:Rollback Plan", "tag:architecture", "tag:auth"]
-    assert rows["projects/auth/retro.md"].tags == ["auth", "retrospectives"]
-    assert rows["research/search.md"].title == "Recall For Agents"
+    assert rows["garden/beds/layout.md"].entities == ["folder:.", "folder:garden", "folder:garden/beds", "link:Frost Dates", "link:Seed List", "tag:beds", "tag:soil"]
+    assert rows["garden/beds/review.md"].tags == ["beds", "yearly"]
+    assert rows["kitchen/bread.md"].title == "Overnight Bread"
 
 
 def test_entity_order(index):
     """Equal scores keep the order in which the entities were met."""
     rows = index.entities.orderBy("entity_pos").collect()
-    assert [r.entity_id for r in rows[:6]] == ["folder:.", "folder:projects", "folder:projects/auth", "tag:auth", "tag:retrospectives", "folder:research"]
-    assert round(rows[0].score, 6) == round(2 * 3 + 3 + 1.5 * 3 + 2 * math.exp(-math.log(2) * 273 / 180), 6)
+    assert [r.entity_id for r in rows[:6]] == ["folder:.", "folder:garden", "folder:garden/beds", "tag:beds", "tag:yearly", "folder:kitchen"]
+    assert round(rows[0].score, 6) == round(2 * 3 + 3 + 1.5 * 3 + 2 * math.exp(-math.log(2) * 291 / 180), 6)
     assert {r.activity_trend for r in rows} == {"stable"} and all(len(r.probe_ids) == 4 for r in rows)
 
 
 def test_idf(index):
     rows = {r.term: r.idf for r in index.idf.collect()}
-    assert round(rows["token"], 6) == 1.693147 and round(rows["rollback"], 6) == 1.287682
+    assert round(rows["dough"], 6) == 1.693147 and round(rows["gravel"], 6) == 1.287682
 
 
 def test_vectors_have_length_one(index):
@@ -52,11 +52,11 @@ def test_vectors_have_length_one(index):
 
 
 def test_ask(spark, root, index):
-    hits, matched = vault.ask_vault(spark, root, "which agents recall old notes?", limit=2, as_of=AS_OF)
+    hits, matched = vault.ask_vault(spark, root, "how does the bread dough rise overnight, and what became of the gravel?", limit=2, as_of=AS_OF)
     rows = hits.collect()
-    assert [r["rank"] for r in rows] == [1, 2] and rows[0].title == "Recall For Agents" and rows[0].probe_ids
+    assert [r["rank"] for r in rows] == [1, 2] and rows[0].title == "Overnight Bread" and rows[0].probe_ids
     assert matched.count() == 5
-    longer = vault.ask_vault(spark, root, "which agents recall old notes?", limit=3, as_of=AS_OF)[0].collect()
+    longer = vault.ask_vault(spark, root, "how does the bread dough rise overnight, and what became of the gravel?", limit=3, as_of=AS_OF)[0].collect()
     assert [r.chunk_id for r in longer[:2]] == [r.chunk_id for r in rows]
 
 
@@ -66,8 +66,8 @@ def test_ask_for_nothing(spark, index):
 
 
 def test_json_and_summary(spark, root, index):
-    hits, matched = vault.ask_vault(spark, root, "audit logs", as_of=AS_OF)
-    assert '"probes":[{"entity"' in vault.results_json(hits, matched, "audit logs", str(root)).first().json
+    hits, matched = vault.ask_vault(spark, root, "compost and gravel", as_of=AS_OF)
+    assert '"probes":[{"entity"' in vault.results_json(hits, matched, "compost and gravel", str(root)).first().json
     assert vault.summary(hits).startswith("1. ") and vault.summary(hits.limit(0)) == "No matching notes found."
     assert '"stats":{"documents":3' in vault.inspect_json(index).first().json
 
@@ -75,7 +75,7 @@ def test_json_and_summary(spark, root, index):
 def test_inspect(index):
     found, known = I.inspect(index, "")
     assert found.count() == 24 and known.count() == 11
-    found, known = I.inspect(index, "audit logs")
+    found, known = I.inspect(index, "compost and gravel")
     assert found.count() == 20 and 1 <= known.count() <= 12
     places = [(r.entity_pos, r.ordinal) for r in found.collect()]
     assert places == sorted(places)
@@ -88,8 +88,8 @@ def test_apply(spark, root, index, tmp_path):
     assert entry["doc_count"] == 1 and again["id"] == entry["id"]
     loaded = vault.load_index(spark, root)
     assert len(loaded.targets) == 1
-    hits, _ = vault.ask_vault(spark, root, "session recovery rollback", target="other", as_of=AS_OF)
-    assert hits.first().title == "Incoming Plan"
+    hits, _ = vault.ask_vault(spark, root, "garlic and broad beans", target="other", as_of=AS_OF)
+    assert hits.first().title == "Autumn Planting"
     with pytest.raises(LookupError):
         vault.ask_vault(spark, root, "x", target="nowhere")
     # The registry outlives a new index.

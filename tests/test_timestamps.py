@@ -4,6 +4,7 @@ import re
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -115,3 +116,40 @@ def test_documents(spark):
     assert got == [(1, "created_at", "2024-01-01T18:04:00.000Z"), (1, "frontmatter.date", "2024-05-06T00:00:00.000Z"), (2, "created_at", "2024-01-01T18:04:00.000Z")]
     assert N.document_dates(docs.limit(0), configs).count() == 0
     assert N.document_dates(docs, configs.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize(
+    ("value", "home", "utc"),
+    [
+        ("2024-08-19T04:09:56." + "1234567890" * 50 + "Z", "UTC", "2024-08-19T04:09:56.123Z"),
+        (" " * 300 + "2024-08-19", "UTC", "2024-08-19T00:00:00.000Z"),
+        ("x" * 100_000 + " 2024-08-19", "UTC", None),
+        ("2500-07-01 12:00:00", "Europe/Berlin", "2500-07-01T10:00:00.000Z"),
+        ("2937-01-01 12:00:00", "America/New_York", "2937-01-01T17:00:00.000Z"),
+        ("1850-01-01 12:00:00", "Asia/Tokyo", "1850-01-01T02:41:01.000Z"),
+        ("-1700000000", "UTC", "1916-02-18T01:46:40.000Z"),
+        ("-1700000000.5", "UTC", "1916-02-18T01:46:39.500Z"),
+        ("1700000000.98765", "UTC", "2023-11-14T22:13:20.987Z"),
+        ("1700000000123", "UTC", "2023-11-14T22:13:20.123Z"),
+        ("1700000000123456", "UTC", "2023-11-14T22:13:20.123Z"),
+        ("-1700000000123456789", "UTC", "1916-02-18T01:46:39.877Z"),
+        ("99999999999999999999", "UTC", "5138-11-16T09:46:39.999Z"),
+    ],
+)
+def test_values_of_any_length_and_year(value, home, utc):
+    assert one(value, home) == utc
+
+
+@given(st.integers(-60_000_000_000, 250_000_000_000), st.sampled_from(["Europe/Berlin", "America/New_York", "Asia/Tokyo", "Australia/Lord_Howe"]))
+def test_zones_agree_with_the_library_in_any_year(seconds, name):
+    local = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    want = local.replace(tzinfo=ZoneInfo(name), fold=0)
+    got = int(zones.zone(name).to_utc(np.array([seconds]))[0])
+    assert got == seconds - int(want.utcoffset().total_seconds())
+
+
+def test_another_release_of_the_zones_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(zones, "version", lambda: "1999a")
+    df = spark.createDataFrame([("2024-01-01", "UTC", "dmy")], "v string, z string, o string")
+    with pytest.raises(Exception, match="zone database"):
+        N.normalised(df, ["v"], "v", "z", "o").collect()
