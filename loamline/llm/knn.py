@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
-from loamline.session import cut, spread
+from loamline.session import cores, cut, spread
 
 #: Vectors that the tree is fitted on; all vectors are then assigned to it.
 SAMPLE = 100_000
@@ -292,10 +292,12 @@ class Index:
         sizes = np.zeros(len(tree.leaves), np.int64)
         sizes[got.column("leaf").to_numpy()] = got.column("n").to_numpy()
         first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        # Two cells a core where they aren't many anyway, so that all cores have work and none waits for one large cell.
+        cell = max(BLOCK, min(self.cell, -(-int(sizes.sum()) // (2 * cores(self.spark)))))
         now, filled = 0, 0
         for leaf, n in enumerate(sizes):
             parts[leaf] = max(1, -(-n // self.cell))
-            if parts[leaf] > 1 or filled + n > self.cell:
+            if parts[leaf] > 1 or filled + n > cell:
                 now, filled = now + (filled > 0), 0
             first[leaf] = now
             now, filled = (now + parts[leaf], 0) if parts[leaf] > 1 else (now, filled + n)
