@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.config import IndexConfig
+from loamline.config import IndexConfig, read_config, write_config
 from loamline.functions import markdown as M
 from loamline.functions import text as X
 from loamline.functions import timefn as T
 from loamline.functions import vectors as V
 from loamline.operators import corpus, embed, entities, probes, search, timestamps, weights
 from loamline.plans import index as I
-from loamline.plans import store
-from loamline.session import cores, cut, spread
+from loamline.plans import store, vault
+from loamline.session import cores, cut, shared_dir, spread
 
 AS_OF = "2025-12-31 00:00:00"
 #: The corpus of the queries isn't a folder of files, so its size isn't limited.
@@ -359,6 +360,70 @@ def target_upsert(spark, folder):
     return spark.createDataFrame([(i, r["id"], r["path"], r["doc_count"]) for i, r in enumerate(rows)], "pos bigint, id string, path string, doc_count bigint")
 
 
+# Outside
+
+
+def stored(spark, folder) -> I.Index:
+    """The index of the documents, written to the shared folder and read again."""
+    where = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    store.write_index(where, built(spark, folder))
+    return store.read_index(spark, where)
+
+
+def stored_links(spark, folder):
+    return stored(spark, folder).links.select("probe_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def stored_search(spark, folder):
+    """The answer of the index that was read again."""
+    hits, _ = I.ask(stored(spark, folder), QUESTION, AS_OF)
+    return hits.select(F.col("rank").cast("bigint").alias("rank"), "chunk_id", "relative_path", "score", "title")
+
+
+def answer_json(spark, folder):
+    """The passages of the answer as JSON, taken apart again."""
+    hits, matched = I.ask(built(spark, folder), QUESTION, AS_OF)
+    kinds = "struct<probes:array<struct<id:string,score:double>>,results:array<struct<path:string,score:double,title:string>>>"
+    rows = vault.results_json(hits, matched, QUESTION, "v").select(F.from_json("json", kinds).alias("j"))
+    return rows.select(F.posexplode("j.results").alias("pos", "r")).select((F.col("pos") + 1).cast("bigint").alias("rank"), "r.path", "r.score", "r.title")
+
+
+def answer_json_probes(spark, folder):
+    """The matched questions of the answer as JSON, taken apart again."""
+    hits, matched = I.ask(built(spark, folder), QUESTION, AS_OF)
+    rows = vault.results_json(hits, matched, QUESTION, "v").select(F.from_json("json", "struct<probes:array<struct<id:string,score:double>>>").alias("j"))
+    return rows.select(F.posexplode("j.probes").alias("pos", "r")).select((F.col("pos") + 1).cast("bigint").alias("rank"), F.col("r.id").alias("probe_id"), "r.score")
+
+
+def answer_lines(spark, folder):
+    """The answer as a numbered list, line by line."""
+    hits, _ = I.ask(built(spark, folder), QUESTION, AS_OF)
+    return spark.createDataFrame([(int(x.partition(".")[0]), x.rpartition(" score=")[0]) for x in vault.summary(hits).splitlines()], "rank bigint, line string")
+
+
+def vault_settings(spark, folder):
+    """The settings of each vault, written over those of vault 0 and over the defaults, and read again; there are as many as vaults."""
+    names = ("chunk_size_words", "chunk_overlap_words", "max_files", "max_results")
+    rows = {r.vault_id: {k: r[k] for k in names if r[k] is not None} for r in table(spark, folder, "vault_configs").where("vault_id is not null").orderBy("vault_id").collect()}
+    base, out = IndexConfig().merged(rows.get(0)), []
+    for key, own in rows.items():
+        where = f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}/config.json"
+        write_config(where, base.merged(own))
+        got = read_config(where)
+        out.append((key, *(getattr(got, k) for k in names)))
+    return spark.createDataFrame(out, "vault_id int, " + ", ".join(f"{k} bigint" for k in names))
+
+
+def target_resolution(spark, folder):
+    """The target that the path, the id and the folder name of each vault find in the registry of all vaults."""
+    paths = [r.vault_path for r in table(spark, folder, "vault_configs").where("vault_path is not null").select("vault_path").distinct().collect()]
+    known: list[dict] = []
+    for path in paths:
+        known = store.upsert_target(known, {"id": store.target_id(path), "path": path})
+    asked = [(w, (store.find_target(known, w) or {}).get("path")) for path in paths for w in (path, store.target_id(path), path.rpartition("/")[2])]
+    return spark.createDataFrame(asked, "wanted string, path string")
+
+
 # Timestamps
 
 
@@ -373,6 +438,6 @@ QUERIES = {
         strip_markdown, word_count, snippets, chunk_windows, tokenize_terms, tokenize_no_alias, stem_terms, frontmatter, frontmatter_values, titles, inline_tags, wiki_links, folder_ancestors,
         stable_ids, entity_names, corpus_documents, entity_ids, corpus_stats, doc_frequency_idf, tfidf_weights, sparse_cosine_topk, top_terms_by_lang, top_phrases_by_lang, weighted_terms_by_lang,
         hash_buckets, hash_embedding_nonzero, dense_cosine_topk, dense_knn_per_vector, recency_score, quarter_label, activity_trend, freq_last_year, entity_summary, entity_topk, entity_probes, top_vector_terms, hydrate_entities, probe_questions,
-        probe_links, probe_ranking, search_fused, graph_all, graph_query, apply_target, apply_search, target_upsert, p3_found,
+        probe_links, probe_ranking, search_fused, graph_all, graph_query, apply_target, apply_search, target_upsert, stored_links, stored_search, answer_json, answer_json_probes, answer_lines, vault_settings, target_resolution, p3_found,
     )
 }

@@ -412,5 +412,14 @@ SQL: dict[str, str] = {
     "graph_query": f"{_ASKED}, {_QUERY}, {_MATCHED}, near as (select * from matched where place <= 20) select 'probe' as what, probe_id as id from (select * from probes semi join near using (probe_id) order by entity_pos, ordinal limit 20) union all select 'entity', entity_id from (select * from top_entities semi join near using (entity_id) order by entity_pos limit 12)",
     "apply_target": f"{_APPLIED} select probe_id, chunk_id, rank, round(score, 6) as score from links",
     "apply_search": f"{_APPLIED}, {_QUERY}, {_MATCHED}, {_found('target_chunks', 'target_terms', 'target_dense')} select rank, chunk_id, relative_path, round(score, 6) as score, title from hits",
+    "stored_links": f"{_LINKED} select probe_id, chunk_id, rank, round(score, 6) as score from links",
+    "stored_search": f"{_SEARCHED}, {_found('chunks', 'chunk_terms', 'chunk_dense')} select rank, chunk_id, relative_path, round(score, 6) as score, title from hits",
+    "answer_json": f"{_SEARCHED}, {_found('chunks', 'chunk_terms', 'chunk_dense')} select rank, relative_path as path, round(score, 6) as score, title from hits",
+    "answer_json_probes": f"{_SEARCHED} select place as rank, probe_id, round(score, 6) as score from matched where place <= 5",
+    "answer_lines": f"{_SEARCHED}, {_found('chunks', 'chunk_terms', 'chunk_dense')} select rank, rank || '. ' || title || ' (' || relative_path || ')' as line from hits",
+    "vault_settings": "with zero as (select * from vault_configs where vault_id = 0) select v.vault_id, "
+    + ", ".join(f"coalesce(v.{k}, (select {k} from zero), {n})::bigint as {k}" for k, n in (("chunk_size_words", 260), ("chunk_overlap_words", 48), ("max_files", 1024), ("max_results", 8)))
+    + " from vault_configs v where v.vault_id is not null",
+    "target_resolution": "with p as (select distinct vault_path as path from vault_configs where vault_path is not null) select unnest([path, substr(sha1(path), 1, 12), string_split(path, '/')[-1]]) as wanted, path from p",
     "target_upsert": "select row_number() over (order by lower(path), path) - 1 as pos, substr(sha1(path), 1, 12) as id, path, doc_count from (values ('/a/Notes', 2::bigint), ('/b/notes', 3::bigint)) t(path, doc_count)",
 }

@@ -6,9 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -64,13 +61,10 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             delete(spark, path)
 
 
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables that ``cut`` writes within are deleted at the end, unless they are taken off the list that it gives."""
-    before = set(_written)
-    kept: list[str] = []
-    yield kept
-    release(spark, [p for p in _written if p not in before and p not in kept])
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing reads any more, because what was made from them has been written."""
+    for t in tables:
+        release(t.sparkSession, [t._cut_path])
 
 
 def cut(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
@@ -81,6 +75,8 @@ def cut(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/loamline-{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
 
 
