@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
+from loamline.llm.heap import largest
 from loamline.session import cores, cut, spread
 
 #: Vectors that the tree is fitted on; all vectors are then assigned to it.
@@ -174,7 +174,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _smallest(k: int):
     """The ``k`` smallest of a column of numbers, ascending, by a heap of that size before and after the shuffle."""
-    top = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.bitwise_not(F.col("number")), F.lit(k), F.lit(False))
+    top = largest(F.bitwise_not(F.col("number")), k)
     return F.transform(top, lambda x: F.bitwise_not(x))
 
 
@@ -281,7 +281,7 @@ class Index:
                     yield pa.RecordBatch.from_arrays([pa.array(q + i, pa.int32()), pa.array(score[q, c], pa.float32()), pa.array(home[top[q, c]], pa.int32())], names=["q", "score", "leaf"])
 
         found = self.rows.select("rep", "vec", "leaf").mapInArrow(run, "q int, score float, leaf int")
-        top = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.struct("score", "leaf"), F.lit(k), F.lit(False))
+        top = largest(F.struct("score", "leaf"), k)
         near = found.groupBy("q").agg(top.alias("h")).select("q", F.explode("h.leaf").alias("leaf")).toArrow()
         return near.column("q").to_numpy(), near.column("leaf").to_numpy()
 
@@ -430,7 +430,7 @@ class Index:
 
         found = placed.mapInArrow(run, "rep bigint, cosine double, other bigint, ids array<bigint>")
         entry = F.struct(F.col("cosine"), F.bitwise_not("other").alias("o"), F.col("ids"))
-        heap = InternalFunction._invoke_internal_function_over_columns("collect_top_k", entry, F.lit(k), F.lit(False))
+        heap = largest(entry, k)
         return found.groupBy("rep").agg(heap.alias("h")).select("rep", F.transform("h", lambda e: F.struct(e["cosine"].alias("cosine"), e["ids"].alias("ids"))).alias("near"))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import cut, spread
+from loamline.session import cut, drop, spread
 
 #: Given names and their short forms in general use; the first is the full name.
 GIVEN = """
@@ -334,14 +334,17 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    before = labels
     for done in count(1):
         near_ = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
         spread_ = labels.join(near_, "id").select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
         # Each label is replaced by the label of that id: paths halve with every round.
         jump = spread_.select(F.col("id").alias("new"), F.col("new").alias("further"))
         now = cut(spread_.join(jump, "new", "left").select("id", F.coalesce("further", "new").alias("label"), "old"), "labels")
-        labels = now.select("id", "label")
+        drop(before)
+        before, labels = now, now.select("id", "label")
         if now.where(F.col("label") != F.col("old")).isEmpty():
+            drop(both)
             return labels
         if done == most:
             raise RuntimeError(f"components not settled after {most} rounds")
@@ -386,7 +389,9 @@ def entities(names: DataFrame, about: Words | None = None) -> DataFrame:
     forms = cut(rows.groupBy("form").agg(F.bool_or("sure").alias("sure"), F.bool_or("known").alias("known"), F.bool_or("short").alias("short")).withColumn("id", F.monotonically_increasing_id()), "forms")
     total = forms.count()
     heavy = cut(weighed(forms, total), "grams")
-    links = cut(compared(cut(candidates(heavy), "candidates"), heavy, about), "links")
+    met = cut(candidates(heavy), "candidates")
+    links = cut(compared(met, heavy, about), "links")
+    drop(met, heavy)
 
     forms = forms.withColumn("label", F.col("id")).withColumn("single", ~F.col("form").contains(" "))
     forms = _relabelled(forms, links.where(F.col("link") == STRONG).select("a", "b"))

@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import cut, spread
+from loamline.session import cut, drop, spread
 
 #: Topics.
 TOPICS = 128
@@ -489,6 +489,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc
     terms = sorted(r.term for r in vocabulary(words, least, common).toLocalIterator())
     starts = [(r.a, r.b) for r in beginnings(words, least).toLocalIterator()]
     notes = encode_notes(words, terms, starts, BATCHES)
+    drop(words)
     names = sorted({r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect()})
     found = learn_topics(notes, len(terms), topics, BATCHES, epochs)
     share = mapped(notes, judgements(labels, subjects, key), names, found)

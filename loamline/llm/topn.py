@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+from loamline.llm.heap import largest
 
 
 def latest(df: DataFrame, key: str, version: list[str], keep: list[str]) -> DataFrame:
@@ -37,7 +38,7 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[str], n: int, rank:
     turned: list[Column] = [F.bitwise_not(F.col(c).cast("bigint")) for c in ties]
     entry = F.struct((s + F.lit(0.0)).alias("s"), *[t.alias(f"t{i}") for i, t in enumerate(turned)])
     usable = F.col(group).isNotNull() & s.isNotNull() & ~F.isnan(s) & F.col(ties[0]).isNotNull()
-    heap = InternalFunction._invoke_internal_function_over_columns("collect_top_k", F.col("e"), F.lit(n), F.lit(False))
+    heap = largest(F.col("e"), n)
     best = df.where(usable).select(F.col(group).alias("g"), entry.alias("e")).groupBy("g").agg(heap.alias("h"))
     row = best.select("g", F.posexplode("h").alias("p", "e"))
     back = [F.bitwise_not(F.col(f"e.t{i}")).alias(c) for i, c in enumerate(ties)]

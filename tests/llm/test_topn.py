@@ -52,3 +52,14 @@ def test_empty_and_clashing_columns(spark):
     assert topn.top_links(df).count() == 0
     one = spark.createDataFrame([(1, "a", 1, 0.5, 1, None)], SCHEMA).withColumn("k", F.lit(1)).withColumn("rank", F.lit(7)).withColumn("h", F.lit("x"))
     assert [tuple(r) for r in topn.top_links(one).collect()] == [("a", 1, 0.5, 1, 1)]
+
+
+def test_the_heap_and_its_fallback_agree(spark, monkeypatch):
+    import pyspark.sql.internal as internal
+
+    from loamline.llm.heap import largest
+
+    df = spark.createDataFrame([(i % 3, i * 7 % 50) for i in range(200)], "k int, v int")
+    heap = sorted(map(tuple, df.groupBy("k").agg(largest(F.col("v"), 4).alias("t")).collect()))
+    monkeypatch.delattr(internal, "InternalFunction")
+    assert sorted(map(tuple, df.groupBy("k").agg(largest(F.col("v"), 4).alias("t")).collect())) == heap
