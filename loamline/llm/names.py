@@ -10,7 +10,7 @@ from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.session import cut, drop, spread
@@ -51,6 +51,10 @@ Q = 3
 SHARED = 0.35
 #: The least weighted similarity of two names that mean the same, and of two of which one has an initial for a word.
 SIMILAR, INITIALS = 0.8, 0.7
+#: The part of the weight of a name of which some word has a partner in every name that it is linked with: more than the 1 - ``SIMILAR`` that may be without, since parts of words weigh differently.
+LEADING = 0.25
+#: Letters of a text of which all shortened forms are keys; of longer ones the halves are.
+SHORTENED = 40
 #: How alike two words are: short form and full name, initial and word, first letters of two words and the first of them, abbreviation.
 NICKNAME, INITIAL, INITIAL_TWO, ABBREVIATED = 0.95, 0.7, 0.6, 0.8
 #: Words of two names that are compared with one another at most; beyond it only equal ones count (names of more than a hundred words).
@@ -83,6 +87,15 @@ def shortened(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def slips(text: str) -> set[str]:
+    """Texts that are the same or one slip apart have one of these in common: shortened forms, or of long ones halves, one of which no slip reaches."""
+    if len(text) <= SHORTENED:
+        return shortened(text)
+    # Of two lengths one apart the shorter one's half is among those of both. A text of just more letters than SHORTENED meets the shorter one by these, too.
+    halves = {h for n in ((len(text) - 3) // 2, (len(text) - 2) // 2) for h in (f"<{text[:n]}", f">{text[-n:]}")}
+    return halves | {text} | (shortened(text) if len(text) == SHORTENED + 1 else set())
+
+
 class Lexicon:
     """Words with their canonical forms, found also with one slip of typing."""
 
@@ -141,6 +154,21 @@ class Words:
             return ABBREVIATED
         return 0.0
 
+    def keys(self, word: str) -> set[str]:
+        """What words that are alike, but for initials, have one of in common."""
+        if not word.isalpha() or len(word) < 2:
+            return {word}
+        kind, given = self.kind(word), self.given(word)[0]
+        keys = {word} if len(word) == 2 else slips(word)
+        keys |= {f"given {given}"} if given else set()
+        keys |= {f"kind {kind}"} if kind else set()
+        if not kind and 3 <= len(word) <= 10:
+            # Abbreviations of a kind of organisation, also of a slip of one: the slip may have added a letter.
+            for d, k in self.kinds.items():
+                if 2 * len(word) <= len(d) + 3 and len(set(word).difference(d)) <= 1 and any(all(c in letters for c in v) for v in shortened(word) if (letters := iter(d))):
+                    keys.add(f"kind {k}")
+        return keys
+
     def parted(self, a: list[str], b: list[str]) -> list[str]:
         """``a`` with each word in two that begins or ends with a word of ``b``, where it is like none of them."""
         out = []
@@ -298,12 +326,94 @@ def weighed(forms: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("heads", F.filter("codes", lambda c, i: heft(F.slice("codes", i + 1, F.size("codes"))) >= F.lit(SHARED) * F.col("all")))
 
 
+def _mapped(df: DataFrame, of, schema: str) -> DataFrame:
+    """The rows that ``of`` gives for each row (a tuple); both of plain values."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [out for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for out in of(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], kinds[c.split()[1]]) for i, c in enumerate(schema.split(", "))], names=names)
+
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return df.mapInArrow(run, schema)
+
+
+def alike_words(words: DataFrame, about: Words) -> DataFrame:
+    """word, other: all words that are alike, but for initials, both ways, and each word with itself; ``words``: word, each once."""
+    keys = cut(_mapped(words.select("word"), lambda w: [(w, k) for k in about.keys(w)], "word string, key string"), "keys")
+    met = keys.join(keys.select(F.col("word").alias("other"), "key"), "key").where("word < other").select("word", "other").distinct()
+    pairs = _mapped(met, lambda x, y: [(x, y), (y, x)] if about.alike(x, y) not in (0.0, INITIAL, INITIAL_TWO) else [], "word string, other string")
+    alike = cut(pairs.unionByName(words.select("word", F.col("word").alias("other"))), "alike")
+    drop(keys)
+    return alike
+
+
+def marked(rows: DataFrame, about: Words) -> DataFrame:
+    """The rows of ``weighed`` with marks, and lead: marks of which one of two names that are linked has one of the other's.
+
+    The grams that names are made of are few, so the pairs with a gram in common grow as the square of the names; words
+    are many. What ``Words.compare`` links has at least one of these in common, unless all that
+    leads is a word whose letters hold a short form of a kind of organisation by chance ("mus" in "musalowan"):
+    - A word that leads. Of a name that is linked as a whole, the words without a partner weigh at most 1 - ``SIMILAR`` of
+      all, and else one of the two names has partners for all its words. So of the words of a name, those with the fewest
+      names first, so many lead that the others weigh less than 1 - ``LEADING``: one of them has a partner. The marks are
+      the words of a name, also the parts of a word that begins or ends with another word; the leads are all words alike.
+    - The letters of all its words together, or one slip of these.
+    - Where the leading words of both have but initials for partners: a leading gram, with the letters of the initials.
+    """
+    each = rows.select("id", F.inline(F.arrays_zip("words", "weights"))).select("id", F.col("words").alias("word"), F.col("weights").alias("w"))
+    real = cut(each.select("word").distinct(), "words")
+    # Only pieces as long as some word are looked for.
+    long_ = {r.n for r in real.select(F.length("word").alias("n")).distinct().collect() if r.n >= 4}
+
+    def pieces(t: str) -> list[tuple[str, str, str]]:
+        return [x for n in long_ if 7 <= n + 3 <= len(t) for x in ((t, t[:n], t[n:]), (t, t[-n:], t[:-n]))]
+
+    parts = cut(_mapped(real, pieces, "whole string, word string, rest string").join(real, "word").select("whole", F.col("word").alias("part"), "rest"), "parts")
+    inner = each.join(parts, each.word == parts.whole).select("id", F.explode(F.array("part", "rest")).alias("word"))
+    own = cut(each.select("id", "word").unionByName(inner).distinct(), "own")
+    known = cut(own.groupBy("word").agg(F.count("*").alias("n")), "known")
+    alike = alike_words(known, about)
+    names_ = cut(alike.join(known.select(F.col("word").alias("other"), "n"), "other").groupBy("word").agg(F.sum("n").alias("names")), "names")
+    # Short words, which may be initials, lead only where the others don't weigh enough.
+    whole = Window.partitionBy("id")
+    before = whole.orderBy(F.length("word") < 3, "names", "word").rowsBetween(Window.unboundedPreceding, -1)
+    of_all = each.join(names_, "word").withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0.0))).withColumn("total", F.sum("w").over(whole))
+    leading = cut(of_all.where(F.col("before") <= LEADING * F.col("total")).select("id", "word").distinct(), "leading")
+    # A word that leads may be parted; then the part that fewer names have leads.
+    x, y = (names_.select(F.col("word").alias(c), F.col("names").alias(f"{c}_names")) for c in ("part", "rest"))
+    lesser = parts.join(x, "part").join(y, "rest").select(F.col("whole").alias("word"), F.when(F.col("part_names") <= F.col("rest_names"), F.col("part")).otherwise(F.col("rest")).alias("to"))
+    leads = leading.unionByName(leading.join(lesser, "word").select("id", F.col("to").alias("word"))).distinct()
+
+    def texts(i: int, words: list[str], first: list[str]) -> list[tuple[int, list[str], list[str]]]:
+        joint = "".join(words)
+        initials = {w[0] for w in words if len(w) < 3 and w.isalpha()}
+        letters = {"".join(sorted(s + about.nick.get(w, w)[0])) for s in initials for w in first if len(w) > 1} if initials else set()
+        return [(i, sorted(slips(joint) if len(joint) > 7 and joint.isalpha() else {joint}), sorted(letters))]
+
+    led = rows.select("id", "words").join(leading.groupBy("id").agg(F.collect_set("word").alias("first")), "id")
+    more = _mapped(led, texts, "id bigint, texts array<string>, letters array<string>")
+    mark = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    with_letters = lambda codes: F.flatten(F.transform("letters", lambda x: F.transform(codes, lambda c: mark("initials", c, x))))
+    words = own.groupBy("id").agg(F.collect_set(mark("word", "word")).alias("own"))
+    first = leads.join(alike, "word").groupBy("id").agg(F.collect_set(mark("word", "other")).alias("lead"))
+    both = F.transform("texts", lambda t: mark("text", t))
+    got = rows.join(words, "id").join(first, "id").join(more, "id").withColumn("marks", F.concat("own", both, with_letters("codes"))).withColumn("lead", F.concat("lead", both, with_letters("heads"))).drop("own", "texts", "letters")
+    got = cut(got, "marks")
+    drop(real, parts, own, known, alike, names_, leading)
+    return got
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """a, b: the ids of each two names of which the lighter has ``SHARED`` of its gram weight in common with the other."""
-    heads = rows.select(F.col("id").alias("a"), F.col("all").alias("a_all"), F.explode("heads").alias("code"))
-    every = rows.select(F.col("id").alias("b"), F.col("all").alias("b_all"), F.explode("codes").alias("code"))
+    """a, b: the ids of each two names of which the lighter has ``SHARED`` of its gram weight in common with the other; of rows of ``marked``, those of them that have a mark in common."""
+    lead, marks = ("lead", "marks") if "marks" in rows.columns else ("heads", "codes")
+    heads = rows.select(F.col("id").alias("a"), F.col("all").alias("a_all"), F.explode(lead).alias("code"))
+    every = rows.select(F.col("id").alias("b"), F.col("all").alias("b_all"), F.explode(marks).alias("code"))
     lighter = (F.col("a_all") < F.col("b_all")) | (F.col("a_all") == F.col("b_all")) & (F.col("a") < F.col("b"))
-    met = heads.join(every, "code").where(lighter).select("a", "b").distinct()
+    met = heads.join(every, "code").where("a <> b")
+    # Grams lead from the lighter name only, words from either.
+    met = (met.where(lighter) if lead == "heads" else met.select(F.when(lighter, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(lighter, F.col("b")).otherwise(F.col("a")).alias("b"))).select("a", "b").distinct()
     x, y = (rows.select(F.col("id").alias(k), F.col("codes").alias(f"{k}_codes"), F.col("all").alias(f"{k}_all")) for k in "ab")
     common = F.aggregate(F.array_intersect("a_codes", "b_codes"), F.lit(0).cast("bigint"), lambda s, c: s + c.bitwiseAND(F.lit((1 << 20) - 1)))
     return met.join(x, "a").join(y, "b").where(common >= F.lit(SHARED) * F.col("a_all")).select("a", "b")
@@ -370,8 +480,8 @@ def entities(names: DataFrame, about: Words | None = None) -> DataFrame:
     """number, entity: which spellings mean the same person or organisation; those of topics are left out.
 
     ``names``: number, name. Every name takes part as the set of the q-grams of its words, weighted by rarity: a
-    prefix-filtered join gives the pairs of which the lighter name has ``SHARED`` of its weight in common with the other,
-    and the mean similarity of their words, weighted by rarity, decides (``Words.compare``). Equal words in equal order
+    prefix-filtered join (``marked``) gives the pairs of which the lighter name has ``SHARED`` of its weight in common with
+    the other, and the mean similarity of their words, weighted by rarity, decides (``Words.compare``). Equal words in equal order
     are one form. A list of short forms only adds to the similarity of two words. Then
     - names linked as a whole form sets;
     - a name with an initial for a word joins the one set of full names that it is linked with, and where there is none,
@@ -388,10 +498,11 @@ def entities(names: DataFrame, about: Words | None = None) -> DataFrame:
     rows = cut(typed(base, about), "typed")
     forms = cut(rows.groupBy("form").agg(F.bool_or("sure").alias("sure"), F.bool_or("known").alias("known"), F.bool_or("short").alias("short")).withColumn("id", F.monotonically_increasing_id()), "forms")
     total = forms.count()
-    heavy = cut(weighed(forms, total), "grams")
+    grams = cut(weighed(forms, total), "grams")
+    heavy = marked(grams, about)
     met = cut(candidates(heavy), "candidates")
     links = cut(compared(met, heavy, about), "links")
-    drop(met, heavy)
+    drop(met, heavy, grams)
 
     forms = forms.withColumn("label", F.col("id")).withColumn("single", ~F.col("form").contains(" "))
     forms = _relabelled(forms, links.where(F.col("link") == STRONG).select("a", "b"))

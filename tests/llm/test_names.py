@@ -103,6 +103,55 @@ def test_the_prefix_filter_loses_nothing(spark):
     assert got == want and want
 
 
+def forms_of(spark, forms):
+    return names.weighed(spark.createDataFrame(list(enumerate(sorted(forms))), "id bigint, form string"), len(forms))
+
+
+def of_syllables(rng, n):
+    return "".join(rng.choice("bdgklmtv") + rng.choice("aeiou") for _ in range(n)) + rng.choice(["fem", "gan"])
+
+
+def test_marks_lose_no_link(spark):
+    """Of all names, those that have enough in common and are linked meet by their marks."""
+    rng = random.Random(7)
+    slip = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :]]))(rng.randrange(len(w)))
+    forms = set()
+    for _ in range(30):
+        g, h, s = rng.choice(["robert", "bob", "rob", "susan", "elizabeth", "beth"]), rng.choice(["james", "anna"]), of_syllables(rng, rng.randint(1, 3))
+        forms |= {f"{g} {s}", f"{s} {g}", f"{g}{s}", f"{g}{slip(s)}", f"{g} {h} {s}", f"{g[0]} {s}", f"{g} {s[0]}", f"{g} {h[0]} {s}", f"{g[0]} {h} {s}", f"{g[:1]}{h[:1]} {s}", f"{slip(g)} {s}", f"{g} {slip(s)}", s, slip(s)}
+        q, k = rng.choice(["northern", "coastal", "of works"]), rng.choice(["hospital", "hosp", "hsptl", "institute", "instiute", "dept"])
+        forms |= {f"{s} {q} {k}", f"{s} {q}{k}", f"{s}{q} {k}", f"{s} {q[0]} {k}", f"{slip(s)} {q} {k}", f"{s} {slip(q).strip()} {k}", f"{s} {k}", f"{k} {s} {q}"}
+    forms |= {"r tobert", "robert t", "anna smithjones", "anna maria smith jones", "r tamiluk jones", "robert t jones", "w " * 4 + "tamiluk", "a", "a b", "q1 goals", "q2 goals", "x" * 60 + " y", "x" * 29 + "z" + "x" * 30 + " y"}
+    rows = forms_of(spark, {" ".join(f.split()) for f in forms}).cache()
+    heft = lambda codes: sum(c & (1 << 20) - 1 for c in codes)
+    want = set()
+    for x, y in combinations(rows.collect(), 2):
+        x, y = sorted((x, y), key=lambda r: (r["all"], r.id))
+        if heft(set(x.codes) & set(y.codes)) >= names.SHARED * x["all"] and ABOUT.compare(x.words, y.words, dict(zip(x.words + y.words, x.weights + y.weights, strict=True))):
+            want.add((x.id, y.id))
+    got = {tuple(r) for r in names.candidates(names.marked(rows, ABOUT)).collect()}
+    every = {tuple(r) for r in names.candidates(rows).collect()}
+    assert len(want) > 1_000 and got <= every and not want - got
+
+
+def test_names_of_few_syllables(spark, monkeypatch):
+    """Names that share given names and syllables aren't compared for that: their comparisons grow as the names."""
+    rng, met = random.Random(5), []
+    plain = names.compared
+    monkeypatch.setattr(names, "compared", lambda pairs, rows, about: met.append(pairs.count()) or plain(pairs, rows, about))
+    rows = [(i, "link", f"{rng.choice(['Robert', 'Susan', 'Elizabeth'])} {of_syllables(rng, 3)}") for i in range(1_500)]
+    df = spark.createDataFrame(rows, "entity_no bigint, entity_type string, name string")
+    assert names.spellings(df).count() == 1_500
+    assert met[0] < 10 * 1_500
+
+
+@pytest.mark.parametrize("long_", ["tamiluk", "a" * 20 + "tamiluk" * 3, "tamiluk" * 30])
+def test_texts_one_slip_apart_have_a_key_in_common(long_):
+    for i in range(len(long_)):
+        for other in (long_[:i] + long_[i + 1 :], long_[:i] + "x" + long_[i:], long_[:i] + "x" + long_[i + 1 :], long_[:i] + long_[i + 1 : i + 2] + long_[i] + long_[i + 2 :]):
+            assert names.slips(long_) & names.slips(other)
+
+
 def test_components(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(90)] + [("x", "y"), ("z", "y"), ("q", "q")]
     got = {r.id: r.label for r in names.components(spark.createDataFrame(edges, "a string, b string")).collect()}
